@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, line_dedup, mixing, orc_tokens
+from . import bpe, embed_dedup, line_dedup, mixing, ogg_media, orc_tokens, secret_scan, simhash, toxicity
 from .common import documents
 
 
@@ -19,6 +19,18 @@ def tokenizer_json() -> bpe.Vocabulary:
     return bpe.Vocabulary("tokenizers", public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, end_id=2)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_secrets(documents(spark, sf_dir))
+
+
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.embedding_report(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_report(documents(spark, sf_dir), ranks())
 
@@ -27,6 +39,14 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(documents(spark, sf_dir))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_report(documents(spark, sf_dir))
+
+
+def op8_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ogg_media.media_report(documents(spark, sf_dir))
+
+
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(documents(spark, sf_dir))
 
@@ -36,4 +56,4 @@ def op10_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_byte_bpe, op6_line_dedup, op9_source_mix, op10_orc_tokens)}
+    return {f.__name__: f for f in (op2_toxicity, op3_secret_scan, op4_embedding_dedup, op5_byte_bpe, op6_line_dedup, op7_simhash, op8_ogg_media, op9_source_mix, op10_orc_tokens)}
