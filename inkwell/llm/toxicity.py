@@ -32,6 +32,8 @@ SAMPLE_ROWS = 12_000
 #: Words with the strongest evidence that become the learned lexicon, and those that are fetched to choose from.
 LEXICON_WORDS = 200
 WORD_ROWS = 2_000
+#: A learned word stands in this share of the toxic documents, and its log odds are at least these.
+LEXICON_SHARE, LEXICON_ODDS = 0.08, 3.0
 FOLDS = 5
 TREES, DEPTH, RATE, BINS, LEAF = 80, 3, 0.15, 32, 20
 SEED_LEXICON = ("idiot", "idiots", "stupid", "moron", "morons", "trash", "scum", "worthless", "pathetic", "disgusting", "clown", "loser", "losers", "dumb", "garbage", "filth", "vermin", "hate", "ugly", "shut")
@@ -224,11 +226,11 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     if not n_bad or n_bad == n_all:
         return base
     bad = sample.select("text", "toxic").mapInArrow(_sample_words, "word binary, bad long").groupBy("word").agg(F.sum("bad").alias("bad"))
-    top = bad.where(F.col("bad") >= max(3, n_bad // 200)).orderBy(F.col("bad").desc(), "word").limit(WORD_ROWS).collect()
+    top = bad.where(F.col("bad") >= max(3, int(LEXICON_SHARE * n_bad))).orderBy(F.col("bad").desc(), "word").limit(WORD_ROWS).collect()
     bads = {bytes(r.word): r.bad for r in top}
     goods = {bytes(r.word): r.good for r in sample.select("text", "toxic").mapInArrow(_sample_counts(frozenset(bads)), "word binary, good long").groupBy("word").agg(F.sum("good").alias("good")).collect()}
     odds = {w: float(np.log((b + 0.5) / (n_bad + 1)) - np.log((goods.get(w, 0) + 0.5) / (n_all - n_bad + 1))) for w, b in bads.items()}
-    learned = sorted((w for w in odds if odds[w] > 1.5), key=lambda w: (-odds[w], w))[:LEXICON_WORDS]
+    learned = sorted((w for w in odds if odds[w] > LEXICON_ODDS), key=lambda w: (-odds[w], w))[:LEXICON_WORDS]
     lexicon = base.lexicon | {w: odds[w] for w in learned}
     keep = ("doc_id", "toxic")
     table = sample.mapInArrow(_feature_rows(lexicon, _SEEDS, keep), "doc_id long, toxic int, x array<double>").withColumn("fold", F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS).orderBy("doc_id", "x").toArrow()
