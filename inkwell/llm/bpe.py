@@ -1,15 +1,17 @@
 """Byte-level BPE by a global shuffle of distinct words.
 
-1. Every document is cut into pre-tokens (words); words are counted across the corpus and each distinct word is
-   encoded once.
-2. The most frequent words, at most `HEAD_WORDS` of them whatever the input's size, are broadcast with their ids.
-   A document becomes a row of packed ids with holes where other words stand.
-3. The other words are exploded with their positions, joined to their ids by word, and shuffled to their document,
-   where rows sorted by position fill the holes.
+1. Documents are taken in blocks of bounded size, in the order in which a task reads them. The distinct words of a
+   block, numbered, are dealt out by word; those that go the same way travel as one row.
+2. Where a word arrives it is encoded once, whatever number of blocks hold it, and its ids go back to the blocks.
+3. The block's documents, as positions in its word list, meet the ids and are put together by position.
+A word is one entry per block, so frequent words need no salt: they were aggregated before they were shuffled.
 Decoding joins ids to the token-byte table, whose size is that of the vocabulary.
 
+Blocks are cut twice, for their words and for their documents; both must give the same words. A digest in every row
+guards that: an input whose order changes between the two fails instead of giving wrong ids.
+
 Cases: a null text is empty and has no tokens; repeated rows each get a result; a null doc_id is allowed; an empty
-table gives an empty result; columns beside doc_id and text are ignored here and passed on by the pipeline's stage.
+table gives an empty result; columns beside doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -24,17 +26,24 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, whole_text, written
-
-#: Words that are broadcast at most; all others are joined by shuffle.
-HEAD_WORDS = 262_144
-_CACHE_WORDS = 400_000
-_FLUSH_WORDS = 300_000
-_HOLE = 0xFFFF
-_NULL_DOC = -(2**63)
+from .common import ship, whole_text
+
+#: A block is closed once it has this many characters or distinct pieces.
+BLOCK_CHARS, BLOCK_PIECES = 16_000_000, 400_000
+#: Documents of a block are sent in rows of about so many words.
+_ROW_WORDS = 500_000
+#: Words whose ids a task remembers, at most; beyond, it starts again.
+_CACHE_WORDS = 1_000_000
+#: Sizes of the ranks of frequent words that get the smallest numbers of a block.
+_TIERS = (256, 65_536)
+#: Blocks of a task.
+_TASK_BLOCKS = 1 << 20
 #: Unicode's White_Space, as the pattern's \s is understood by the tokenizer libraries.
 _SPACES = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: A space that does not start a word: only texts without any can be cut at every space.
@@ -47,257 +56,341 @@ def pretokenizer(pattern: str) -> Callable[[str], list[str]]:
     return regex.compile(plain).findall
 
 
+def ascii_pretokenizer(pattern: str) -> Callable[[str], list[str]]:
+    """The same for ASCII text, where letters and digits are few."""
+    for name, members in (("\\p{L}", "A-Za-z"), ("\\p{N}", "0-9")):
+        head, *rest = pattern.split(name)
+        for part in rest:
+            inside = head.rfind("[") > head.rfind("]")
+            head += (members if inside else f"[{members}]") + part
+        pattern = head
+    return re.compile(pattern, re.A).findall
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in (x.split() for x in f if x.strip())}
 
 
+def byte_letters() -> str:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if it is printable, else the next free one."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    free = iter(range(256, 512))
+    return "".join(chr(b if b in printable else next(free)) for b in range(256))
+
+
 class Vocabulary:
     """Which files and library encode a word. `library`: "tiktoken" (rank file) or "tokenizers" (JSON file)."""
 
     def __init__(self, library: str, file: str, pattern: str, end_id: int | None = None):
         self.library, self.file, self.pattern, self.end_id = library, file, pattern, end_id
 
-    def encoder(self) -> Callable[[list[str]], list[list[int]]]:
+    def encoder(self) -> Callable[[bytes], list[int]]:
+        """Ids of one word, given as UTF-8."""
         if self.library == "tiktoken":
             import tiktoken
 
             enc = tiktoken.Encoding("ranks", pat_str=self.pattern, mergeable_ranks=read_ranks(self.file), special_tokens={})
-            return lambda words: [enc.encode_ordinary(w) for w in words]
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            return lambda word: enc.encode_ordinary(word.decode())
         from tokenizers import Tokenizer
 
-        tok = Tokenizer.from_file(self.file)
-        tok.encode_special_tokens = True
-        return lambda words: [x.ids for x in tok.encode_batch_fast(words, add_special_tokens=False)]
+        split = Tokenizer.from_file(self.file).model.tokenize
+        letters = dict(enumerate(byte_letters()))
+        return lambda word: [t.id for t in split(word.decode("latin-1").translate(letters))]
+
+
+class Cutter:
+    """Cuts texts into words. Most texts are cut at spaces first, and each distinct piece between spaces once."""
+
+    def __init__(self, pattern: str):
+        self.find, self.find_ascii = pretokenizer(pattern), ascii_pretokenizer(pattern)
+
+    def words(self, piece: str) -> list[str]:
+        """Words of a piece that follows a space."""
+        if piece.isascii():
+            return [" " + piece] if piece.isalpha() else self.find_ascii(" " + piece)
+        return self.find(" " + piece)
+
+
+class Block:
+    """Texts, their distinct words, and each text as a list of word numbers."""
+
+    def __init__(self, cutter: Cutter, texts: list[str]):
+        pieces: Counter = Counter()
+        loose: Counter = Counter()
+        self.cutter, self.texts = cutter, texts
+        for text in texts:
+            head, rest = self._cut(text)
+            loose.update(head)
+            pieces.update(rest)
+        self.pieces = {p: cutter.words(p) for p in pieces}
+        for p, n in pieces.items():
+            for w in self.pieces[p]:
+                loose[w] += n
+        self.words, self.counts = list(loose), np.fromiter(loose.values(), dtype=np.int64, count=len(loose))
+
+    def _cut(self, text: str) -> tuple[list[str], list[str]]:
+        """Words, and the pieces after them."""
+        if _ODD.search(text):
+            return self.cutter.find(text), []
+        first, space, tail = text.partition(" ")
+        return self.cutter.find(first), tail.split(" ") if space else []
+
+    def packed(self, code: dict[str, bytes]) -> Iterator[bytes]:
+        """Each text as its words' codes, joined."""
+        of_piece = {p: b"".join([code[w] for w in ws]) if len(ws) > 1 else code[ws[0]] if ws else b"" for p, ws in self.pieces.items()}
+        for head, rest in map(self._cut, self.texts):
+            yield b"".join([*map(code.__getitem__, head), *map(of_piece.__getitem__, rest)])
+
+
+def blocks(batches: Iterator[pa.RecordBatch], cutter: Cutter, text: str = "text") -> Iterator[tuple[list[tuple], Block]]:
+    """Runs of rows (without the text) and their block, cut at the same rows whenever the rows are the same."""
+    rows: list[tuple] = []
+    texts: list[str] = []
+    size, seen = 0, 0
+    for b in batches:
+        others = [b[c].to_pylist() for c in b.schema.names if c != text]
+        for t, *row in zip(b[text].to_pylist(), *others, strict=True):
+            rows.append(tuple(row))
+            texts.append(t)
+            size += len(t)
+            seen += t.count(" ") if len(t) < 1_000_000 else len(set(t.split(" ")))
+            # pieces are counted with repeats; about one in seven is new, so this closes a block before it has too many
+            if size >= BLOCK_CHARS or seen >= 7 * BLOCK_PIECES:
+                yield rows, Block(cutter, texts)
+                rows, texts, size, seen = [], [], 0, 0
+    if rows:
+        yield rows, Block(cutter, texts)
 
 
-def _count_words(vocabulary: Vocabulary):
-    pattern = vocabulary.pattern
+def _dealt(words: list[str], counts: np.ndarray, parts: int) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """Words as bytes, the part of each, its tier of frequency, and the order by tier and part in which they are numbered."""
+    raw = [w.encode() for w in words]
+    part = np.fromiter(map(zlib.crc32, raw), dtype=np.int64, count=len(raw)) % parts
+    tier = np.full(len(raw), len(_TIERS), dtype=np.int64)
+    rank = np.argsort(-counts, kind="stable")
+    for k in reversed(range(len(_TIERS))):
+        tier[rank[: _TIERS[k]]] = k
+    return raw, part, tier, np.lexsort((part, tier))
 
-    def words_of(pieces: Counter, loose: Counter, find) -> Counter:
-        out = loose
-        for piece, n in pieces.items():
-            for w in find(" " + piece):
-                out[w] += n
-        return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = pretokenizer(pattern)
-        pieces, loose = Counter(), Counter()
+def _digest(raw: list[bytes]) -> int:
+    return xxhash.xxh3_64_intdigest(b"\0".join(raw)) - (1 << 63)
 
-        def flush():
-            words = words_of(pieces, loose, find)
-            out = pa.RecordBatch.from_arrays([pa.array(words.keys(), pa.string()), pa.array(words.values(), pa.int64())], names=["word", "n"])
-            pieces.clear()
-            loose.clear()
-            return out
 
-        for b in batches:
-            for text in b["text"].to_pylist():
-                if _ODD.search(text):
-                    loose.update(find(text))
-                else:
-                    head, _, rest = text.partition(" ")
-                    loose.update(find(head))
-                    if rest:
-                        pieces.update(rest.split(" "))
-                if len(pieces) + len(loose) > _FLUSH_WORDS:
-                    yield flush()
-        yield flush()
+_SQUEEZE = 3
+_WORD_ROWS = "part int, block long, digest long, tiers array<int>, lens binary, words binary"
+_PARTS = "block long, kind int, seq int, digest long, docs array<long>, counts array<int>, lens binary, data binary"
 
-    return run
 
+def _word_rows(vocabulary: Vocabulary, parts: int):
+    """The words of each block, a row for each part that gets some."""
 
-def _encode_words(vocabulary: Vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = None
-        for b in batches:
-            encode = encode or vocabulary.encoder()
-            ids = []
-            words = b["word"].to_pylist()
-            for i in range(0, len(words), 5000):
-                ids += [np.array(x, dtype="<u2").tobytes() for x in encode(words[i : i + 5000])]
-            yield pa.RecordBatch.from_arrays([b["word"], b["n"], pa.array(ids, pa.binary())], names=["word", "n", "ids"])
+        cutter, squeeze = Cutter(vocabulary.pattern), zstandard.ZstdCompressor(level=_SQUEEZE).compress
+        base = TaskContext.get().partitionId() * _TASK_BLOCKS
+        for k, (_, block) in enumerate(blocks(batches, cutter)):
+            raw, part, tier, _ = _dealt(block.words, block.counts, parts)
+            digest = _digest(raw)
+            order = np.lexsort((tier, part))
+            part, tier = part[order], tier[order]
+            edges = np.searchsorted(part, np.arange(parts + 1))
+            raw = [raw[i] for i in order.tolist()]
+            out = []
+            for p in np.unique(part).tolist():
+                i, j = int(edges[p]), int(edges[p + 1])
+                lens = np.fromiter(map(len, raw[i:j]), dtype="<u4", count=j - i)
+                out.append((p, base + k, digest, np.bincount(tier[i:j], minlength=len(_TIERS) + 1).tolist(), squeeze(lens.tobytes()), squeeze(b"".join(raw[i:j]))))
+            cols = list(zip(*out, strict=True)) if out else [[]] * 6
+            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["part", "block", "digest", "tiers", "lens", "words"])
 
     return run
 
 
-_HEADS: dict[int, tuple[dict, dict]] = {}
+def _encode_words(vocabulary: Vocabulary):
+    """The ids of each row's words, each distinct word of the partition encoded once."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, known = None, {}
+        squeeze, expand = zstandard.ZstdCompressor(level=_SQUEEZE).compress, zstandard.ZstdDecompressor().decompress
+        for b in batches:
+            encode = encode or vocabulary.encoder()
+            lens_out, ids_out = [], []
+            for lens, words in zip(b["lens"].to_pylist(), b["words"].to_pylist(), strict=True):
+                data = expand(words)
+                ends = np.cumsum(np.frombuffer(expand(lens), dtype="<u4")).tolist()
+                own = [data[i:j] for i, j in zip([0, *ends], ends, strict=False)]
+                if len(known) > _CACHE_WORDS:
+                    known.clear()
+                ids = []
+                for w in own:
+                    x = known.get(w)
+                    if x is None:
+                        x = known[w] = np.array(encode(w), dtype="<u4").tobytes()
+                    ids.append(x)
+                lens_out.append(squeeze((np.fromiter(map(len, ids), dtype="<u4", count=len(ids)) // 4).tobytes()))
+                ids_out.append(squeeze(b"".join(ids)))
+            n = len(ids_out)
+            yield pa.RecordBatch.from_arrays(
+                [b["block"], pa.array([0] * n, pa.int32()), b["part"], b["digest"], pa.nulls(n, pa.list_(pa.int64())), b["tiers"], pa.array(lens_out, pa.binary()), pa.array(ids_out, pa.binary())],
+                names=["block", "kind", "seq", "digest", "docs", "counts", "lens", "data"],
+            )
 
-def _head_of(shared) -> tuple[dict, dict]:
-    """The broadcast words of this worker, and its cache of pieces between spaces that hold no other words."""
-    if shared.id_ not in _HEADS:
-        _HEADS.clear()
-        words, ids = shared.value
-        _HEADS[shared.id_] = dict(zip(pa.ipc.open_stream(words).read_all()["w"].to_pylist(), ids, strict=True)), {}
-    return _HEADS[shared.id_]
+    return run
 
 
-class _Shared:
-    """A broadcast with a name of its own."""
+def _planes(codes: np.ndarray) -> bytes:
+    """32-bit numbers as three planes of bytes: a block has fewer than 2**24 words."""
+    return np.ascontiguousarray(codes.view(np.uint8).reshape(-1, 4)[:, :3].T).tobytes()
 
-    def __init__(self, broadcast, id_: str):
-        self.broadcast, self.id_ = broadcast, id_
 
-    @property
-    def value(self):
-        return self.broadcast.value
+def _unplanes(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 3, 4), dtype=np.uint8)
+    out[:, :3] = np.frombuffer(data, dtype=np.uint8).reshape(3, -1).T
+    return out.view("<u4").ravel()
 
 
-def _codes(vocabulary: Vocabulary, shared: _Shared, what: str):
-    """Per document its packed ids with holes ("codes"), or its words for the holes in order ("tail")."""
-    pattern = vocabulary.pattern
-    hole = _HOLE.to_bytes(2, "little")
+def _document_rows(vocabulary: Vocabulary, parts: int):
+    """The documents of each block as word numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = pretokenizer(pattern)
-        head, cache = _head_of(shared)
+        cutter, squeeze = Cutter(vocabulary.pattern), zstandard.ZstdCompressor(level=_SQUEEZE).compress
+        base = TaskContext.get().partitionId() * _TASK_BLOCKS
+        for k, (rows, block) in enumerate(blocks(batches, cutter)):
+            raw, _, _, order = _dealt(block.words, block.counts, parts)
+            digest = _digest(raw)
+            number = np.empty(len(raw), dtype="<u4")
+            number[order] = np.arange(len(raw), dtype="<u4")
+            flat = number.tobytes()
+            code = {w: flat[4 * i : 4 * i + 4] for i, w in enumerate(block.words)}
+            out: list[tuple] = []
+            docs: list[int | None] = []
+            held: list[bytes] = []
+            size = 0
 
-        def fill(words: list[str], tail: list[str]) -> bytes:
-            out = []
-            for w in words:
-                ids = head.get(w)
-                if ids is None:
-                    tail.append(w)
-                    ids = hole
-                out.append(ids)
-            return b"".join(out)
-
-        for b in batches:
-            blobs, tails, keep = [], [], []
-            for row, text in enumerate(b["text"].to_pylist()):
-                tail: list[str] = []
-                if _ODD.search(text):
-                    code = [fill(find(text), tail)]
-                else:
-                    first, _, rest = text.partition(" ")
-                    code = [fill(find(first), tail)]
-                    if rest:
-                        pieces = rest.split(" ")
-                        got = list(map(cache.get, pieces))
-                        if None in got:
-                            for i, x in enumerate(got):
-                                if x is None:
-                                    n = len(tail)
-                                    got[i] = fill(find(" " + pieces[i]), tail)
-                                    if len(tail) == n:
-                                        if len(cache) >= _CACHE_WORDS:
-                                            cache.clear()
-                                        cache[pieces[i]] = got[i]
-                        code += got
-                if what == "codes":
-                    blobs.append(zlib.compress(b"".join(code), 1))
-                elif tail:
-                    tails.append(tail)
-                    keep.append(row)
-            if what == "codes":
-                yield pa.RecordBatch.from_arrays([b["doc"], b["tk"], pa.array(blobs, pa.binary())], names=["doc", "tk", "codes"])
-            else:
-                at = pa.array(keep, pa.int64())
-                yield pa.RecordBatch.from_arrays([b["doc"].take(at), b["tk"].take(at), pa.array(tails, pa.list_(pa.string()))], names=["doc", "tk", "words"])
+            def close(out=out, docs=docs, held=held, k=k, digest=digest) -> None:
+                codes = np.frombuffer(b"".join(held), dtype="<u4")
+                out.append((base + k, 1, len(out), digest, list(docs), [len(h) // 4 for h in held], None, squeeze(_planes(codes))))
+                docs.clear()
+                held.clear()
+
+            for (doc,), data in zip(rows, block.packed(code), strict=True):
+                docs.append(doc)
+                held.append(data)
+                size += len(data) // 4
+                if size >= _ROW_WORDS:
+                    close()
+                    size = 0
+            if docs:
+                close()
+            cols = list(zip(*out, strict=True))
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["block", "kind", "seq", "digest", "docs", "counts", "lens", "data"])
 
     return run
 
 
-def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray]]:
-    """doc, tk, ids of rows sorted by doc, tk, k: first the packed ids (as often as the row is repeated), then the holes."""
-    key, blobs, holes = None, [], {}
-
-    def done():
-        for blob in blobs:
-            codes = np.frombuffer(zlib.decompress(blob), dtype="<u2")
-            at = np.flatnonzero(codes == _HOLE)
-            if len(at):
-                fills = [holes[k] for k in range(len(at))]
-                cut, last, parts = codes.tobytes(), 0, []
-                for p, ids in zip((at * 2).tolist(), fills, strict=True):
-                    parts += [cut[last:p], ids]
-                    last = p + 2
-                codes = np.frombuffer(b"".join([*parts, cut[last:]]), dtype="<u2")
-            yield *key, codes
-
+def _dictionary(replies: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a block's words in the order of their numbers: starts and lengths in the flat array of ids."""
+    expand = zstandard.ZstdDecompressor().decompress
+    starts, lens, flats = [[] for _ in range(len(_TIERS) + 1)], [[] for _ in range(len(_TIERS) + 1)], []
+    base = 0
+    for tiers, packed_lens, packed_ids in replies:
+        n, ids = np.frombuffer(expand(packed_lens), dtype="<u4").astype(np.int64), np.frombuffer(expand(packed_ids), dtype="<u4")
+        first = base + np.cumsum(n) - n
+        at = 0
+        for t, count in enumerate(tiers):
+            starts[t].append(first[at : at + count])
+            lens[t].append(n[at : at + count])
+            at += count
+        flats.append(ids)
+        base += len(ids)
+    empty = np.zeros(0, np.int64)
+    return np.concatenate([x for t in starts for x in t] or [empty]), np.concatenate([x for t in lens for x in t] or [empty]), np.concatenate(flats or [np.zeros(0, "<u4")])
+
+
+def gather(starts: np.ndarray, lens: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    """flat[start : start + len] of all, joined."""
+    ends = np.cumsum(lens)
+    total = int(ends[-1]) if len(ends) else 0
+    return flat[np.repeat(starts - (ends - lens), lens) + np.arange(total)]
+
+
+def _assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int | None], np.ndarray, np.ndarray]]:
+    """doc ids, the ids of their texts joined, and where each ends; rows are sorted by block, kind and seq."""
+    expand = zstandard.ZstdDecompressor().decompress
+    key, replies, table = None, [], None
     for b in batches:
-        for doc, tk, k, data in zip(*(b[c].to_pylist() for c in ("doc", "tk", "k", "data")), strict=True):
-            if (doc, tk) != key:
-                yield from done()
-                key, blobs, holes = (doc, tk), [], {}
-            if k < 0:
-                blobs.append(data)
-            else:
-                holes[k] = data
-    yield from done()
-
-
-def coded_rows(docs: DataFrame, vocabulary: Vocabulary, head_words: int = HEAD_WORDS) -> DataFrame:
-    """doc, tk, k, data: per document one row of packed ids (k = -1) and one for each of its rarer words."""
+        for block, kind, digest, docs, counts, lens, data in zip(*(b[c].to_pylist() for c in ("block", "kind", "digest", "docs", "counts", "lens", "data")), strict=True):
+            if (block, digest) != key:
+                if key is not None and block == key[0]:
+                    raise RuntimeError("the input's rows came in another order when they were read again")
+                key, replies, table = (block, digest), [], None
+            if kind == 0:
+                replies.append((counts, lens, data))
+                continue
+            table = table or _dictionary(replies)
+            starts, sizes, flat = table
+            numbers = _unplanes(expand(data))
+            if len(numbers) and int(numbers.max()) >= len(starts):
+                raise RuntimeError("words of a block are missing")
+            n = sizes[numbers]
+            ends = np.concatenate([[0], np.cumsum(n)])[np.cumsum(counts)]
+            yield docs, gather(starts[numbers], n, flat), ends
+
+
+def encoded_blocks(docs: DataFrame, vocabulary: Vocabulary, parts: int | None = None) -> DataFrame:
+    """Rows that `_assembled` takes, in its order."""
     spark = docs.sparkSession
     ship(spark)
-    rows = docs.select(F.coalesce("doc_id", F.lit(_NULL_DOC)).alias("doc"), F.xxhash64(whole_text()).alias("tk"), whole_text().alias("text"))
-    words = rows.select("text").mapInArrow(_count_words(vocabulary), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    words = written(words.mapInArrow(_encode_words(vocabulary), "word string, n long, ids binary"), "words").withColumn("step", F.floor(F.log2("n") * 8).cast("int"))
-    head, lowest = 0, 1 << 30
-    for step, n in sorted(words.groupBy("step").count().collect(), reverse=True):  # a few hundred rows at most
-        if head + n > head_words:
-            break
-        head, lowest = head + n, step
-    table = words.where(F.col("step") >= lowest).select("word", "ids").toArrow()
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, pa.schema([("w", pa.string())])) as w:
-        w.write_table(pa.table({"w": table["word"].cast(pa.string())}))
-    value = (sink.getvalue().to_pybytes(), table["ids"].to_pylist())
-    shared = _Shared(spark.sparkContext.broadcast(value), f"{spark.sparkContext.applicationId}-{id(value)}-{len(value[1])}")
-    codes = rows.mapInArrow(_codes(vocabulary, shared, "codes"), "doc long, tk long, codes binary")
-    tail = rows.mapInArrow(_codes(vocabulary, shared, "tail"), "doc long, tk long, words array<string>")
-    tail = tail.select("doc", "tk", F.posexplode("words").alias("k", "word"))
-    filled = tail.join(words.where(F.col("step") < lowest).select("word", "ids"), "word").select("doc", "tk", "k", F.col("ids").alias("data"))
-    return codes.select("doc", "tk", F.lit(-1).alias("k"), F.col("codes").alias("data")).unionByName(filled)
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), whole_text().alias("text"))
+    words = rows.select("text").mapInArrow(_word_rows(vocabulary, parts), _WORD_ROWS)
+    replies = words.repartitionById(parts, "part").mapInArrow(_encode_words(vocabulary), _PARTS)
+    # documents first: their tasks then have the same numbers as those that sent the words
+    both = rows.mapInArrow(_document_rows(vocabulary, parts), _PARTS).unionByName(replies)
+    task, own = F.floor(F.col("block") / _TASK_BLOCKS), F.col("block") % _TASK_BLOCKS
+    place = F.pmod(task + own * 97, F.lit(parts)).cast("int")  # blocks of a task go to different places
+    return both.repartitionById(parts, place).sortWithinPartitions("block", "kind", "seq")
 
 
 def _ids_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    docs, tks, ids, size = [], [], [], 0
-
-    def flush():
-        out = pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(tks, pa.int64()), pa.array(ids, pa.binary())], names=["doc", "tk", "ids"])
-        for x in (docs, tks, ids):
-            x.clear()
-        return out
-
-    for doc, tk, codes in _grouped(batches):
-        docs.append(doc)
-        tks.append(tk)
-        ids.append(codes.astype("<u4").tobytes())
-        size += len(ids[-1])
-        if size > 4_000_000:
-            size = 0
-            yield flush()
-    yield flush()
+    for docs, ids, ends in _assembled(batches):
+        data, cut = ids.astype("<u4").tobytes(), (ends * 4).tolist()
+        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array([data[i:j] for i, j in zip([0, *cut], cut, strict=False)], pa.binary())], names=["doc_id", "ids"])
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, head_words: int = HEAD_WORDS) -> DataFrame:
-    """doc, tk (hash of the text) and ids (little-endian unsigned 32-bit integers) of each document."""
-    dealt = coded_rows(docs, vocabulary, head_words).repartition("doc", "tk").sortWithinPartitions("doc", "tk", "k")
-    return dealt.mapInArrow(_ids_out, "doc long, tk long, ids binary")
+def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """doc_id and ids (little-endian unsigned 32-bit integers) of each document."""
+    return encoded_blocks(docs, vocabulary).mapInArrow(_ids_out, "doc_id long, ids binary")
 
 
-def decoder(table: dict[int, bytes]) -> Callable[[bytes], bytes]:
-    """Joins little-endian 32-bit ids to the token-byte table."""
-    get = table.__getitem__
-    return lambda ids: b"".join(map(get, np.frombuffer(ids, dtype="<u4").tolist()))
+class Decoder:
+    """Joins ids to the token-byte table."""
+
+    def __init__(self, table: dict[bytes, int]):
+        size = max(table.values(), default=-1) + 1
+        by_id = [b""] * size
+        for token, i in table.items():
+            by_id[i] = token
+        self.lens = np.fromiter(map(len, by_id), dtype=np.int64, count=size)
+        self.starts = np.cumsum(self.lens) - self.lens
+        self.flat = np.frombuffer(b"".join(by_id), dtype=np.uint8)
+
+    def __call__(self, ids: np.ndarray) -> bytes:
+        return gather(self.starts[ids], self.lens[ids], self.flat).tobytes()
 
 
 def _report(file: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decode = decoder({v: k for k, v in read_ranks(file).items()})
-        for b in batches:
-            ids = b["ids"].to_pylist()
-            docs = [None if d == _NULL_DOC else d for d in b["doc"].to_pylist()]
-            sha = [hashlib.sha256(x).hexdigest() for x in ids]
-            back = [hashlib.sha256(decode(x)).hexdigest() for x in ids]
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(sha), pa.array(back)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        decode = None
+        for docs, ids, ends in _assembled(batches):
+            decode = decode or Decoder(read_ranks(file))
+            edges = np.concatenate([[0], ends])
+            sha = [hashlib.sha256(ids[i:j].astype("<u4").tobytes()).hexdigest() for i, j in zip(edges, edges[1:], strict=False)]
+            back = [hashlib.sha256(decode(ids[i:j])).hexdigest() for i, j in zip(edges, edges[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(np.diff(edges).astype(np.int64)), pa.array(sha, pa.string()), pa.array(back, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
 
@@ -305,6 +398,6 @@ def _report(file: str):
 REPORT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def bpe_report(docs: DataFrame, vocabulary: Vocabulary, head_words: int = HEAD_WORDS) -> DataFrame:
+def bpe_report(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256; `vocabulary` names a rank file."""
-    return encode(docs, vocabulary, head_words).mapInArrow(_report(vocabulary.file), REPORT)
+    return encoded_blocks(docs, vocabulary).mapInArrow(_report(vocabulary.file), REPORT)
