@@ -2,8 +2,13 @@
 the document id. Each row holds its shard and its start within the shard, so readers can take stripes in parallel
 and add the shard's own start, a running sum over one row per shard.
 
+Texts are encoded where they are read, block by block: each distinct word of a block once, frequent words once per
+task. Only compressed ids are shuffled.
+
 Cases: a null text is empty and has the end id only; a null doc_id comes first; repeated rows are written once each,
-side by side; an empty table gives an empty folder's schema and result; other columns are not written.
+side by side; rows of one doc_id are ordered by a hash of the text, and a doc_id with a large share of the rows is
+spread over several shards in that order; an empty table gives an empty folder's schema and result; other columns are
+not written.
 """
 
 from __future__ import annotations
@@ -14,20 +19,53 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import _NULL_DOC, Vocabulary, _grouped, coded_rows
-from .common import shared_folder, ship
+from .bpe import Cutter, Vocabulary, blocks
+from .common import shared_folder, ship, whole_text
 
 SCHEMA = "doc_id long, shard int, shard_start long, n_tokens int, ids array<int>"
 ORC_OPTIONS = {"orc.bloom.filter.columns": "doc_id", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.compress": "ZSTD"}
+_NULL_DOC = -(2**63)
+#: Words that a task remembers, at most.
+_CACHE_WORDS = 200_000
+_ENCODED = "shard int, doc long, tk long, codes binary"
+
+
+def shard_of(doc: np.ndarray, tk: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Ascending by (doc, tk). A doc_id that equals several cuts is spread over their shards by tk."""
+    low, high = np.searchsorted(cuts, doc, side="left"), np.searchsorted(cuts, doc, side="right")
+    share = (tk.astype(np.float64) + 2.0**63) / 2.0**64
+    return low + np.minimum((share * (high - low + 1)).astype(np.int64), high - low)
+
+
+def _encode(vocabulary: Vocabulary, cuts: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cutter, encode, known = Cutter(vocabulary.pattern), None, {}
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        for rows, block in blocks(batches, cutter):
+            encode = encode or vocabulary.encoder()
+            code = {w: known.get(w) or np.array(encode(w.encode()), dtype="<u2").tobytes() for w in block.words}
+            often = np.flatnonzero(block.counts > 2).tolist()
+            if len(known) + len(often) > _CACHE_WORDS:
+                known.clear()
+            known.update((w, code[w]) for w in (block.words[i] for i in often))
+            out = []
+            for data in block.packed(code):
+                out.append(squeeze(data))
+            doc, tk = (np.array(c, dtype=np.int64) for c in zip(*rows, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(shard_of(doc, tk, cuts).astype(np.int32)), pa.array(doc), pa.array(tk), pa.array(out, pa.binary())], names=["shard", "doc", "tk", "codes"])
+
+    return run
 
 
 def _rows(end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, start = TaskContext.get().partitionId(), 0
+        expand = zstandard.ZstdDecompressor().decompress
         docs, starts, lens, flat = [], [], [], []
 
         def flush():
@@ -42,16 +80,18 @@ def _rows(end_id: int):
             return out
 
         held = 0
-        for doc, _, codes in _grouped(batches):
-            docs.append(None if doc == _NULL_DOC else doc)
-            starts.append(start)
-            lens.append(len(codes) + 1)
-            flat += [codes, np.array([end_id], dtype=np.uint16)]
-            start += len(codes) + 1
-            held += len(codes) + 1
-            if held > 1_000_000:
-                held = 0
-                yield flush()
+        for b in batches:
+            for doc, packed in zip(b["doc"].to_pylist(), b["codes"].to_pylist(), strict=True):
+                codes = np.frombuffer(expand(packed), dtype="<u2")
+                docs.append(None if doc == _NULL_DOC else doc)
+                starts.append(start)
+                lens.append(len(codes) + 1)
+                flat += [codes, np.array([end_id], dtype=np.uint16)]
+                start += len(codes) + 1
+                held += len(codes) + 1
+                if held > 1_000_000:
+                    held = 0
+                    yield flush()
         yield flush()
 
     return run
@@ -65,12 +105,12 @@ def write_tokens(docs: DataFrame, vocabulary: Vocabulary, path: str, shards: int
     spark = docs.sparkSession
     ship(spark)
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / shards for i in range(1, shards)] or [0.5], 100 * shards)).first()[0] or []
-    cuts = sorted(set(cuts))
-    shard = F.size(F.filter(F.array(*[F.lit(x).cast("long") for x in cuts]), lambda x: x < F.col("doc"))) if cuts else F.lit(0)
-    rows = coded_rows(docs, vocabulary)
-    dealt = rows.repartitionById(len(cuts) + 1, shard.cast("int")).sortWithinPartitions("doc", "tk", "k")
-    dealt.mapInArrow(_rows(vocabulary.end_id), SCHEMA).write.options(**ORC_OPTIONS).orc(path)
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_DOC)).alias("doc"), F.xxhash64(whole_text()).alias("tk"), whole_text().alias("text"))
+    cuts = rows.agg(F.percentile_approx("doc", [i / shards for i in range(1, shards)] or [0.5], 100 * shards)).first()[0] or []
+    cuts = np.array(sorted(cuts), dtype=np.int64)
+    coded = rows.mapInArrow(_encode(vocabulary, cuts), _ENCODED)
+    dealt = coded.repartitionById(len(cuts) + 1, "shard").sortWithinPartitions("doc", "tk")
+    dealt.select("doc", "codes").mapInArrow(_rows(vocabulary.end_id), SCHEMA).write.options(**ORC_OPTIONS).orc(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
