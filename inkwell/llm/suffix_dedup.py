@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -130,67 +131,145 @@ def _blocks(length: int, gram: int):
     return run
 
 
-_DECIDED = "kind int, g long, b long, doc long, tk long, lo int, m int, off int, blocks long"
+_ONCE, _SHARED, _STANDS, _ALONE, _EDGE = 0, 1, 2, 3, 9
+_UNKNOWN = -1
+
+
+class _Runs:
+    """Rows of one or more anchors, sorted by anchor and block: how often each block and how many blocks an anchor has."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        self.batch = batch
+        self.g, self.b = (batch[c].to_numpy(zero_copy_only=False) for c in ("g", "b"))
+        new_g = np.concatenate([[True], self.g[1:] != self.g[:-1]])
+        self.starts = np.flatnonzero(new_g | np.concatenate([[True], self.b[1:] != self.b[:-1]]))
+        self.n = np.diff(np.concatenate([self.starts, [len(self.g)]]))
+        self.group = np.cumsum(new_g[self.starts]) - 1
+
+    def rows(self, kind: int, at: np.ndarray, blocks: np.ndarray | int) -> pa.RecordBatch:
+        taken = self.batch.take(pa.array(at))
+        blocks = np.broadcast_to(np.asarray(blocks, dtype=np.int64), len(at))
+        extra = [pa.array(np.full(len(at), kind, np.int32)), pa.array(blocks), pa.nulls(len(at), pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays([*taken.columns, *extra], names=[*taken.schema.names, "kind", "blocks", "edge"])
+
+    def within(self) -> Iterator[pa.RecordBatch]:
+        """Rows of anchors that stand in this partition only."""
+        distinct = np.bincount(self.group)[self.group]
+        single = (np.bincount(self.group, self.n == 1) > 0)[self.group]
+        copies, blocks = np.repeat(self.n, self.n), np.repeat(distinct, self.n)
+        yield self.rows(_ONCE, np.flatnonzero(copies > 1), blocks[copies > 1])
+        shared = (copies == 1) & (blocks > 1)
+        yield self.rows(_SHARED, np.flatnonzero(shared), blocks[shared])
+        stands = (self.n > 1) & single
+        yield self.rows(_STANDS, self.starts[stands], distinct[stands])
+
+    def at_edge(self, opens: bool, closes: bool, partition: int) -> Iterator[pa.RecordBatch]:
+        """Rows of one anchor that may go on in other partitions. All but the first and the last block are whole here."""
+        outer = np.zeros(len(self.n), dtype=bool)
+        outer[0] |= opens
+        outer[-1] |= closes
+        yield self.rows(_ONCE, np.flatnonzero(np.repeat(self.n, self.n) > 1), 2)
+        yield self.rows(_SHARED, self.starts[(self.n == 1) & ~outer], _UNKNOWN)
+        yield self.rows(_STANDS, self.starts[self.n > 1], _UNKNOWN)
+        yield self.rows(_ALONE, self.starts[(self.n == 1) & outer], _UNKNOWN)
+        told = self.rows(_EDGE, np.zeros(1, np.int64), _UNKNOWN)
+        edge = [partition, len(self.n), int(self.b[0]), int(self.n[0]), int(self.b[-1]), int(self.n[-1]), int(((self.n == 1) & ~outer).any()), int(opens), int(closes)]
+        yield told.set_column(told.schema.get_field_index("edge"), "edge", pa.array([edge], pa.list_(pa.int64())))
 
 
 def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by g, b. kind 0: the block occurs again; 1: a block that shares its anchor with others; 2: one of
-    kind 0 that stands for its copies in a shard; 3: a row of the first or last anchor here, which may go on elsewhere."""
-    names = ["g", "b", "doc", "tk", "lo", "m", "off"]
-    held: list[np.ndarray] | None = None
+    """Rows sorted by g, b. kind 0: the block occurs again; 1: a block that shares its anchor with others; 2: one that
+    occurs again and stands for its copies in a shard; 3: a single row of a block at the partition's first or last
+    place. Where the anchor may go on in another partition `blocks` is unknown, and a row of kind 9 says what is here."""
+    held: list[pa.RecordBatch] = []
     first = None
-
-    def out(kind: np.ndarray, cols: list[np.ndarray], blocks: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int32)), *(pa.array(c) for c in cols), pa.array(blocks.astype(np.int64))], names=["kind", *names, "blocks"])
-
-    def closed(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        g, b = cols[0], cols[1]
-        new_g = np.concatenate([[True], g[1:] != g[:-1]])
-        new_b = new_g | np.concatenate([[True], b[1:] != b[:-1]])
-        runs = np.flatnonzero(new_b)
-        n = np.diff(np.concatenate([runs, [len(g)]]))
-        group = np.cumsum(new_g[runs]) - 1
-        distinct = np.bincount(group)
-        single = np.bincount(group, n == 1) > 0
-        copies, blocks, mixed = np.repeat(n, n), np.repeat(distinct[group], n), np.repeat(single[group], n)
-        for kind, at in ((0, copies > 1), (1, (copies == 1) & (blocks > 1)), (2, new_b & (copies > 1) & mixed)):
-            i = np.flatnonzero(at)
-            if len(i):
-                yield out(np.full(len(i), kind), [c[i] for c in cols], blocks[i])
-
+    partition = TaskContext.get().partitionId()
     for batch in batches:
-        cols = [batch[c].to_numpy(zero_copy_only=False) for c in names]
-        if not len(cols[0]):
+        if not batch.num_rows:
             continue
-        if first is None:
-            first = cols[0][0]
-        if held is not None:
-            cols = [np.concatenate([a, c]) for a, c in zip(held, cols, strict=True)]
-        opened = int((cols[0] == first).sum())
-        if opened:
-            yield out(np.full(opened, 3), [c[:opened] for c in cols], np.zeros(opened))
-        cols = [c[opened:] for c in cols]
-        held = None
-        if len(cols[0]):
-            cut = int(np.flatnonzero(cols[0] != cols[0][-1])[-1]) + 1 if (cols[0] != cols[0][-1]).any() else 0
-            held = [c[cut:] for c in cols]
-            if cut:
-                yield from closed([c[:cut] for c in cols])
-    if held is not None and len(held[0]):
-        yield out(np.full(len(held[0]), 3), held, np.zeros(len(held[0])))
-
-
-def _settle(rows: DataFrame, keep: list[str]) -> DataFrame:
-    """The kinds 0, 1 and 2 of rows with g and b, by aggregation and join: one hot group is many rows of no one task."""
-    counts = rows.groupBy("g", "b").agg(F.count("*").alias("n"), F.min(F.struct("doc", "tk", "lo")).alias("one"))
-    counts = written(counts, "block-counts")
-    groups = counts.groupBy("g").agg(F.count("*").alias("blocks"), F.max(F.col("n") == 1).alias("mixed")).where("blocks > 1")
-    counts = counts.join(groups, "g", "left").where("n > 1 OR blocks > 1")
-    counts = written(counts.select("g", "b", "n", "one", F.coalesce("blocks", F.lit(1)).alias("blocks"), F.coalesce("mixed", F.lit(False)).alias("mixed")), "block-groups")
-    joined = rows.join(counts, ["g", "b"])
-    main = joined.withColumn("kind", F.when(F.col("n") > 1, 0).otherwise(1))
-    stands = joined.where((F.col("n") > 1) & F.col("mixed") & (F.struct("doc", "tk", "lo") == F.col("one"))).withColumn("kind", F.lit(2))
-    return main.unionByName(stands).select("kind", *keep, "blocks")
+        g = batch["g"].to_numpy(zero_copy_only=False)
+        first = g[0] if first is None else first
+        change = np.flatnonzero(g[1:] != g[:-1])
+        cut = int(change[-1]) + 1 if len(change) else 0
+        if held and held[0]["g"][0].as_py() != g[0] or cut:
+            whole = pa.Table.from_batches([*held, *([batch.slice(0, cut)] if cut else [])]).combine_chunks().to_batches()[0]
+            wg = whole["g"].to_numpy(zero_copy_only=False)
+            k = int(np.searchsorted(wg != first, True)) if wg[0] == first else 0
+            if k:
+                yield from _Runs(whole.slice(0, k)).at_edge(True, False, partition)
+            if k < len(wg):
+                yield from _Runs(whole.slice(k)).within()
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        yield from _Runs(whole).at_edge(whole["g"][0].as_py() == first, True, partition)
+
+
+def edge_groups(edges: list[list[int]]) -> tuple[dict[int, tuple[int, bool]], set[tuple[int, int]]]:
+    """From rows (g, what a partition says): how many blocks an anchor has and whether one of them is single; the
+    blocks at partition bounds that occur more than once."""
+    groups: dict[int, tuple[int, bool]] = {}
+    again: set[tuple[int, int]] = set()
+    by: dict[int, list[list[int]]] = {}
+    for g, *edge in edges:
+        by.setdefault(g, []).append(edge)
+    for g, parts in by.items():
+        blocks, single, outer, last = 0, False, {}, None
+        for _, n, b0, n0, b1, n1, inner, opens, closes in sorted(parts):
+            blocks += n - (last == b0)
+            single |= bool(inner)
+            if n == 1:
+                outer[b0] = outer.get(b0, 0) + n0
+            else:
+                if opens:
+                    outer[b0] = outer.get(b0, 0) + n0
+                if closes:
+                    outer[b1] = outer.get(b1, 0) + n1
+            last = b1
+        groups[g] = blocks, single or 1 in outer.values()
+        again |= {(g, b) for b, n in outer.items() if n > 1}
+    return groups, again
+
+
+def _resolve(groups: dict[int, tuple[int, bool]], again: set[tuple[int, int]]):
+    """Rows with unknown `blocks`, decided by what all partitions say."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep, kinds, counts = [], [], []
+            for i, (g, b, kind) in enumerate(zip(*(batch[c].to_pylist() for c in ("g", "b", "kind")), strict=True)):
+                blocks, single = groups[g]
+                if kind == _ALONE and (g, b) in again:
+                    keep.append(i)
+                    kinds.append(_ONCE)
+                    counts.append(blocks)
+                    kind = _STANDS
+                elif kind == _ALONE:
+                    kind = _SHARED
+                if blocks > 1 and (kind == _SHARED or single):
+                    keep.append(i)
+                    kinds.append(kind)
+                    counts.append(blocks)
+            taken = batch.take(pa.array(keep, pa.int64()))
+            taken = taken.set_column(taken.schema.get_field_index("kind"), "kind", pa.array(kinds, pa.int32()))
+            yield taken.set_column(taken.schema.get_field_index("blocks"), "blocks", pa.array(counts, pa.int64()))
+
+    return run
+
+
+def _kinds(rows: DataFrame, name: str) -> DataFrame:
+    """`rows` (written, with g and b) of the kinds 0, 1 and 2, with kind and the number of blocks of their anchor.
+
+    Rows are dealt out in ranges of (g, b), so one hot block or anchor spans many partitions. What the driver joins is
+    at most two rows of a partition; a block of kind 2 may stand in a shard once for each partition that holds it.
+    """
+    dealt = rows.repartitionByRange("g", "b", "doc").sortWithinPartitions("g", "b", "doc")
+    schema = rows.select("*", F.lit(0).cast("int").alias("kind"), F.lit(0).cast("long").alias("blocks"), F.lit(None).cast("array<long>").alias("edge")).schema
+    decided = written(dealt.mapInArrow(_decide, schema), name)
+    edges = [[r.g, *r.edge] for r in decided.where(F.col("kind") == _EDGE).select("g", "edge").collect()]
+    late = decided.where((F.col("blocks") == _UNKNOWN) & (F.col("kind") != _EDGE)).mapInArrow(_resolve(*edge_groups(edges)), schema)
+    return decided.where(F.col("blocks") != _UNKNOWN).unionByName(late).drop("edge")
 
 
 def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,10 +405,7 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     ship(docs.sparkSession)
     rows = _rows(docs)
     blocks = written(rows.mapInArrow(_blocks(length, gram), _KEYS), "blocks")
-    dealt = blocks.repartitionByRange("g", "b", "doc").sortWithinPartitions("g", "b", "doc")
-    decided = written(dealt.mapInArrow(_decide, _DECIDED), "block-kinds")
-    keep = ["g", "b", "doc", "tk", "lo", "m", "off"]
-    decided = decided.where("kind < 3").unionByName(written(_settle(decided.where("kind = 3").drop("kind", "blocks"), keep), "late-kinds"))
+    decided = _kinds(blocks, "block-kinds")
     spans = decided.where("kind = 0").select("doc", "tk", F.col("lo").alias("start"), (F.col("lo") + F.col("m") + length - 1).cast("int").alias("end"))
     wanted = decided.where("kind > 0").withColumn("kind", F.col("kind") + F.when(F.col("blocks") > hot, 10).otherwise(0))
     wanted = wanted.groupBy("doc", "tk").agg(F.collect_list(F.struct("kind", "g", "lo", "m", "off")).alias("wanted"))
@@ -341,8 +417,7 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     while heavy.limit(1).count():
         level += 1
         cut = written(heavy.mapInArrow(_halve(length, gram, level), "kind int, g long, b long, doc long, tk long, lo int, m int, off int, body binary"), "halves")
-        again = cut.withColumnRenamed("kind", "was")
-        settled = written(_settle(again, ["was", "g", "b", "doc", "tk", "lo", "m", "off", "body"]), "half-kinds")
+        settled = _kinds(cut.withColumnRenamed("kind", "was"), "half-kinds")
         spans = spans.unionByName(settled.where("kind = 0 AND was = 1").select("doc", "tk", F.col("lo").alias("start"), (F.col("lo") + F.col("m") + length - 1).cast("int").alias("end")))
         left = settled.where("kind > 0").withColumn("kind", F.when((F.col("kind") == 1) & (F.col("was") == 1), 1).otherwise(2))
         ready = ready.unionByName(left.where(F.col("blocks") <= hot).select("kind", "g", "doc", "tk", "lo", "body"))
