@@ -18,8 +18,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import os
 import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -85,18 +87,41 @@ class Vocabulary:
     def __init__(self, library: str, file: str, pattern: str, end_id: int | None = None):
         self.library, self.file, self.pattern, self.end_id = library, file, pattern, end_id
 
-    def encoder(self) -> Callable[[bytes], list[int]]:
-        """Ids of one word, given as UTF-8."""
+    def encoder(self) -> Callable[[list[str]], list[bytes]]:
+        """Encodes words: the ids of each, packed as 16-bit numbers."""
         if self.library == "tiktoken":
             import tiktoken
 
             enc = tiktoken.Encoding("ranks", pat_str=self.pattern, mergeable_ranks=read_ranks(self.file), special_tokens={})
-            return lambda word: enc.encode_ordinary(word.decode())
+            return lambda words: [array("H", enc.encode_ordinary(w)).tobytes() for w in words]
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        split = Tokenizer.from_file(self.file).model.tokenize
+        # the file's model without its splitting, as the words are cut already
+        tok = Tokenizer(Tokenizer.from_file(self.file).model)
         letters = dict(enumerate(byte_letters()))
-        return lambda word: [t.id for t in split(word.decode("latin-1").translate(letters))]
+        space = letters[32]
+        vocabulary = tok.get_vocab()
+        sizes = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
+        sizes[list(vocabulary.values())] = list(map(len, vocabulary))
+
+        def spelled(w: str) -> str:
+            if w.isascii() and w.isprintable():
+                return w.replace(" ", space)
+            return w.encode().decode("latin-1").translate(letters)
+
+        def encode(words: list[str]) -> list[bytes]:
+            out: list[bytes] = []
+            for i in range(0, len(words), 4000):
+                some = list(map(spelled, words[i : i + 4000]))
+                ids = np.array(tok.encode_batch_fast([some], is_pretokenized=True, add_special_tokens=False)[0].ids, dtype="<u2")
+                # tokens do not span words: a word ends with the token that makes up its length
+                ends = np.searchsorted(np.cumsum(sizes[ids]), np.cumsum(list(map(len, some)))) + 1
+                flat, cut = ids.tobytes(), (2 * ends).tolist()
+                out += [flat[a:b] for a, b in zip([0, *cut], cut, strict=False)]
+            return out
+
+        return encode
 
 
 class Cutter:
@@ -104,12 +129,24 @@ class Cutter:
 
     def __init__(self, pattern: str):
         self.find, self.find_ascii = pretokenizer(pattern), ascii_pretokenizer(pattern)
+        #: Whether letters after a space are one word, and a mark after them is another.
+        self.plain = {r" ?\p{L}+", r" ?[^\s\p{L}\p{N}]+"} <= set(pattern.split("|"))
 
     def words(self, piece: str) -> list[str]:
         """Words of a piece that follows a space."""
-        if piece.isascii():
-            return [" " + piece] if piece.isalpha() else self.find_ascii(" " + piece)
-        return self.find(" " + piece)
+        if self.plain:
+            if piece.isalpha():
+                return [" " + piece]
+            if piece[-1:] in (".", ",") and piece[:-1].isalpha():
+                return [" " + piece[:-1], piece[-1]]
+        return self.find_ascii(" " + piece) if piece.isascii() else self.find(" " + piece)
+
+    def cut(self, text: str) -> tuple[list[str], list[str]]:
+        """Words, and the pieces after them."""
+        if _ODD.search(text):
+            return self.find(text), []
+        first, space, tail = text.partition(" ")
+        return self.find(first), tail.split(" ") if space else []
 
 
 class Block:
@@ -120,7 +157,7 @@ class Block:
         loose: Counter = Counter()
         self.cutter, self.texts = cutter, texts
         for text in texts:
-            head, rest = self._cut(text)
+            head, rest = cutter.cut(text)
             loose.update(head)
             pieces.update(rest)
         self.pieces = {p: cutter.words(p) for p in pieces}
@@ -129,17 +166,10 @@ class Block:
                 loose[w] += n
         self.words, self.counts = list(loose), np.fromiter(loose.values(), dtype=np.int64, count=len(loose))
 
-    def _cut(self, text: str) -> tuple[list[str], list[str]]:
-        """Words, and the pieces after them."""
-        if _ODD.search(text):
-            return self.cutter.find(text), []
-        first, space, tail = text.partition(" ")
-        return self.cutter.find(first), tail.split(" ") if space else []
-
     def packed(self, code: dict[str, bytes]) -> Iterator[bytes]:
         """Each text as its words' codes, joined."""
         of_piece = {p: b"".join([code[w] for w in ws]) if len(ws) > 1 else code[ws[0]] if ws else b"" for p, ws in self.pieces.items()}
-        for head, rest in map(self._cut, self.texts):
+        for head, rest in map(self.cutter.cut, self.texts):
             yield b"".join([*map(code.__getitem__, head), *map(of_piece.__getitem__, rest)])
 
 
@@ -223,13 +253,10 @@ def _encode_words(vocabulary: Vocabulary):
                 own = [data[i:j] for i, j in zip([0, *ends], ends, strict=False)]
                 if len(known) > _CACHE_WORDS:
                     known.clear()
-                ids = []
-                for w in own:
-                    x = known.get(w)
-                    if x is None:
-                        x = known[w] = np.array(encode(w), dtype="<u4").tobytes()
-                    ids.append(x)
-                lens_out.append(squeeze((np.fromiter(map(len, ids), dtype="<u4", count=len(ids)) // 4).tobytes()))
+                new = [w for w in own if w not in known]
+                known.update(zip(new, encode([w.decode() for w in new]), strict=True))
+                ids = list(map(known.__getitem__, own))
+                lens_out.append(squeeze((np.fromiter(map(len, ids), dtype="<u4", count=len(ids)) // 2).tobytes()))
                 ids_out.append(squeeze(b"".join(ids)))
             n = len(ids_out)
             yield pa.RecordBatch.from_arrays(
@@ -297,7 +324,7 @@ def _dictionary(replies: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     starts, lens, flats = [[] for _ in range(len(_TIERS) + 1)], [[] for _ in range(len(_TIERS) + 1)], []
     base = 0
     for tiers, packed_lens, packed_ids in replies:
-        n, ids = np.frombuffer(expand(packed_lens), dtype="<u4").astype(np.int64), np.frombuffer(expand(packed_ids), dtype="<u4")
+        n, ids = np.frombuffer(expand(packed_lens), dtype="<u4").astype(np.int64), np.frombuffer(expand(packed_ids), dtype="<u2")
         first = base + np.cumsum(n) - n
         at = 0
         for t, count in enumerate(tiers):
@@ -307,7 +334,7 @@ def _dictionary(replies: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarra
         flats.append(ids)
         base += len(ids)
     empty = np.zeros(0, np.int64)
-    return np.concatenate([x for t in starts for x in t] or [empty]), np.concatenate([x for t in lens for x in t] or [empty]), np.concatenate(flats or [np.zeros(0, "<u4")])
+    return np.concatenate([x for t in starts for x in t] or [empty]), np.concatenate([x for t in lens for x in t] or [empty]), np.concatenate(flats or [np.zeros(0, "<u2")])
 
 
 def gather(starts: np.ndarray, lens: np.ndarray, flat: np.ndarray) -> np.ndarray:

@@ -2,8 +2,8 @@
 the document id. Each row holds its shard and its start within the shard, so readers can take stripes in parallel
 and add the shard's own start, a running sum over one row per shard.
 
-Texts are encoded where they are read, block by block: each distinct word of a block once, frequent words once per
-task. Only compressed ids are shuffled.
+Texts are encoded where they are read, slice by slice: what stands between two spaces is encoded when a worker first
+meets it and remembered. Only compressed ids are shuffled.
 
 Cases: a null text is empty and has the end id only; a null doc_id comes first; repeated rows are written once each,
 side by side; rows of one doc_id are ordered by a hash of the text, and a doc_id with a large share of the rows is
@@ -13,6 +13,7 @@ not written.
 
 from __future__ import annotations
 
+import gc
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -24,14 +25,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import Cutter, Vocabulary, blocks
-from .common import shared_folder, ship, whole_text
+from .bpe import Cutter, Vocabulary
+from .common import shared_folder, ship, slices, whole_text
 
 SCHEMA = "doc_id long, shard int, shard_start long, n_tokens int, ids array<int>"
 ORC_OPTIONS = {"orc.bloom.filter.columns": "doc_id", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.compress": "ZSTD"}
 _NULL_DOC = -(2**63)
-#: Words that a task remembers, at most.
-_CACHE_WORDS = 200_000
+#: Pieces between spaces whose ids a Python worker remembers from one task to the next, about.
+_CACHE_PIECES = 1_000_000
+_SLICE_CHARS = 8_000_000
+_KNOWN: dict[str, dict[str, bytes]] = {}
 _ENCODED = "shard int, doc long, tk long, codes binary"
 
 
@@ -44,20 +47,29 @@ def shard_of(doc: np.ndarray, tk: np.ndarray, cuts: np.ndarray) -> np.ndarray:
 
 def _encode(vocabulary: Vocabulary, cuts: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter, encode, known = Cutter(vocabulary.pattern), None, {}
+        cutter, encode = Cutter(vocabulary.pattern), None
         squeeze = zstandard.ZstdCompressor(level=3).compress
-        for rows, block in blocks(batches, cutter):
-            encode = encode or vocabulary.encoder()
-            code = {w: known.get(w) or np.array(encode(w.encode()), dtype="<u2").tobytes() for w in block.words}
-            often = np.flatnonzero(block.counts > 2).tolist()
-            if len(known) + len(often) > _CACHE_WORDS:
-                known.clear()
-            known.update((w, code[w]) for w in (block.words[i] for i in often))
-            out = []
-            for data in block.packed(code):
-                out.append(squeeze(data))
-            doc, tk = (np.array(c, dtype=np.int64) for c in zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(shard_of(doc, tk, cuts).astype(np.int32)), pa.array(doc), pa.array(tk), pa.array(out, pa.binary())], names=["shard", "doc", "tk", "codes"])
+        known = _KNOWN.setdefault(vocabulary.file, {})
+        gc.disable()  # there are no cycles, but millions of strings to look through for them
+        for b in batches:
+            for part in slices({c: b[c].to_pylist() for c in b.schema.names}, "text", _SLICE_CHARS):
+                encode = encode or vocabulary.encoder()
+                cuts_of = list(map(cutter.cut, part["text"]))
+                pieces: set[str] = set()
+                heads: set[str] = set()
+                for head, rest in cuts_of:
+                    heads.update(head)
+                    pieces.update(rest)
+                if len(known) > _CACHE_PIECES:
+                    known.clear()
+                new = {p: cutter.words(p) for p in pieces.difference(known)}
+                words = list(heads.union(*new.values()))
+                ids = dict(zip(words, encode(words), strict=True))
+                known.update((p, ids[ws[0]] if len(ws) == 1 else b"".join([ids[w] for w in ws])) for p, ws in new.items())
+                out = [squeeze(b"".join([*map(ids.__getitem__, head), *map(known.__getitem__, rest)])) for head, rest in cuts_of]
+                doc, tk = (np.array(part[c], dtype=np.int64) for c in ("doc", "tk"))
+                yield pa.RecordBatch.from_arrays([pa.array(shard_of(doc, tk, cuts).astype(np.int32)), pa.array(doc), pa.array(tk), pa.array(out, pa.binary())], names=["shard", "doc", "tk", "codes"])
+        gc.enable()
 
     return run
 
