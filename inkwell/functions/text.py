@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import unicodedata
 
 from pyspark.sql import Column
@@ -41,12 +40,15 @@ def tokens(text: Column, short: int = 0, lowercase: bool = True) -> Column:
     if short <= 0:
         return F.transform(all_words, lambda t, i: F.struct(t.alias("token"), i.alias("pos")))
 
-    def fuse(t: Column, i: Column) -> Column:
-        before, after = F.get(all_words, i - 1), F.get(all_words, i + 1)
-        pair = F.filter(F.array(F.concat(before, t), F.concat(t, after)), lambda x: x.isNotNull())
-        return F.transform(F.when(F.length(t) < short, pair).otherwise(F.array(t)), lambda x: F.struct(x.alias("token"), i.alias("pos")))
+    def fused(ws: Column) -> Column:
+        def one(t: Column, i: Column) -> Column:
+            pair = F.filter(F.array(F.concat(F.get(ws, i - 1), t), F.concat(t, F.get(ws, i + 1))), lambda x: x.isNotNull())
+            return F.transform(F.when(F.length(t) < short, pair).otherwise(F.array(t)), lambda x: F.struct(x.alias("token"), i.alias("pos")))
 
-    return F.flatten(F.transform(all_words, fuse))
+        return F.flatten(F.transform(ws, one))
+
+    # bound to a variable first: a lambda would cut the text anew for each word
+    return F.transform(F.array(all_words), fused)[0]
 
 
 def query_tokens(text: str, short: int = 0, lowercase: bool = True) -> list[str]:
@@ -72,16 +74,10 @@ def content_words(content: Column) -> Column:
 
 
 def has_phrase(content: Column, phrase: list[str]) -> Column:
-    """Whether the words of the content hold the phrase as consecutive words."""
-    sought = F.array(*[F.lit(w) for w in phrase])
-    n = len(phrase)
-    if n == 0:
+    """Whether the words of the content hold the phrase as consecutive words: words have no spaces, so joined text will do."""
+    if not phrase:
         return F.lit(True)
-    ws = content_words(content)
-    # the cheap test on single words decides most rows before windows are cut
-    every = F.forall(sought, lambda w: F.array_contains(ws, w))
-    starts = F.sequence(F.lit(1), F.greatest(F.size(ws) - (n - 1), F.lit(1)))
-    return every & F.exists(starts, lambda i: F.slice(ws, i, n) == sought)
+    return F.contains(F.concat(F.lit(" "), F.array_join(content_words(content), " "), F.lit(" ")), F.lit(f" {' '.join(phrase)} "))
 
 
 def any_word(content: Column, unwanted: list[str]) -> Column:
@@ -100,8 +96,3 @@ def page_links(html: Column) -> Column:
 
 def join_text(items: Column, separator: str = " ") -> Column:
     return F.array_join(items, separator)
-
-
-def literal(text: str) -> str:
-    """A text as a regular expression that matches only itself."""
-    return re.escape(text)
