@@ -269,7 +269,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """The documents with the smallest doc_id of their group, one row each, with the columns of `docs`."""
     kept = components(docs).where("doc = component").groupBy("doc").agg(F.count("*").alias("rows"))
     kept = written(kept, "simhash-kept")
-    out = docs.join(kept.select("doc"), F.coalesce("doc_id", F.lit(_NULL_DOC)) == F.col("doc"), "left_semi")
+    # the documents' columns may have any names but this one
+    out = docs.join(kept.select(F.col("doc").alias("__kept_doc")), F.coalesce("doc_id", F.lit(_NULL_DOC)) == F.col("__kept_doc"), "left_semi")
     if kept.where("rows > 1").limit(1).count():
         out = out.dropDuplicates(["doc_id"])
     return out
