@@ -1,6 +1,6 @@
 """Toxicity: gradient-boosted trees over dense features of a text, calibrated by isotonic regression.
 
-Features: densities of a lexicon (seed words and words that labelled toxic documents favour), how close its words
+Features: densities of a lexicon (seed words, and words and stems that labelled toxic documents favour), how close its words
 stand to second-person words, capitals, punctuation and obfuscation rates. Only the text is an input of a score.
 
 Training takes at most `SAMPLE_ROWS` labelled documents, drawn by a hash of doc_id, none of them held out; their
@@ -29,11 +29,14 @@ from .common import ship, whole_text, written
 
 #: Labelled documents that train the model, at most.
 SAMPLE_ROWS = 12_000
-#: Words with the strongest evidence that become the learned lexicon, and those that are fetched to choose from.
+#: Words and stems with the strongest evidence that become the learned lexicon, and those that are fetched to choose from.
 LEXICON_WORDS = 200
-WORD_ROWS = 2_000
-#: A learned word stands in this share of the toxic documents, and its log odds are at least these.
-LEXICON_SHARE, LEXICON_ODDS = 0.08, 3.0
+WORD_ROWS = 40_000
+#: A learned entry stands in this share of the toxic documents; its log odds and its likelihood ratio are at least these.
+LEXICON_SHARE, LEXICON_ODDS, LEXICON_RATIO = 0.015, 1.5, 30.0
+#: Lengths in bytes of the stems: entries that end with a star stand for all words that begin so.
+STEMS = range(4, 9)
+_TERMS_KEPT = 400_000
 FOLDS = 5
 TREES, DEPTH, RATE, BINS, LEAF = 80, 3, 0.15, 32, 20
 SEED_LEXICON = ("idiot", "idiots", "stupid", "moron", "morons", "trash", "scum", "worthless", "pathetic", "disgusting", "clown", "loser", "losers", "dumb", "garbage", "filth", "vermin", "hate", "ugly", "shut")
@@ -53,14 +56,36 @@ _CAP_WORD = re.compile(rb"\b[A-Z]{3,}\b")
 _SPACED = re.compile(rb"\b(?:[a-z] ){3,}[a-z]\b")
 
 
-def text_features(raw: bytes, lexicon: dict[bytes, float], seeds: frozenset[bytes]) -> list[float]:
+class Terms(dict):
+    """The lexicon's weight of each word met so far: its own, or that of its strongest stem; 0 for most."""
+
+    def __init__(self, lexicon: dict[bytes, float]):
+        super().__init__()
+        self.lexicon = lexicon
+
+    def __missing__(self, word: bytes) -> float:
+        if len(self) > _TERMS_KEPT:
+            self.clear()
+        get = self.lexicon.get
+        weight = self[word] = max(get(word, 0.0), *(get(word[:k] + b"*", 0.0) for k in STEMS if k < len(word)), 0.0)
+        return weight
+
+
+def word_and_stems(word: bytes) -> list[bytes]:
+    """What a word counts for when the lexicon is learned."""
+    return [word, *(word[:k] + b"*" for k in STEMS if k < len(word))]
+
+
+def text_features(raw: bytes, terms: Terms, seeds: frozenset[bytes]) -> list[float]:
     """Dense features of one UTF-8 text."""
+    lexicon = terms.lexicon
     plain = raw.translate(_PLAIN)
     words = plain.split()
     n = max(len(words), 1)
-    hits = [i for i, w in enumerate(words) if w in lexicon]
+    every = list(map(terms.__getitem__, words))
+    hits = [i for i, x in enumerate(every) if x] if any(every) else []
     distinct = {words[i] for i in hits}
-    weights = [lexicon[words[i]] for i in hits]
+    weights = [every[i] for i in hits]
     seed_hits = sum(words[i] in seeds for i in hits)
     near = 0
     for i in hits:
@@ -184,7 +209,9 @@ def _sample_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for b in batches:
         counts: dict[int, Counter] = {0: Counter(), 1: Counter()}
         for text, toxic in zip(b["text"].to_pylist(), b["toxic"].to_pylist(), strict=True):
-            counts[toxic].update(w for w in set(text.encode("utf-8", "surrogatepass").translate(_PLAIN).split()) if 3 <= len(w) <= 24)
+            if toxic:
+                found = {w for w in text.encode("utf-8", "surrogatepass").translate(_PLAIN).split() if 3 <= len(w) <= 24}
+                counts[toxic].update({t for w in found for t in word_and_stems(w)})
         words = list(counts[1])  # words of no toxic document can't be chosen
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([counts[1][w] for w in words], pa.int64())], names=["word", "bad"])
 
@@ -195,7 +222,8 @@ def _sample_counts(wanted: frozenset[bytes]):
         for b in batches:
             for text, toxic in zip(b["text"].to_pylist(), b["toxic"].to_pylist(), strict=True):
                 if not toxic:
-                    c.update(wanted.intersection(text.encode("utf-8", "surrogatepass").translate(_PLAIN).split()))
+                    found = {w for w in text.encode("utf-8", "surrogatepass").translate(_PLAIN).split() if 3 <= len(w) <= 24}
+                    c.update(wanted.intersection([t for w in found for t in word_and_stems(w)]))
         yield pa.RecordBatch.from_arrays([pa.array(c.keys(), pa.binary()), pa.array(c.values(), pa.int64())], names=["word", "good"])
 
     return run
@@ -203,8 +231,9 @@ def _sample_counts(wanted: frozenset[bytes]):
 
 def _feature_rows(lexicon: dict[bytes, float], seeds: frozenset[bytes], keep: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = Terms(lexicon)
         for b in batches:
-            x = [text_features(t.encode("utf-8", "surrogatepass"), lexicon, seeds) for t in b["text"].to_pylist()]
+            x = [text_features(t.encode("utf-8", "surrogatepass"), terms, seeds) for t in b["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b[c] for c in keep), pa.array(x, pa.list_(pa.float64()))], names=[*keep, "x"])
 
     return run
@@ -230,8 +259,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     bads = {bytes(r.word): r.bad for r in top}
     goods = {bytes(r.word): r.good for r in sample.select("text", "toxic").mapInArrow(_sample_counts(frozenset(bads)), "word binary, good long").groupBy("word").agg(F.sum("good").alias("good")).collect()}
     odds = {w: float(np.log((b + 0.5) / (n_bad + 1)) - np.log((goods.get(w, 0) + 0.5) / (n_all - n_bad + 1))) for w, b in bads.items()}
-    learned = sorted((w for w in odds if odds[w] > LEXICON_ODDS), key=lambda w: (-odds[w], w))[:LEXICON_WORDS]
-    lexicon = base.lexicon | {w: odds[w] for w in learned}
+    ratio = {w: likelihood_ratio(b, goods.get(w, 0), n_bad, n_all - n_bad) for w, b in bads.items() if odds[w] >= LEXICON_ODDS}
+    lexicon = base.lexicon | {w: odds[w] for w in independent(sorted((w for w in ratio if ratio[w] >= LEXICON_RATIO), key=lambda w: (-ratio[w], w)))}
     keep = ("doc_id", "toxic")
     table = sample.mapInArrow(_feature_rows(lexicon, _SEEDS, keep), "doc_id long, toxic int, x array<double>").withColumn("fold", F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS).orderBy("doc_id", "x").toArrow()
     x = np.array(table["x"].to_pylist())
@@ -248,10 +277,31 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     return model
 
 
+def likelihood_ratio(bad: int, good: int, n_bad: int, n_good: int) -> float:
+    """How much likelier the counts are with a share of documents for each class than with one for both, as 2 log."""
+    share = (bad + good) / (n_bad + n_good)
+    out = 0.0
+    for k, n in ((bad, n_bad), (good, n_good)):
+        out += k * np.log(k / (n * share)) if k else 0.0
+        out += (n - k) * np.log((n - k) / (n * (1 - share))) if n > k else 0.0
+    return 2 * float(out)
+
+
+def independent(terms: list[bytes], most: int = LEXICON_WORDS) -> list[bytes]:
+    """The first `most` terms, best first, without those that begin like a better one or that a better one begins like."""
+    chosen: list[bytes] = []
+    for t in terms:
+        stem = t.rstrip(b"*")
+        if len(chosen) < most and not any((c.endswith(b"*") and stem.startswith(c[:-1])) or (t.endswith(b"*") and c.rstrip(b"*").startswith(stem)) for c in chosen):
+            chosen.append(t)
+    return chosen
+
+
 def _score(model: Model, text: str, keep: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = Terms(model.lexicon)
         for b in batches:
-            x = [text_features((t or "").encode("utf-8", "surrogatepass"), model.lexicon, _SEEDS) for t in b[text].to_pylist()]
+            x = [text_features((t or "").encode("utf-8", "surrogatepass"), terms, _SEEDS) for t in b[text].to_pylist()]
             score = model.score(np.array(x).reshape(-1, FEATURES))
             yield pa.RecordBatch.from_arrays([*(b[c] for c in keep), pa.array(score, pa.float64())], names=[*keep, "score"])
 

@@ -1,0 +1,366 @@
+"""Operators on documents against plain Python."""
+
+from __future__ import annotations
+
+import base64
+import hashlib
+import json
+import re
+import struct
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from inkwell.llm import bpe, line_dedup, mixing, ogg_media, orc_tokens, queries, secret_scan, simhash, suffix_array, suffix_dedup, toxicity
+
+WS = " \t\n\x0b\x0c\r"
+
+
+def raw(text):
+    return (text or "").encode()
+
+
+def sha(data):
+    return hashlib.sha256(data).hexdigest()
+
+
+def same(df, expected):
+    assert Counter(tuple(r) for r in df.collect()) == Counter(expected)
+
+
+# 1
+
+
+def brute_removed(rows, length):
+    seen = Counter(t[i : i + length] for _, x in rows for t in [raw(x)] for i in range(len(t) - length + 1))
+    for doc, x in rows:
+        t = raw(x)
+        cover = np.zeros(len(t) + 1, dtype=int)
+        for i in range(len(t) - length + 1):
+            if seen[t[i : i + length]] > 1:
+                cover[i] += 1
+                cover[i + length] -= 1
+        gone = np.cumsum(cover[:-1]) > 0
+        runs = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
+        yield doc, len(t), int(gone.sum()), runs, sha(bytes(b for b, g in zip(t, gone.tolist(), strict=True) if not g))
+
+
+@pytest.mark.parametrize("params", [{"length": 40, "gram": 12, "hot": 2, "shard_bytes": 3000}, {"length": 200, "gram": 64}])
+def test_suffix_dedup(make_docs, edge_rows, params):
+    rows = [(d, t[:20_000] if t else t) for d, t in edge_rows]
+    same(suffix_dedup.suffix_report(make_docs(rows), **params), brute_removed(rows, params["length"]))
+
+
+def test_suffix_dedup_empty(make_docs):
+    assert suffix_dedup.suffix_report(make_docs([])).collect() == []
+
+
+@pytest.mark.parametrize("alphabet", [1, 2, 4, 200])
+def test_suffix_array(alphabet):
+    rng = np.random.default_rng(alphabet)
+    s = np.concatenate([rng.integers(1, alphabet + 1, 700), [0]])
+    data = s.tolist()
+    expected = sorted(range(len(data)), key=lambda i: data[i:])
+    sa = suffix_array.suffix_array(s)
+    assert sa.tolist() == expected
+    lcp = suffix_array.permuted_lcp(s, sa)
+    for a, b in zip(expected, expected[1:], strict=False):
+        n = 0
+        while max(a, b) + n < len(data) and data[a + n] == data[b + n]:
+            n += 1
+        assert lcp[b] == n
+
+
+# 2
+
+
+def test_toxicity(spark):
+    d = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    r = queries.op2_toxicity(spark, d)
+    rows = {x.doc_id: x for x in r.collect()}
+    assert all(0 <= x.score <= 1 and x.predicted == (x.score >= 0.5) and x.held_out == (zlib.crc32(str(k).encode()) % 5 == 0) for k, x in rows.items())
+    held = [(rows[x.doc_id].predicted, x.toxic) for x in labels.collect() if rows[x.doc_id].held_out and x.toxic is not None]
+    assert sum(p == t for p, t in held) / len(held) >= 0.97
+    found = [p for p, t in held if t]
+    assert sum(found) / len(found) >= 0.85
+
+
+def test_toxicity_edges(spark, make_docs, edge_rows):
+    docs = make_docs(edge_rows)
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    some = spark.createDataFrame([(d, 0, t) for d, t in [(20, 1), (21, None), (None, 1), (22, 0), (22, 1), (999, 1)]], none.schema)
+    for labels in (none, some):
+        assert toxicity.toxicity_report(docs, labels).count() == len(edge_rows)
+        assert toxicity.drop_toxic(docs, labels).columns == docs.columns
+    assert toxicity.toxicity_report(make_docs([]), none).collect() == []
+
+
+def test_lexicon():
+    terms = toxicity.Terms({b"word": 1.0, b"stem*": 2.0, b"stemmed*": 3.0})
+    assert [terms[w] for w in (b"word", b"words", b"stem", b"stems", b"stemmedx", b"other")] == [1.0, 0.0, 0.0, 2.0, 3.0, 0.0]
+    assert toxicity.independent([b"stem*", b"stemm*", b"ste", b"stems", b"rest*", b"res*", b"res"]) == [b"stem*", b"ste", b"rest*", b"res"]
+    assert toxicity.likelihood_ratio(5, 5, 10, 10) == pytest.approx(0) and toxicity.likelihood_ratio(10, 0, 10, 10) > 20
+
+
+def test_isotonic():
+    p, m = toxicity.isotonic(np.array([0.1, 0.2, 0.3, 0.4]), np.array([0.0, 1.0, 0.0, 1.0]))
+    assert m.tolist() == [0.0, 0.5, 1.0] and (np.diff(p) > 0).all()
+
+
+# 3
+
+
+def test_secrets(make_docs, edge_rows):
+    def b64(x):
+        return base64.urlsafe_b64encode(json.dumps(x).encode()).decode().rstrip("=")
+
+    token = f"{b64({'alg': 'HS256'})}.{b64({'sub': 1})}.c2ln"
+    inner = b"\x02\x01\x00" + b"\x02\x20" + bytes(range(1, 33))
+    der = b"\x30" + bytes([len(inner)]) + inner
+    ssh = struct.pack(">I", 11) + b"ssh-ed25519" + struct.pack(">I", 32) + bytes(32)
+    text = f"🔑 Password: 'abcdef' x api_key=12345 AKIA{'A' * 16} {'0a' * 12} {token} {base64.b64encode(der).decode()} {base64.b64encode(ssh).decode()}"
+    text += f"\n-----BEGIN PRIVATE KEY-----\n{base64.b64encode(der).decode()}\n-----END PRIVATE KEY----- eyJub3Q.eyJh.x"
+    rows = [*edge_rows, (100, text)]
+    got = {r.doc_id: r for r in secret_scan.scan_secrets(make_docs(rows)).collect()}
+    kinds = [s.split(":")[0] for s in got[100].spans.split(",")]
+    assert sorted(set(kinds)) == ["access", "assign", "der", "hex", "jwt", "pem", "ssh"] and kinds.count("assign") == 1
+    assign = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    for doc, t in rows:
+        base = [(m.start(), 0, m.end()) for m in assign.finditer(t or "") if len(m[2]) >= 6]
+        base += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t or "") if len(m[0]) >= 20]
+        base += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t or "") if len(m[0]) >= 24]
+        joined = ",".join(f"{('assign', 'access', 'hex')[k]}:{i}:{j}" for i, k, j in sorted(base))
+        r = got[doc]
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(x[1] == k for x in base) for k in range(3)) and r.base_sha256 == sha(joined.encode())
+    assert secret_scan.scan_secrets(make_docs([])).collect() == []
+
+
+# 5 and 10
+
+
+@pytest.fixture(scope="module")
+def tiktoken_ids():
+    import tiktoken
+
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), special_tokens={})
+    return enc.encode_ordinary
+
+
+def test_bpe(make_docs, edge_rows, tiktoken_ids, monkeypatch):
+    monkeypatch.setattr(bpe, "BLOCK_CHARS", 100_000)
+    expected = [(d, len(i), sha(struct.pack(f"<{len(i)}I", *i)), sha(raw(t))) for d, t in edge_rows for i in [tiktoken_ids(t or "")]]
+    same(bpe.bpe_report(make_docs(edge_rows), queries.ranks()), expected)
+    assert bpe.bpe_report(make_docs([]), queries.ranks()).collect() == []
+
+
+def test_bpe_order_is_guarded():
+    import pyarrow as pa
+
+    row = {"block": [0, 0], "kind": [0, 1], "digest": [1, 2], "docs": [None, [1]], "counts": [[1, 0, 0], [1]], "lens": [b"", None], "data": [b"", b""]}
+    with pytest.raises(RuntimeError):
+        list(bpe._assembled(iter([pa.RecordBatch.from_pydict(row)])))
+
+
+def test_orc_tokens(spark, make_docs, edge_rows):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tok.encode_special_tokens = True
+    got = sorted((tuple(r) for r in orc_tokens.orc_report(make_docs(edge_rows), queries.tokenizer_json()).collect()), key=lambda r: r[1])
+    start = 0
+    for r, (doc, text) in zip(got, sorted(edge_rows, key=lambda x: -1 if x[0] is None else x[0]), strict=True):
+        ids = [*tok.encode(text or "", add_special_tokens=False).ids, 2]
+        assert r == (doc, start, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)))
+        start += len(ids)
+    assert orc_tokens.orc_report(make_docs([]), queries.tokenizer_json()).collect() == []
+
+
+def test_orc_shards():
+    cuts = np.array([3, 5, 5, 5, 9])
+    doc, tk = np.array([1, 3, 4, 5, 5, 5, 6, 10]), np.array([0, 0, 0, -(2**63), 0, 2**63 - 1, 0, 0])
+    shards = orc_tokens.shard_of(doc, tk, cuts)
+    assert (np.diff(shards) >= 0).all() and len(set(shards[3:6].tolist())) == 3
+
+
+# 6
+
+
+def brute_lines(rows, min_chars=20, min_docs=3):
+    lower = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
+    holders = defaultdict(set)
+    order = {d: -1 if d is None else d for d, _ in rows}
+    cut = [(d, [(x, x.strip(WS).translate(lower)) for x in (t or "").split("\n")]) for d, t in rows]
+    for d, lines in cut:
+        for _, k in lines:
+            if len(k) >= min_chars:
+                holders[k].add(order[d])
+    for d, lines in cut:
+        kept = [x for x, k in lines if len(holders.get(k, ())) < min_docs or max(holders[k]) == order[d]]
+        yield d, len(lines), len(lines) - len(kept), "\n".join(kept)
+
+
+def test_line_dedup(make_docs, edge_rows):
+    expected = list(brute_lines(edge_rows))
+    assert sum(x[2] for x in expected) > 0
+    same(line_dedup.line_report(make_docs(edge_rows)), [(d, n, k, sha(t.encode())) for d, n, k, t in expected])
+    docs = make_docs(edge_rows)
+    kept = line_dedup.drop_lines(docs)
+    assert kept.columns == docs.columns
+    same(kept.select("doc_id", F.coalesce("text", F.lit(""))), [(d, t) for d, _, _, t in expected])
+    assert line_dedup.line_report(make_docs([])).collect() == []
+
+
+def test_hot_line(make_docs):
+    rows = [(i, f"the very same line everywhere {'' if i % 3 else 'x' * i}\nown line number {i:010d}") for i in range(900)]
+    same(line_dedup.line_report(make_docs(rows)), [(d, n, k, sha(t.encode())) for d, n, k, t in brute_lines(rows)])
+
+
+# 7
+
+
+def brute_fingerprint(text):
+    words = [w for w in re.split(r"[\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
+    if not words:
+        return 0
+    grams = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or [" ".join(words)]
+    h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def brute_components(ids, prints, near):
+    root = {i: i for i in ids}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in range(len(ids)):
+        for b in range(a):
+            if near(prints[a], prints[b]):
+                x, y = sorted((find(ids[a]), find(ids[b])))
+                root[y] = x
+    return [find(i) for i in ids]
+
+
+def test_simhash(make_docs, edge_rows):
+    ids, prints = [-1 if d is None else d for d, _ in edge_rows], [brute_fingerprint(t) for _, t in edge_rows]
+    roots = brute_components(ids, prints, lambda x, y: (x ^ y).bit_count() <= 2)
+    expected = [(d, f"{p:016x}", None if r == -1 else r) for (d, _), p, r in zip(edge_rows, prints, roots, strict=True)]
+    same(simhash.simhash_report(make_docs(edge_rows)), expected)
+    docs = make_docs(edge_rows)
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(-1 if r.doc_id is None else r.doc_id for r in kept.collect()) == sorted({r for r in roots})
+    assert simhash.simhash_report(make_docs([])).collect() == []
+
+
+@pytest.mark.parametrize("bucket", [simhash.BUCKET, 4])
+def test_simhash_links(spark, bucket):
+    rng = np.random.default_rng(3)
+    seeds = rng.integers(0, 2**63, 60).tolist()
+    prints = {s ^ (1 << int(a)) ^ (1 << int(b)) for s in seeds for a, b in rng.integers(0, 64, (12, 2))} | {0, 1, 3}
+    signed = [p - (1 << 64) if p >> 63 else p for p in sorted(prints)]
+    fps = spark.createDataFrame([(p,) for p in signed], "fp long")
+    links = [(r.u, r.v) for r in simhash.near_links(fps, bucket).collect()]
+    mask = (1 << 64) - 1
+    linked = brute_components(signed, signed, lambda x, y: ((x ^ y) & mask).bit_count() <= 2)
+    root = {p: p for p in signed}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for u, v in links:
+        x, y = sorted((find(u), find(v)))
+        root[y] = x
+    assert [find(p) for p in signed] == linked
+
+
+def test_thresholds():
+    assert simhash.allocate([[1, 1, 1], [100, 200, 300], [100, 200, 300]]) == [2, -1, -1]
+    assert sum(t + 1 for t in simhash.allocate([[5, 50, 500], [5, 50, 500], [5, 50, 500]])) == 3
+
+
+# 8
+
+
+def test_ogg(make_docs, edge_rows):
+    rows = {r.doc_id: r for r in ogg_media.media_report(make_docs(edge_rows)).collect()}
+    for d, t in edge_rows:
+        n = max(64, -(-len(raw(t)) // 64) * 64)
+        payload = raw(t).ljust(n, b"\0")
+        r = rows[d]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw(t)), n, sha(payload), zlib.crc32(payload[-64:]))
+        media = ogg_media.write_ogg(payload)
+        assert (r.media_bytes, r.media_sha256) == (len(media), sha(media)) and ogg_media.read_samples(media)[0] == payload
+    assert ogg_media.media_report(make_docs([])).collect() == []
+
+
+def test_ogg_damage():
+    media = ogg_media.write_ogg(bytes(range(256)) * 300)
+    for i in (0, 30, 200, len(media) // 2, len(media) - 1):
+        with pytest.raises(ogg_media.OggError):
+            ogg_media.read_ogg(media[:i] + bytes([media[i] ^ 1]) + media[i + 1 :])
+    for cut in (media[:-1], media[: media.rfind(b"OggS")], media[media.find(b"OggS", 4) :]):
+        with pytest.raises(ogg_media.OggError):
+            ogg_media.read_ogg(cut)
+
+
+def test_page_checksum():
+    def slow(data):
+        crc = 0
+        for byte in data:
+            crc ^= byte << 24
+            for _ in range(8):
+                crc = (crc << 1 ^ 0x04C11DB7 if crc >> 31 else crc << 1) & 0xFFFFFFFF
+        return crc
+
+    for data in (b"", b"a", b"OggS" * 50):
+        assert ogg_media.page_crc(data) == slow(data)
+
+
+# 9
+
+
+def test_mixing(make_docs, edge_rows):
+    rows = [(d, t, ("a", "b", None, "c", "hot", "hot", "hot")[i % 7]) for i, (d, t) in enumerate(edge_rows)] + [(200, None, "empty")]
+    size = [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for _, t, _ in rows]
+    per = Counter()
+    for n, (_, _, s) in zip(size, rows, strict=True):
+        per[s] += n
+    names = sorted(per, key=lambda s: (s is None, s or ""))
+    weight = {s: i % 3 + 1 for i, s in enumerate(names)}
+    target, left = {}, set(names)
+    while True:
+        rest = sum(per.values()) - sum(target.values())
+        share = {s: rest * weight[s] / sum(weight[x] for x in left) for s in left}
+        over = {s for s in left if share[s] > 3 * per[s]}
+        if not over:
+            break
+        target |= {s: 3 * per[s] for s in over}
+        left -= over
+    target |= share
+    docs = make_docs(rows)
+    got = mixing.mix_report(docs).collect()
+    for r, (d, _, s), n in zip(sorted(got, key=lambda r: (r.doc_id is None, r.doc_id or 0, r.size)), sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)), sorted_sizes(rows, size), strict=True):
+        assert (r.doc_id, r.size, r.source_size) == (d, n, per[s]) and r.target == pytest.approx(target[s])
+        assert r.taken in (n * int(target[s] / per[s] if per[s] else 0), n * (int(target[s] / per[s] if per[s] else 0) + 1)) and r.taken <= 3 * n
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns
+    words = F.sum(F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")))
+    assert mixed.agg(words).first()[0] == sum(r.taken for r in got)
+    assert sorted(map(str, mixing.mix_report(docs).collect())) == sorted(map(str, got))
+    assert mixing.mix_report(make_docs([])).collect() == []
+
+
+def sorted_sizes(rows, size):
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0))
+    return [size[i] for i in order]
