@@ -327,8 +327,8 @@ def repeated_windows(bodies: list[bytes], length: int) -> list[np.ndarray]:
     slots = np.flatnonzero(window[sa])
     found = np.zeros(len(s), dtype=bool)
     if len(slots) > 1:
-        shared = np.minimum.reduceat(lcp[sa], slots[:-1] + 1)
         # between two windows: the least prefix from the slot after the first up to the second
+        shared = np.minimum.reduceat(lcp[sa[: slots[-1] + 1]], slots[:-1] + 1)
         hit = shared >= length
         found[sa[slots[:-1][hit]]] = True
         found[sa[slots[1:][hit]]] = True

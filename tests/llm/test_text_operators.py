@@ -56,6 +56,19 @@ def test_suffix_dedup(make_docs, edge_rows, params):
     same(suffix_dedup.suffix_report(make_docs(rows), **params), brute_removed(rows, params["length"]))
 
 
+def test_repeated_windows_largest():
+    rng = np.random.default_rng(11)
+    for length in (1, 8, 30):
+        # tails that sort after all windows, and the largest window a lone repeat
+        repeat = b"\xf0" * length
+        pairs = [[repeat + b"\xff" * (length - 1), repeat + b"\xfe" * (length - 1)], [b"a" * 5 + repeat, b"b" + repeat]]
+        pairs += [[bytes(rng.integers(1, 255, 20).astype(np.uint8)) + repeat + bytes(rng.integers(1, 255, 20).astype(np.uint8)) for _ in range(2)] for _ in range(20)]
+        for bodies in pairs:
+            seen = Counter(b[i : i + length] for b in bodies for i in range(len(b) - length + 1))
+            expected = [[seen[b[i : i + length]] > 1 for i in range(len(b) - length + 1)] for b in bodies]
+            assert [x.tolist() for x in suffix_dedup.repeated_windows(bodies, length)] == expected
+
+
 def test_suffix_dedup_empty(make_docs):
     assert suffix_dedup.suffix_report(make_docs([])).collect() == []
 
