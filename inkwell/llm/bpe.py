@@ -18,12 +18,13 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import os
 import re
 import zlib
 from array import array
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -87,6 +88,17 @@ class Vocabulary:
     def __init__(self, library: str, file: str, pattern: str, end_id: int | None = None):
         self.library, self.file, self.pattern, self.end_id = library, file, pattern, end_id
 
+    def added(self) -> dict[str, int]:
+        """Tokens that the JSON file adds to its model: they stand for themselves wherever a text holds them."""
+        if self.library == "tiktoken":
+            return {}
+        with open(self.file, encoding="utf-8") as f:
+            tokens = json.load(f)["added_tokens"]
+        for t in tokens:
+            if t["single_word"] or t["lstrip"] or t["rstrip"]:
+                raise ValueError(f"added token {t['content']!r} has rules that are not supported")
+        return {t["content"]: t["id"] for t in tokens}
+
     def encoder(self) -> Callable[[list[str]], list[bytes]]:
         """Encodes words: the ids of each, packed as 16-bit numbers."""
         if self.library == "tiktoken":
@@ -99,6 +111,7 @@ class Vocabulary:
 
         # the file's model without its splitting, as the words are cut already
         tok = Tokenizer(Tokenizer.from_file(self.file).model)
+        added = {t: array("H", [i]).tobytes() for t, i in self.added().items()}
         letters = dict(enumerate(byte_letters()))
         space = letters[32]
         vocabulary = tok.get_vocab()
@@ -119,7 +132,7 @@ class Vocabulary:
                 ends = np.searchsorted(np.cumsum(sizes[ids]), np.cumsum(list(map(len, some)))) + 1
                 flat, cut = ids.tobytes(), (2 * ends).tolist()
                 out += [flat[a:b] for a, b in zip([0, *cut], cut, strict=False)]
-            return out
+            return [added.get(w, ids) for w, ids in zip(words, out, strict=True)] if added else out
 
         return encode
 
@@ -127,8 +140,11 @@ class Vocabulary:
 class Cutter:
     """Cuts texts into words. Most texts are cut at spaces first, and each distinct piece between spaces once."""
 
-    def __init__(self, pattern: str):
+    def __init__(self, pattern: str, added: Iterable[str] = ()):
         self.find, self.find_ascii = pretokenizer(pattern), ascii_pretokenizer(pattern)
+        #: Tokens that are words wherever they stand, the longest first.
+        self.added = sorted(added, key=len, reverse=True)
+        self.find_added = re.compile(f"({'|'.join(map(re.escape, self.added))})")
         #: Whether letters after a space are one word, and a mark after them is another.
         self.plain = {r" ?\p{L}+", r" ?[^\s\p{L}\p{N}]+"} <= set(pattern.split("|"))
 
@@ -143,6 +159,10 @@ class Cutter:
 
     def cut(self, text: str) -> tuple[list[str], list[str]]:
         """Words, and the pieces after them."""
+        if any(t in text for t in self.added):
+            # what is between added tokens is cut by itself
+            parts = self.find_added.split(text)
+            return [w for i, part in enumerate(parts) for w in ([part] if i % 2 else self.find(part))], []
         if _ODD.search(text):
             return self.find(text), []
         first, space, tail = text.partition(" ")

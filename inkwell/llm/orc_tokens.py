@@ -5,7 +5,7 @@ and add the shard's own start, a running sum over one row per shard.
 Texts are encoded where they are read, slice by slice: what stands between two spaces is encoded when a worker first
 meets it and remembered. Only compressed ids are shuffled.
 
-Cases: a null text is empty and has the end id only; a null doc_id comes first; repeated rows are written once each,
+Cases: a null text is empty and has the end id only; tokens that the file adds to its model have their own id; a null doc_id comes first; repeated rows are written once each,
 side by side; rows of one doc_id are ordered by a hash of the text, and a doc_id with a large share of the rows is
 spread over several shards in that order; an empty table gives an empty folder's schema and result; other columns are
 not written.
@@ -47,7 +47,7 @@ def shard_of(doc: np.ndarray, tk: np.ndarray, cuts: np.ndarray) -> np.ndarray:
 
 def _encode(vocabulary: Vocabulary, cuts: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter, encode = Cutter(vocabulary.pattern), None
+        cutter, encode = Cutter(vocabulary.pattern, vocabulary.added()), None
         squeeze = zstandard.ZstdCompressor(level=3).compress
         known = _KNOWN.setdefault(vocabulary.file, {})
         gc.disable()  # there are no cycles, but millions of strings to look through for them

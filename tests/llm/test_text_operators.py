@@ -194,6 +194,22 @@ def test_orc_tokens(spark, make_docs, edge_rows):
     assert orc_tokens.orc_report(make_docs([]), queries.tokenizer_json()).collect() == []
 
 
+def test_orc_added_tokens(make_docs):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    texts = [f"a{end}b", end, end * 2, f" {end} ", f"it's  {end} two  spaces \n{end}\n Ärger <|{end}|> <|endoftext| > ", f"{end[:5]}{end}", "plain words", f"x{end.upper()}"]
+    rows = list(enumerate(texts, 1))
+    got = sorted(tuple(r) for r in orc_tokens.orc_report(make_docs(rows), queries.tokenizer_json()).collect())
+    start = 0
+    for r, (doc, text) in zip(got, rows, strict=True):
+        ids = [*tok.encode(text, add_special_tokens=False).ids, 2]
+        assert r == (doc, start, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)))
+        start += len(ids)
+    assert tok.encode(texts[0], add_special_tokens=False).ids == [64, 50256, 65]
+
+
 def test_orc_shards():
     cuts = np.array([3, 5, 5, 5, 9])
     doc, tk = np.array([1, 3, 4, 5, 5, 5, 6, 10]), np.array([0, 0, 0, -(2**63), 0, 2**63 - 1, 0, 0])
