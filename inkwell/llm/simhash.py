@@ -65,7 +65,8 @@ def _signed(x: int) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out = [_signed(fingerprint(t)) for t in b["text"].to_pylist()]
-        yield pa.RecordBatch.from_arrays([b["doc"], pa.array(out, pa.int64())], names=["doc", "fp"])
+        own = [c for c in b.schema.names if c != "text"]
+        yield pa.RecordBatch.from_arrays([*(b[c] for c in own), pa.array(out, pa.int64())], names=[*own, "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -244,12 +245,17 @@ def near_links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return links
 
 
+def _grouped(fps: DataFrame, rep: F.Column) -> DataFrame:
+    """fp, rep, root: for each distinct fingerprint the lowest `rep` of its rows, and its component's root."""
+    distinct = written(fps.groupBy("fp").agg(F.min(rep).alias("rep")), "distinct-fingerprints")
+    roots = connected_components(near_links(distinct.select("fp")), "simhash-links").withColumnRenamed("node", "fp")
+    return distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def components(docs: DataFrame) -> DataFrame:
     """doc, fp, component per document."""
     fps = written(fingerprints(docs), "fingerprints")
-    distinct = written(fps.groupBy("fp").agg(F.min("doc").alias("rep")), "distinct-fingerprints")
-    roots = connected_components(near_links(distinct.select("fp")), "simhash-links").withColumnRenamed("node", "fp")
-    named = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = _grouped(fps, F.col("doc"))
     lowest = named.groupBy("root").agg(F.min("rep").alias("component"))
     table = written(named.join(lowest, "root").select("fp", "component"), "simhash-components")
     return fps.join(table, "fp")
@@ -266,11 +272,18 @@ def simhash_report(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents with the smallest doc_id of their group, one row each, with the columns of `docs`."""
-    kept = components(docs).where("doc = component").groupBy("doc").agg(F.count("*").alias("rows"))
-    kept = written(kept, "simhash-kept")
-    # the documents' columns may have any names but this one
-    out = docs.join(kept.select(F.col("doc").alias("__kept_doc")), F.coalesce("doc_id", F.lit(_NULL_DOC)) == F.col("__kept_doc"), "left_semi")
-    if kept.where("rows > 1").limit(1).count():
-        out = out.dropDuplicates(["doc_id"])
-    return out
+    """One row of each group, with the columns of `docs`: of the smallest doc_id, and of its texts the one of the smallest hash."""
+    ship(docs.sparkSession)
+    doc, tk = F.coalesce("doc_id", F.lit(_NULL_DOC)), F.xxhash64(whole_text())
+    rows = docs.select(doc.alias("doc"), tk.alias("tk"), whole_text().alias("text"))
+    fps = written(rows.mapInArrow(_fingerprints, "doc long, tk long, fp long"), "fingerprints")
+    # an id may stand for several groups; with the hash of its text it is in one
+    kept = _grouped(fps, F.struct("doc", "tk")).groupBy("root").agg(F.min("rep").alias("rep"))
+    # the documents' columns may have any names but these two
+    own = ["__kept_doc", "__kept_tk"]
+    kept = written(kept.select(F.col("rep.doc").alias(own[0]), F.col("rep.tk").alias(own[1])), "simhash-kept")
+    out = docs.withColumns(dict(zip(own, (doc, tk), strict=True))).join(kept, own, "left_semi")
+    copies = fps.select(F.col("doc").alias(own[0]), F.col("tk").alias(own[1])).join(kept, own, "left_semi").groupBy(own).count()
+    if copies.where("count > 1").limit(1).count():
+        out = out.dropDuplicates(own)
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

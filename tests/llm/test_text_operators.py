@@ -290,6 +290,23 @@ def test_simhash(make_docs, edge_rows):
     assert simhash.simhash_report(make_docs([])).collect() == []
 
 
+def test_simhash_shared_ids(make_docs):
+    def text(k):
+        return " ".join(hashlib.sha256(f"{k} {i}".encode()).hexdigest() for i in range(20))
+
+    # null ids in several groups, one id with many texts, an id that leads one group and stands in another, repeated rows
+    rows = [(None, text(k)) for k in (0, 1, 2, 3, 3)] + [(5, text(k)) for k in (4, 5, 6, 6)] + [(7, text(k)) for k in (0, 4, 7, 8)] + [(9, text(8)), (1, text(7)), (1, None), (1, "")]
+    prints = [brute_fingerprint(t) for _, t in rows]
+    groups = brute_components(list(range(len(rows))), prints, lambda x, y: (x ^ y).bit_count() <= 2)
+    lowest = {}
+    for g, (d, t) in zip(groups, rows, strict=True):
+        lowest[g] = min(lowest.get(g, (100, "")), (-1 if d is None else d, t or ""))
+    docs = make_docs(rows)
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.text or "") for r in kept.collect()) == sorted(lowest.values())
+
+
 @pytest.mark.parametrize("bucket", [simhash.BUCKET, 4])
 def test_simhash_links(spark, bucket):
     rng = np.random.default_rng(3)
