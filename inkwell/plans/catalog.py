@@ -154,8 +154,7 @@ def custom_check(found: DataFrame) -> F.Column:
 
 
 def posting_lists(postings: DataFrame) -> DataFrame:
-    lists = indexing.posting_lists(postings.where("attr = 'title'"))
-    return lists.select("mbox", "attr", "token", "shard", F.size("ids").alias("n"), F.array_join("ids", ",").alias("ids"))
+    return indexing.posting_lists(postings).select("mbox", "attr", "token", "shard", F.size("ids").alias("n"), F.array_join("ids", ",").alias("ids"))
 
 
 def token_shards(postings: DataFrame) -> DataFrame:
@@ -164,7 +163,7 @@ def token_shards(postings: DataFrame) -> DataFrame:
 
 def token_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = indexing.token_positions(corpus.document_rows(spark, sf_dir))
-    return rows.where("attr = 'title'").select("mbox", "token", "indexed_id", F.array_join("positions", ",").alias("positions"))
+    return rows.select("mbox", "attr", "token", "indexed_id", F.array_join("positions", ",").alias("positions"))
 
 
 def merge_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,7 +193,7 @@ def tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def index_key(postings: DataFrame) -> DataFrame:
-    keys = postings.where("attr = 'title'").select("mbox", "attr", "token", "shard").distinct()
+    keys = postings.select("mbox", "attr", "token", "shard").distinct()
     name = [F.col(c) for c in ("mbox", "attr", "token")]
     return keys.select(ids.index_base(*name).alias("base"), ids.index_key(F.col("shard"), *name).alias("key"))
 
@@ -233,6 +232,8 @@ def dump_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _DOCUMENT = ("en", "fulltext", "the")
+#: posting_lists, token_positions and index_key are of titles, as their SQL has it; those that end in _all are of every attribute.
+_TITLE = "attr = 'title'"
 
 QUERIES: dict[str, Query] = {
     "ingest_documents": ingest_documents,
@@ -260,8 +261,10 @@ QUERIES: dict[str, Query] = {
     "search_documents": _found(_request()),
     "multi_mailbox": multi_mailbox,
     "multi_attribute": _ids(_request({"fulltext": "and", "title": "the"})),
-    "posting_lists": _on_postings(posting_lists),
-    "token_positions": token_positions,
+    "posting_lists": _on_postings(lambda p: posting_lists(p.where(_TITLE))),
+    "posting_lists_all": _on_postings(posting_lists),
+    "token_positions": lambda spark, d: token_positions(spark, d).where(_TITLE).drop("attr"),
+    "token_positions_all": token_positions,
     "index_shard_counts": _on_postings(lambda p: tools.index_shard_counts(p, *_DOCUMENT)),
     "index_merged": _on_postings(lambda p: tools.index_merged(p, *_DOCUMENT)),
     "check_shard_docs": _on_documents(tools.shard_documents),
@@ -285,7 +288,8 @@ QUERIES: dict[str, Query] = {
     "id_hex": _on_documents(lambda d: d.select("indexed_id", ids.id_hex(F.col("indexed_id")).alias("hex"))),
     "id_parse": id_parse,
     "shard_number": _on_documents(lambda d: d.select("indexed_id", ids.shard_number(F.col("indexed_id")).alias("shard_no"))),
-    "index_key": _on_postings(index_key),
+    "index_key": _on_postings(lambda p: index_key(p.where(_TITLE))),
+    "index_key_all": _on_postings(index_key),
     "tokenize": tokenize,
     "ngram_tokens": ngram_tokens,
     "html_text": lambda spark, d: corpus.table(spark, d, "pages").select("page_id", text.html_text(F.col("html")).alias("body")),

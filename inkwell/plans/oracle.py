@@ -116,6 +116,11 @@ ORACLE: dict[str, str] = {
         _DOCS + f", words AS (SELECT mbox, indexed_id, {_WORDS.format('title')} AS ws FROM docs), each AS (SELECT mbox, indexed_id, unnest(ws) AS token, unnest(range(0, len(ws))) AS pos FROM words)",
         "SELECT mbox, token, indexed_id, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS positions FROM each GROUP BY mbox, token, indexed_id",
     ),
+    "posting_lists_all": _with(_POSTINGS, "SELECT mbox, attr, token, shard, count(*)::INTEGER AS n, string_agg(indexed_id::VARCHAR, ',' ORDER BY indexed_id) AS ids FROM postings GROUP BY mbox, attr, token, shard"),
+    "token_positions_all": _with(
+        _POSTINGS + f", words AS (SELECT mbox, attr, indexed_id, {_WORDS.format('x')} AS ws FROM texts), each AS (SELECT mbox, attr, indexed_id, unnest(ws) AS token, unnest(range(0, len(ws))) AS pos FROM words)",
+        "SELECT mbox, attr, token, indexed_id, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS positions FROM each GROUP BY mbox, attr, token, indexed_id",
+    ),
     "index_shard_counts": _with(_POSTINGS, f"SELECT shard, count(*)::BIGINT AS n_ids FROM postings WHERE {_THE} GROUP BY shard"),
     "index_merged": _with(_POSTINGS, f"SELECT 'en.fulltext.the' AS name, count(DISTINCT shard)::BIGINT AS n_shards, count(DISTINCT indexed_id)::BIGINT AS n_ids FROM postings WHERE {_THE}"),
     "check_shard_docs": _with(_DOCS, "SELECT shard, count(*)::BIGINT AS n_docs FROM docs GROUP BY shard"),
@@ -153,6 +158,7 @@ SELECT chunk, min(key) AS first_key, max(key) AS last_key, count(*)::BIGINT AS n
     "id_parse": _with(_DOCS, "SELECT indexed_id, indexed_id AS parsed, shard AS leading FROM docs"),
     "shard_number": _with(_DOCS, "SELECT indexed_id, indexed_id >> 32 AS shard_no FROM docs"),
     "index_key": _with(_POSTINGS, "SELECT DISTINCT mbox || '.' || attr || '.' || token AS base, printf('%016x', shard) || '.' || mbox || '.' || attr || '.' || token AS key FROM postings WHERE attr = 'title'"),
+    "index_key_all": _with(_POSTINGS, "SELECT DISTINCT mbox || '.' || attr || '.' || token AS base, printf('%016x', shard) || '.' || mbox || '.' || attr || '.' || token AS key FROM postings"),
     "tokenize": f"SELECT doc_id, array_to_string({_WORDS.format('coalesce(text, $$$$)')}, ' ') AS words FROM documents",
     "ngram_tokens": rf"""
 WITH words AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents),
