@@ -1,47 +1,76 @@
-"""Suffix arrays by induced sorting, and permuted longest common prefixes, vectorised over bucket rounds.
+"""Suffix arrays by induced sorting, and permuted longest common prefixes.
 
 Suffixes are classified as smaller (S) or larger (L) than their successor. Leftmost S suffixes are sorted by one
-induction from their unsorted buckets, named, and, while names repeat, sorted recursively: again by induction where the
-alphabet of names is small, else by doubling the ranks of those that still tie. A last induction places all
-suffixes. An induction goes through the buckets in order; within one, suffixes that a round has just placed induce
-the next round, so the work is linear and each step is one array operation.
+induction from their unsorted buckets, named, and, while names repeat, sorted by recursion on the string of names. A
+last induction places all suffixes.
+
+An induction reads the array once in each direction. It takes as one array operation the longest run of slots that
+are filled by then: whatever they induce lands behind the run, so the order is that of a slot-by-slot scan and the
+work is linear. Bytes give runs of whole buckets, long alphabets of names runs of about the root of the slots read.
+Where runs stay short, as in one symbol repeated, slots are taken singly.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Larger alphabets of names are sorted by rank doubling.
-ALPHABET = 1024
+#: Runs of slots shorter than this are read slot by slot.
+_SHORT = 24
 
 
 def _types(s: np.ndarray) -> np.ndarray:
     """Whether each suffix is smaller than its successor; s ends with a unique smallest symbol."""
     n = len(s)
-    small = np.ones(n, dtype=bool)
-    differ = np.flatnonzero(s[:-1] != s[1:])
-    small[differ] = s[differ] < s[differ + 1]
     # positions within a run of one symbol have the type of the run's end
-    if len(differ):
-        at = np.searchsorted(differ, np.arange(n - 1), side="left")
-        small[:-1] = small[differ[np.minimum(at, len(differ) - 1)]]
-    return small
-
-
-def _group(symbols: np.ndarray) -> np.ndarray:
-    """A stable order of symbols."""
-    return np.argsort(symbols, kind="stable")
+    ends = np.flatnonzero(s[:-1] != s[1:])
+    small = np.repeat(s[ends] < s[ends + 1], np.diff(ends, prepend=-1))
+    return np.concatenate([small, np.ones(n - len(small), dtype=bool)])
 
 
-def _place(sa: np.ndarray, at: np.ndarray, pos: np.ndarray, sym: np.ndarray, step: int) -> None:
+def _place(sa: np.ndarray, filled: np.ndarray, at: np.ndarray, pos: np.ndarray, sym: np.ndarray, step: int) -> None:
     """Put positions, in order, at the free ends of their symbols' buckets; `at` are the next free slots."""
-    order = _group(sym)
+    order = np.argsort(sym, kind="stable")
     sym, pos = sym[order], pos[order]
-    starts = np.flatnonzero(np.concatenate([[True], sym[1:] != sym[:-1]]))
-    counts = np.diff(np.concatenate([starts, [len(sym)]]))
-    rank = np.arange(len(sym)) - np.repeat(starts, counts)
-    sa[at[sym] + step * rank] = pos
-    at[sym[starts]] += step * counts
+    new = np.ones(len(sym), dtype=bool)
+    np.not_equal(sym[1:], sym[:-1], out=new[1:])
+    starts = np.flatnonzero(new)
+    slots = at[sym]
+    if len(starts) == len(sym):
+        at[sym] += step
+    else:
+        counts = np.append(starts[1:], len(sym)) - starts
+        slots += step * (np.arange(len(sym)) - np.repeat(starts, counts))
+        at[sym[starts]] += step * counts
+    sa[slots] = pos
+    filled[slots] = True
+
+
+def _scan(s: np.ndarray, small: np.ndarray, sa: np.ndarray, filled: np.ndarray, at: np.ndarray, kind: bool) -> None:
+    """Read the slots in order, from the right for S, and place each one's predecessor if it is of the kind."""
+    n, step = len(sa), -1 if kind else 1
+    ahead, typed = filled[::step], sa[::step]
+    wanted = np.zeros(n + 1, dtype=bool)  # by position; the last entry is for slots of the other kind, which hold -1
+    wanted[1:n] = small[:-1] == kind
+    low, width = 0, 64
+    while low < n:
+        run = ahead[low : low + width]
+        free = int(run.argmin())
+        high = low + (free if not run[free] else len(run))
+        if high - low < _SHORT and high < n:
+            high = min(low + 4 * _SHORT, n)
+            for i in range(low, high):
+                if wanted[typed[i]]:
+                    p = typed[i] - 1
+                    c = s[p]
+                    k = at[c]
+                    sa[k], filled[k], at[c] = p, True, k + step
+        else:
+            prev = typed[low:high]
+            prev = prev[wanted[prev]] - 1
+            if len(prev):
+                _place(sa, filled, at, prev, s[prev], step)
+        width = max(64, 4 * (high - low))
+        low = high
 
 
 def _induce(s: np.ndarray, small: np.ndarray, sizes: np.ndarray, seeds: np.ndarray) -> np.ndarray:
@@ -49,117 +78,54 @@ def _induce(s: np.ndarray, small: np.ndarray, sizes: np.ndarray, seeds: np.ndarr
     n = len(s)
     ends = np.cumsum(sizes)
     heads = ends - sizes
-    sa = np.full(n, -1, dtype=np.int64)
-    used = np.flatnonzero(sizes)
-    tail = ends - 1
-    _place(sa, tail.copy(), seeds[::-1], s[seeds[::-1]], -1)
-    at = heads.copy()
-    larges = np.bincount(s[~small], minlength=len(sizes))
-    for c in used.tolist():
-        # L suffixes of the bucket come first, round by round; then its seeds
-        low = heads[c]
-        while True:
-            high = at[c] if low < heads[c] + larges[c] else low
-            if low >= high:
-                break
-            prev = sa[low:high] - 1
-            low = high
-            prev = prev[prev >= 0]
-            prev = prev[~small[prev]]
-            if len(prev):
-                _place(sa, at, prev, s[prev], 1)
-        prev = sa[heads[c] + larges[c] : ends[c]] - 1
-        prev = prev[prev >= 0]
-        prev = prev[~small[prev]]
-        if len(prev):
-            _place(sa, at, prev, s[prev], 1)
-    at = tail.copy()
-    for c in used[::-1].tolist():
-        # S suffixes are placed anew from the right
-        sa[heads[c] + larges[c] : at[c] + 1] = -1
-        high = ends[c] - 1
-        while True:
-            low = at[c]
-            if high <= low:
-                break
-            prev = sa[low + 1 : high + 1][::-1] - 1
-            high = low
-            prev = prev[prev >= 0]
-            prev = prev[small[prev]]
-            if len(prev):
-                _place(sa, at, prev, s[prev], -1)
-        prev = sa[heads[c] : heads[c] + larges[c]][::-1] - 1
-        prev = prev[prev >= 0]
-        prev = prev[small[prev]]
-        if len(prev):
-            _place(sa, at, prev, s[prev], -1)
-    sa[0] = n - 1
+    middle = heads + np.bincount(s[~small], minlength=len(sizes))  # L suffixes of a bucket come before its S suffixes
+    large = np.zeros(n + 1, dtype=np.int8)
+    np.add.at(large, heads, 1)
+    np.add.at(large, middle, -1)
+    large = np.cumsum(large[:-1], dtype=np.int8).astype(bool)
+    sa = np.full(n, -1, dtype=np.int32)
+    filled = ~large
+    _place(sa, filled, ends - 1, seeds[::-1], s[seeds[::-1]], -1)
+    _scan(s, small, sa, filled, heads.copy(), False)
+    sa[~large] = -1
+    # the last suffix is the smallest and precedes no other: its slot is known
+    filled = large.copy()
+    sa[0], filled[0] = n - 1, True
+    _scan(s, small, sa, filled, ends - 1, True)
     return sa
 
 
-def _double(names: np.ndarray) -> np.ndarray:
-    """Suffix array of a string of ranks by doubling; only suffixes that still tie are sorted again."""
-    n = len(names)
-    order = np.argsort(names, kind="stable")
-    rank = np.empty(n, dtype=np.int64)
-    lead = np.concatenate([[True], names[order][1:] != names[order][:-1]])
-    rank[order] = np.maximum.accumulate(np.where(lead, np.arange(n), 0))
-    k = 1
-    while True:
-        firsts = np.flatnonzero(lead)
-        sizes = np.diff(np.concatenate([firsts, [n]]))
-        tied = np.repeat(sizes > 1, sizes)
-        slots = np.flatnonzero(tied)
-        if not len(slots):
-            return order
-        pos = order[slots]
-        after = pos + k
-        second = np.where(after < n, rank[np.minimum(after, n - 1)], -1)
-        first = rank[pos]
-        by = np.lexsort((second, first))
-        pos, first, second = pos[by], first[by], second[by]
-        order[slots] = pos
-        new = np.concatenate([[True], (first[1:] != first[:-1]) | (second[1:] != second[:-1])])
-        lead[slots] = new
-        rank[pos] = np.maximum.accumulate(np.where(new, slots, 0))
-        k *= 2
-
-
 def suffix_array(s: np.ndarray) -> np.ndarray:
     """Starts of the suffixes of `s` in order. `s` holds non-negative integers and ends with a unique smallest one."""
     n = len(s)
-    if n == 1:
-        return np.zeros(1, dtype=np.int64)
-    small = _types(s)
-    sizes = np.bincount(s)
-    lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    small, sizes = _types(s), np.bincount(s)
+    if len(sizes) <= 1 << 16:
+        s = s.astype(np.uint16)  # sorted by digits
+    lms = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype(np.int32)
     if not len(lms):
-        return np.arange(n, dtype=np.int64)[::-1].copy()
+        return np.arange(n, dtype=np.int32)[::-1].copy()
     sa = _induce(s, small, sizes, lms)
-    is_lms = np.zeros(n, dtype=bool)
-    is_lms[lms] = True
-    ordered = sa[is_lms[sa]]
     # name the substrings from each leftmost S position to the next one
-    index = np.empty(n, dtype=np.int64)
+    index = np.full(n, -1, dtype=np.int32)
     index[lms] = np.arange(len(lms))
-    ends = np.concatenate([lms[1:], [n - 1]])
+    ordered = sa[index[sa] >= 0]
+    lens = np.diff(lms, append=n - 1)
     a, b = ordered[:-1], ordered[1:]
-    la, lb = ends[index[a]] - a, ends[index[b]] - b
+    la, lb = lens[index[a]], lens[index[b]]
     differs = la != lb
     live, k = np.flatnonzero(~differs), 0
     while len(live):
-        live = live[la[live] >= k]
         bad = s[a[live] + k] != s[b[live] + k]
         differs[live[bad]] = True
         live, k = live[~bad], k + 1
-    names = np.empty(len(lms), dtype=np.int64)
+        live = live[la[live] >= k]
+    names = np.empty(len(lms), dtype=np.int32)
     names[index[ordered]] = np.concatenate([[0], np.cumsum(differs)])
-    top = int(names.max()) + 1
-    if top == len(lms):
-        order = np.empty(top, dtype=np.int64)
-        order[names] = np.arange(top)
+    if int(names.max()) + 1 == len(lms):
+        order = np.empty(len(lms), dtype=np.int32)
+        order[names] = np.arange(len(lms))
     else:
-        order = suffix_array(names) if top <= ALPHABET else _double(names)
+        order = suffix_array(names)
     return _induce(s, small, sizes, lms[order])
 
 

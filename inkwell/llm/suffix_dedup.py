@@ -5,8 +5,9 @@ the array are cut by content, so that equal strings always meet in one shard and
 
 1. Each LENGTH-byte window has an anchor, the leftmost smallest hash among its GRAM-byte substrings. Windows with the
    same anchor are consecutive and form a block. Equal windows have equal anchors at equal offsets.
-2. Blocks are sorted by (anchor hash, block hash). A block that occurs again is collapsed: all its windows repeat. One
-   whose anchor occurs nowhere else is unique. What is left are distinct blocks that share an anchor.
+2. Blocks are sorted by (anchor hash, block hash). One whose anchor occurs nowhere else is unique. Every other block
+   goes to a shard: once if it is the only one of its kind, else its first two rows do. Further rows of a block, which
+   are the same bytes by 128 bits of hashes, take the result of those two, so a hot block costs no more than a rare one.
 3. The bytes of those blocks are gathered by anchor into shards; induced sorting and permuted common prefixes of a
    shard tell which of their windows repeat.
 An anchor with more than HOT distinct blocks is split: its windows are halved by their offset to the anchor, and each half
@@ -36,8 +37,9 @@ from .suffix_array import permuted_lcp, suffix_array
 LENGTH = 200
 GRAM = 64
 HOT = 4096
-SHARD_BYTES = 1_500_000
-_PART = 3_000_000
+SHARD_BYTES = 1_000_000
+#: Bytes of text in which blocks are looked for at once: some ten 64-bit arrays of that length are alive.
+_PART = 500_000
 _NULL_DOC = -(2**63)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _POS = 24
@@ -65,12 +67,15 @@ class Anchors:
             self.up, self.down = _powers(len(t))
         with np.errstate(over="ignore"):
             sums = np.zeros(len(t) + 1, dtype=np.uint64)
-            np.cumsum((t.astype(np.uint64) + np.uint64(1)) * self.up[: len(t)], out=sums[1:])
-            h = (sums[self.gram :] - sums[: -self.gram]) * self.down[: len(t) - self.gram + 1]
-            h ^= h >> np.uint64(31)
-            h *= np.uint64(0xBF58476D1CE4E5B9)
-            h ^= h >> np.uint64(29)
-            h *= np.uint64(0x94D049BB133111EB)
+            own = sums[1:]
+            np.add(t, np.uint64(1), out=own, casting="unsafe")
+            own *= self.up[: len(t)]
+            np.cumsum(own, out=own)
+            h = sums[self.gram :] - sums[: -self.gram]
+            h *= self.down[: len(h)]
+            for shift, factor in ((31, 0xBF58476D1CE4E5B9), (29, 0x94D049BB133111EB)):
+                h ^= h >> np.uint64(shift)
+                h *= np.uint64(factor)
             h ^= h >> np.uint64(32)
         return h
 
@@ -82,19 +87,25 @@ class Anchors:
             return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
         h = self.hashes(t)
         mask = np.uint64((1 << _POS) - 1)
-        x = (h & ~mask) | np.arange(len(h), dtype=np.uint64)
-        n, w = len(x), self.window
-        x = np.concatenate([x, np.full(-n % w, np.uint64(2**64 - 1))]).reshape(-1, w)
+        n, w = len(h), self.window
+        x = np.full(n + -n % w, np.uint64(2**64 - 1))
+        np.bitwise_and(h, ~mask, out=x[:n])
+        x[:n] |= np.arange(n, dtype=np.uint64)
+        x = x.reshape(-1, w)
         left = np.minimum.accumulate(x, axis=1).ravel()
-        right = np.minimum.accumulate(x[:, ::-1], axis=1)[:, ::-1].ravel()
-        low = np.minimum(right[: n - w + 1], left[w - 1 : n])
-        anchor = (low & mask).astype(np.int64)
+        right = x[:, ::-1]
+        np.minimum.accumulate(right, axis=1, out=right)
+        low = np.minimum(x.ravel()[: n - w + 1], left[w - 1 : n])
+        del x, left, right
+        low &= mask
+        anchor = low.view(np.int64)
         change = np.zeros(len(low) + 1, dtype=np.int32)
         np.add.at(change, starts, 1)
         np.add.at(change, ends - self.length + 1, -1)
         valid = np.cumsum(change[:-1]) > 0
-        first = valid & np.concatenate([[True], (anchor[1:] != anchor[:-1]) | ~valid[:-1]])
-        last = valid & np.concatenate([(anchor[1:] != anchor[:-1]) | ~valid[1:], [True]])
+        other = anchor[1:] != anchor[:-1]
+        first = valid & np.concatenate([[True], other | ~valid[:-1]])
+        last = valid & np.concatenate([other | ~valid[1:], [True]])
         lo, hi = np.flatnonzero(first), np.flatnonzero(last)
         return lo, hi - lo + 1, anchor[lo], h[anchor[lo]]
 
@@ -120,67 +131,77 @@ def _blocks(length: int, gram: int):
             for doc, tk, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
                 for i in range(0, max(len(raw) - length + 1, 0), _PART):
-                    parts.append((raw[i : i + _PART + length - 1], doc, tk, i))
-                    size += len(parts[-1][0])
-                    if size >= _PART:
+                    part = raw[i : i + _PART + length - 1]
+                    if parts and size + len(part) > _PART:
                         yield out(parts)
                         parts, size = [], 0
+                    parts.append((part, doc, tk, i))
+                    size += len(part)
         if parts:
             yield out(parts)
 
     return run
 
 
-_ONCE, _SHARED, _STANDS, _ALONE, _EDGE = 0, 1, 2, 3, 9
+#: What becomes of a row: its block's first two rows are in a shard; it is in a shard; so, and it stands for rows that are
+#: equal to it in all columns; not known in its partition alone; it tells what a partition holds.
+_COPY, _IN, _TWICE, _ALONE, _EDGE = 0, 1, 2, 3, 9
 _UNKNOWN = -1
 
 
 class _Runs:
-    """Rows of one or more anchors, sorted by anchor and block: how often each block and how many blocks an anchor has."""
+    """Rows of one or more anchors, sorted by all columns: how often each block and how many blocks an anchor has."""
 
     def __init__(self, batch: pa.RecordBatch):
         self.batch = batch
-        self.g, self.b = (batch[c].to_numpy(zero_copy_only=False) for c in ("g", "b"))
-        new_g = np.concatenate([[True], self.g[1:] != self.g[:-1]])
-        self.starts = np.flatnonzero(new_g | np.concatenate([[True], self.b[1:] != self.b[:-1]]))
-        self.n = np.diff(np.concatenate([self.starts, [len(self.g)]]))
+        g, b, *rest = (batch[c].to_numpy(zero_copy_only=False) for c in ("g", "b", "doc", "tk", "lo"))
+        new_g = np.concatenate([[True], g[1:] != g[:-1]])
+        new_b = new_g | np.concatenate([[True], b[1:] != b[:-1]])
+        new = new_b.copy()
+        for c in rest:
+            new[1:] |= c[1:] != c[:-1]
+        self.b = b
+        self.starts = np.flatnonzero(new_b)
+        self.n = np.diff(self.starts, append=len(g))
         self.group = np.cumsum(new_g[self.starts]) - 1
-
-    def rows(self, kind: int, at: np.ndarray, blocks: np.ndarray | int) -> pa.RecordBatch:
-        taken = self.batch.take(pa.array(at))
-        blocks = np.broadcast_to(np.asarray(blocks, dtype=np.int64), len(at))
-        extra = [pa.array(np.full(len(at), kind, np.int32)), pa.array(blocks), pa.nulls(len(at), pa.list_(pa.int64()))]
+        #: Different rows, and by row: the run that holds it, and its place among the different rows of the run.
+        self.distinct = np.flatnonzero(new)
+        self.run = (np.cumsum(new_b) - 1)[self.distinct]
+        rank = np.arange(len(self.distinct))
+        self.rank = rank - rank[np.searchsorted(self.run, np.arange(len(self.n)))][self.run]
+        self.only = np.bincount(self.run)[self.run] == 1
+
+    def rows(self, kind: int, chosen: np.ndarray, blocks: np.ndarray | int) -> pa.RecordBatch:
+        taken = self.batch.take(pa.array(self.distinct[chosen]))
+        n = taken.num_rows
+        blocks = blocks[self.run[chosen]] if isinstance(blocks, np.ndarray) else np.full(n, blocks)
+        extra = [pa.array(np.full(n, kind, np.int32)), pa.array(blocks.astype(np.int64)), pa.nulls(n, pa.list_(pa.int64()))]
         return pa.RecordBatch.from_arrays([*taken.columns, *extra], names=[*taken.schema.names, "kind", "blocks", "edge"])
 
+    def _repeated(self, blocks: np.ndarray | int) -> Iterator[pa.RecordBatch]:
+        again = self.n[self.run] > 1
+        yield self.rows(_COPY, again & (self.rank > 1), 2)
+        yield self.rows(_IN, again & (self.rank < 2) & ~self.only, blocks)
+        yield self.rows(_TWICE, again & self.only, blocks)
+
     def within(self) -> Iterator[pa.RecordBatch]:
         """Rows of anchors that stand in this partition only."""
-        distinct = np.bincount(self.group)[self.group]
-        single = (np.bincount(self.group, self.n == 1) > 0)[self.group]
-        copies, blocks = np.repeat(self.n, self.n), np.repeat(distinct, self.n)
-        yield self.rows(_ONCE, np.flatnonzero(copies > 1), blocks[copies > 1])
-        shared = (copies == 1) & (blocks > 1)
-        yield self.rows(_SHARED, np.flatnonzero(shared), blocks[shared])
-        stands = (self.n > 1) & single
-        yield self.rows(_STANDS, self.starts[stands], distinct[stands])
+        blocks = np.bincount(self.group)[self.group]
+        yield from self._repeated(blocks)
+        yield self.rows(_IN, ((self.n == 1) & (blocks > 1))[self.run], blocks)
 
     def at_edge(self, opens: bool, closes: bool, partition: int) -> Iterator[pa.RecordBatch]:
         """Rows of one anchor that may go on in other partitions. All but the first and the last block are whole here."""
-        outer = np.zeros(len(self.n), dtype=bool)
-        outer[0] |= opens
-        outer[-1] |= closes
-        yield self.rows(_ONCE, np.flatnonzero(np.repeat(self.n, self.n) > 1), 2)
-        yield self.rows(_SHARED, self.starts[(self.n == 1) & ~outer], _UNKNOWN)
-        yield self.rows(_STANDS, self.starts[self.n > 1], _UNKNOWN)
-        yield self.rows(_ALONE, self.starts[(self.n == 1) & outer], _UNKNOWN)
-        told = self.rows(_EDGE, np.zeros(1, np.int64), _UNKNOWN)
-        edge = [partition, len(self.n), int(self.b[0]), int(self.n[0]), int(self.b[-1]), int(self.n[-1]), int(((self.n == 1) & ~outer).any()), int(opens), int(closes)]
+        yield from self._repeated(_UNKNOWN)
+        yield self.rows(_ALONE, (self.n == 1)[self.run], _UNKNOWN)
+        told = self.rows(_EDGE, np.arange(len(self.distinct)) == 0, _UNKNOWN)
+        edge = [partition, len(self.n), int(self.b[0]), int(self.b[-1]), int(opens), int(closes)]
         yield told.set_column(told.schema.get_field_index("edge"), "edge", pa.array([edge], pa.list_(pa.int64())))
 
 
 def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by g, b. kind 0: the block occurs again; 1: a block that shares its anchor with others; 2: one that
-    occurs again and stands for its copies in a shard; 3: a single row of a block at the partition's first or last
-    place. Where the anchor may go on in another partition `blocks` is unknown, and a row of kind 9 says what is here."""
+    """Rows sorted by g, b, doc, tk and lo, with their kind. Where the anchor may go on in another partition `blocks` is
+    unknown, and a row of kind _EDGE says what is here."""
     held: list[pa.RecordBatch] = []
     first = None
     partition = TaskContext.get().partitionId()
@@ -206,51 +227,35 @@ def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _Runs(whole).at_edge(whole["g"][0].as_py() == first, True, partition)
 
 
-def edge_groups(edges: list[list[int]]) -> tuple[dict[int, tuple[int, bool]], set[tuple[int, int]]]:
-    """From rows (g, what a partition says): how many blocks an anchor has and whether one of them is single; the
-    blocks at partition bounds that occur more than once."""
-    groups: dict[int, tuple[int, bool]] = {}
+def edge_groups(edges: list[list[int]]) -> tuple[dict[int, int], set[tuple[int, int]]]:
+    """From rows (g, what a partition says): how many blocks an anchor has, and the blocks that go over a partition's bound."""
+    groups: dict[int, int] = {}
     again: set[tuple[int, int]] = set()
     by: dict[int, list[list[int]]] = {}
     for g, *edge in edges:
         by.setdefault(g, []).append(edge)
     for g, parts in by.items():
-        blocks, single, outer, last = 0, False, {}, None
-        for _, n, b0, n0, b1, n1, inner, opens, closes in sorted(parts):
+        blocks, last = 0, None
+        for _, n, b0, b1, _, _ in sorted(parts):
             blocks += n - (last == b0)
-            single |= bool(inner)
-            if n == 1:
-                outer[b0] = outer.get(b0, 0) + n0
-            else:
-                if opens:
-                    outer[b0] = outer.get(b0, 0) + n0
-                if closes:
-                    outer[b1] = outer.get(b1, 0) + n1
+            if last == b0:
+                again.add((g, b0))
             last = b1
-        groups[g] = blocks, single or 1 in outer.values()
-        again |= {(g, b) for b, n in outer.items() if n > 1}
+        groups[g] = blocks
     return groups, again
 
 
-def _resolve(groups: dict[int, tuple[int, bool]], again: set[tuple[int, int]]):
+def _resolve(groups: dict[int, int], again: set[tuple[int, int]]):
     """Rows with unknown `blocks`, decided by what all partitions say."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep, kinds, counts = [], [], []
             for i, (g, b, kind) in enumerate(zip(*(batch[c].to_pylist() for c in ("g", "b", "kind")), strict=True)):
-                blocks, single = groups[g]
-                if kind == _ALONE and (g, b) in again:
-                    keep.append(i)
-                    kinds.append(_ONCE)
-                    counts.append(blocks)
-                    kind = _STANDS
-                elif kind == _ALONE:
-                    kind = _SHARED
-                if blocks > 1 and (kind == _SHARED or single):
+                if kind != _ALONE or groups[g] > 1 or (g, b) in again:
                     keep.append(i)
-                    kinds.append(kind)
-                    counts.append(blocks)
+                    kinds.append(_IN if kind == _ALONE else kind)
+                    counts.append(groups[g])
             taken = batch.take(pa.array(keep, pa.int64()))
             taken = taken.set_column(taken.schema.get_field_index("kind"), "kind", pa.array(kinds, pa.int32()))
             yield taken.set_column(taken.schema.get_field_index("blocks"), "blocks", pa.array(counts, pa.int64()))
@@ -259,12 +264,14 @@ def _resolve(groups: dict[int, tuple[int, bool]], again: set[tuple[int, int]]):
 
 
 def _kinds(rows: DataFrame, name: str) -> DataFrame:
-    """`rows` (written, with g and b) of the kinds 0, 1 and 2, with kind and the number of blocks of their anchor.
+    """`rows` (written, with g, b, doc, tk and lo) of the kinds _COPY, _IN and _TWICE, with kind and the number of blocks of
+    their anchor; rows that are equal come once.
 
-    Rows are dealt out in ranges of (g, b), so one hot block or anchor spans many partitions. What the driver joins is
-    at most two rows of a partition; a block of kind 2 may stand in a shard once for each partition that holds it.
+    Rows are dealt out in ranges of their columns, so one hot block or anchor spans many partitions. What the driver joins is
+    at most two rows of a partition; a block may stand in a shard twice for each partition that holds it.
     """
-    dealt = rows.repartitionByRange("g", "b", "doc").sortWithinPartitions("g", "b", "doc")
+    keys = ["g", "b", "doc", "tk", "lo"]
+    dealt = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
     schema = rows.select("*", F.lit(0).cast("int").alias("kind"), F.lit(0).cast("long").alias("blocks"), F.lit(None).cast("array<long>").alias("edge")).schema
     decided = written(dealt.mapInArrow(_decide, schema), name)
     edges = [[r.g, *r.edge] for r in decided.where(F.col("kind") == _EDGE).select("g", "edge").collect()]
@@ -299,12 +306,16 @@ def _bodies(length: int):
             out.clear()
             return batch
 
+        last = None
         for b in batches:
             for doc, tk, z, wanted in zip(*(b[c].to_pylist() for c in ("doc", "tk", "z", "wanted")), strict=True):
-                raw = d.decompress(z)
-                out.extend((w["kind"], w["g"], doc, tk, w["lo"], w["m"], w["off"], raw[w["lo"] : w["lo"] + w["m"] + length - 1]) for w in wanted)
-                if len(out) > 10_000:
-                    yield flush()
+                if (doc, tk) == last:
+                    continue  # an equal row: its blocks are there
+                last, raw = (doc, tk), d.decompress(z)
+                for i in range(0, len(wanted), 10_000):
+                    out.extend((w["kind"], w["g"], doc, tk, w["lo"], w["m"], w["off"], raw[w["lo"] : w["lo"] + w["m"] + length - 1]) for w in wanted[i : i + 10_000])
+                    if len(out) >= 10_000:
+                        yield flush()
         yield flush()
 
     return run
@@ -313,7 +324,7 @@ def _bodies(length: int):
 def repeated_windows(bodies: list[bytes], length: int) -> list[np.ndarray]:
     """For each block of a shard, which of its windows start elsewhere in the shard too."""
     sizes = np.array([len(b) for b in bodies])
-    s = np.frombuffer(b"\0".join(bodies) + b"\0\0", np.uint8).astype(np.int32) + 2
+    s = np.frombuffer(b"\0".join(bodies) + b"\0\0", np.uint8).astype(np.uint16) + np.uint16(2)
     ends = np.cumsum(sizes + 1) - 1
     starts = ends - sizes
     s[ends] = 1
@@ -356,8 +367,10 @@ def _shards(length: int, shard_bytes: int):
         size, last = 0, None
 
         def done():
-            hits = repeated_windows([r[4] for r in rows], length)
-            return _spans([(r[1], r[2], r[3], h) for r, h in zip(rows, hits, strict=True) if r[0] == 1 and h.any()], length)
+            # a row that stands for several is in the shard twice; its second body has no place of its own
+            twice = [r for r in rows if r[0] == _TWICE]
+            hits = repeated_windows([r[4] for r in [*rows, *twice]], length)
+            return _spans([(r[1], r[2], r[3], h) for r, h in zip(rows, hits, strict=False) if h.any()], length)
 
         for b in batches:
             for kind, g, doc, tk, lo, body in zip(*(b[c].to_pylist() for c in ("kind", "g", "doc", "tk", "lo", "body")), strict=True):
@@ -365,7 +378,7 @@ def _shards(length: int, shard_bytes: int):
                     yield done()
                     rows, size = [], 0
                 rows.append((kind, doc, tk, lo, body))
-                size += len(body)
+                size += len(body) * kind
                 last = g
         if rows:
             yield done()
@@ -392,7 +405,8 @@ def _halve(length: int, gram: int, level: int):
                     own = body[i : k + length - 1]
                     shared = body[off - bounds[r] : off - bounds[r + 1] + 1 + length] if bounds[r + 1] - bounds[r] > 1 else own
                     key = xxhash.xxh3_64_intdigest(shared, seed=level * 1000 + r)
-                    out.append((kind, key - (1 << 64) if key >> 63 else key, int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(own)))), doc, tk, lo + i, k - i, o, own))
+                    # one that stands for several is several
+                    out += [(kind, key - (1 << 64) if key >> 63 else key, int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(own)))), doc, tk, lo + i, k - i, o, own)] * kind
                     i = k
             cols = list(zip(*out, strict=True)) if out else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
@@ -406,20 +420,21 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     rows = _rows(docs)
     blocks = written(rows.mapInArrow(_blocks(length, gram), _KEYS), "blocks")
     decided = _kinds(blocks, "block-kinds")
-    spans = decided.where("kind = 0").select("doc", "tk", F.col("lo").alias("start"), (F.col("lo") + F.col("m") + length - 1).cast("int").alias("end"))
-    wanted = decided.where("kind > 0").withColumn("kind", F.col("kind") + F.when(F.col("blocks") > hot, 10).otherwise(0))
+    place = ["doc", "tk", F.col("lo").alias("start"), (F.col("lo") + F.col("m") + length - 1).cast("int").alias("end")]
+    spans = decided.where(F.col("kind") == _COPY).select(*place)
+    wanted = decided.where(F.col("kind") != _COPY).withColumn("kind", F.col("kind") + F.when(F.col("blocks") > hot, 10).otherwise(0))
     wanted = wanted.groupBy("doc", "tk").agg(F.collect_list(F.struct("kind", "g", "lo", "m", "off")).alias("wanted"))
     texts = rows.mapInArrow(_squeeze, "doc long, tk long, z binary")
-    # repeated rows give their blocks twice; they are of kind 0 or 2 only, which never become spans
-    bodies = texts.join(wanted, ["doc", "tk"]).select("doc", "tk", "z", "wanted").mapInArrow(_bodies(length), _BODIES)
+    # a merge join brings equal rows side by side
+    bodies = texts.hint("merge").join(wanted, ["doc", "tk"]).select("doc", "tk", "z", "wanted").mapInArrow(_bodies(length), _BODIES)
     bodies = written(bodies, "block-bodies")
     ready, heavy, level = bodies.where("kind < 10").drop("off", "m"), bodies.where("kind > 10").withColumn("kind", F.col("kind") - 10), 0
     while heavy.limit(1).count():
         level += 1
         cut = written(heavy.mapInArrow(_halve(length, gram, level), "kind int, g long, b long, doc long, tk long, lo int, m int, off int, body binary"), "halves")
-        settled = _kinds(cut.withColumnRenamed("kind", "was"), "half-kinds")
-        spans = spans.unionByName(settled.where("kind = 0 AND was = 1").select("doc", "tk", F.col("lo").alias("start"), (F.col("lo") + F.col("m") + length - 1).cast("int").alias("end")))
-        left = settled.where("kind > 0").withColumn("kind", F.when((F.col("kind") == 1) & (F.col("was") == 1), 1).otherwise(2))
+        settled = _kinds(cut.drop("kind"), "half-kinds")
+        spans = spans.unionByName(settled.where(F.col("kind") == _COPY).select(*place))
+        left = settled.where(F.col("kind") != _COPY)
         ready = ready.unionByName(left.where(F.col("blocks") <= hot).select("kind", "g", "doc", "tk", "lo", "body"))
         heavy = left.where(F.col("blocks") > hot).select("kind", "g", "doc", "tk", "lo", "m", "off", "body")
     found = ready.repartition("g").sortWithinPartitions("g").mapInArrow(_shards(length, shard_bytes), _SPANS)
