@@ -66,7 +66,7 @@ def _scan(s: np.ndarray, small: np.ndarray, sa: np.ndarray, filled: np.ndarray,
                     sa[k], filled[k], at[c] = p, True, k + step
         else:
             prev = typed[low:high]
-            prev = prev[wanted[prev]] - 1
+            prev = prev.compress(wanted[prev]) - 1
             if len(prev):
                 _place(sa, filled, at, prev, s[prev], step)
         width = max(64, 4 * (high - low))
@@ -78,12 +78,9 @@ def _induce(s: np.ndarray, small: np.ndarray, sizes: np.ndarray, seeds: np.ndarr
     n = len(s)
     ends = np.cumsum(sizes)
     heads = ends - sizes
-    middle = heads + np.bincount(s[~small], minlength=len(sizes))  # L suffixes of a bucket come before its S suffixes
-    large = np.zeros(n + 1, dtype=np.int8)
-    np.add.at(large, heads, 1)
-    np.add.at(large, middle, -1)
-    large = np.cumsum(large[:-1], dtype=np.int8).astype(bool)
-    sa = np.full(n, -1, dtype=np.int32)
+    larges = np.bincount(s[~small], minlength=len(sizes))  # L suffixes of a bucket come before its S suffixes
+    large = np.repeat(np.tile([True, False], len(sizes)), np.stack([larges, sizes - larges], axis=1).ravel())
+    sa = np.full(n, -1, dtype=np.int64)
     filled = ~large
     _place(sa, filled, ends - 1, seeds[::-1], s[seeds[::-1]], -1)
     _scan(s, small, sa, filled, heads.copy(), False)
@@ -100,29 +97,31 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     n = len(s)
     small, sizes = _types(s), np.bincount(s)
     if len(sizes) <= 1 << 16:
-        s = s.astype(np.uint16)  # sorted by digits
-    lms = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype(np.int32)
+        s = s.astype(np.uint16, copy=False)  # sorted by digits
+    lms = (np.flatnonzero(small[1:] & ~small[:-1]) + 1)
     if not len(lms):
-        return np.arange(n, dtype=np.int32)[::-1].copy()
+        return np.arange(n, dtype=np.int64)[::-1].copy()
     sa = _induce(s, small, sizes, lms)
     # name the substrings from each leftmost S position to the next one
-    index = np.full(n, -1, dtype=np.int32)
-    index[lms] = np.arange(len(lms))
-    ordered = sa[index[sa] >= 0]
-    lens = np.diff(lms, append=n - 1)
+    is_lms = np.zeros(n, dtype=bool)
+    is_lms[lms] = True
+    ordered = sa.compress(is_lms[sa])
+    index = (np.cumsum(is_lms, dtype=np.int64) - 1)[ordered]
+    lens = np.diff(lms, append=n - 1)[index]
     a, b = ordered[:-1], ordered[1:]
-    la, lb = lens[index[a]], lens[index[b]]
-    differs = la != lb
-    live, k = np.flatnonzero(~differs), 0
+    differs = (lens[:-1] != lens[1:]) | (s[a] != s[b])
+    live = np.flatnonzero(~differs)
+    a, b, left = a[live], b[live], lens[live]
     while len(live):
-        bad = s[a[live] + k] != s[b[live] + k]
-        differs[live[bad]] = True
-        live, k = live[~bad], k + 1
-        live = live[la[live] >= k]
-    names = np.empty(len(lms), dtype=np.int32)
-    names[index[ordered]] = np.concatenate([[0], np.cumsum(differs)])
+        a, b, left = a + 1, b + 1, left - 1
+        same = s[a] == s[b]
+        differs[live[~same]] = True
+        same &= left > 0
+        live, a, b, left = (x.compress(same) for x in (live, a, b, left))
+    names = np.empty(len(lms), dtype=np.int64)
+    names[index] = np.concatenate([[0], np.cumsum(differs)])
     if int(names.max()) + 1 == len(lms):
-        order = np.empty(len(lms), dtype=np.int32)
+        order = np.empty(len(lms), dtype=np.int64)
         order[names] = np.arange(len(lms))
     else:
         order = suffix_array(names)
@@ -138,33 +137,40 @@ def permuted_lcp(s: np.ndarray, sa: np.ndarray) -> np.ndarray:
     before = np.empty(n, dtype=np.int64)
     before[sa[0]] = -1
     before[sa[1:]] = sa[:-1]
-    at = np.arange(n)
-    prev = before - 1
-    reducible = (at > 0) & (prev >= 0)
-    reducible[reducible] = s[at[reducible] - 1] == s[prev[reducible]]
-    starts = np.flatnonzero(~reducible & (before >= 0))
-    lcp = np.zeros(n, dtype=np.int64)
+    # a position is reducible if its suffix and the one before it follow the same symbol
+    reducible = np.zeros(n, dtype=bool)
+    np.equal(s[:-1], s[before[1:] - 1], out=reducible[1:])
+    reducible[before <= 0] = False
+    a = np.flatnonzero(~reducible & (before >= 0))
+    b = before[a]
+    del before
+    starts, k = a, np.zeros(len(a), dtype=np.int64)
     # four symbols at a time, the last ones singly: symbols are spread to 16 bits where they fit
-    wide = np.ascontiguousarray(s.astype(np.uint16)) if int(s.max()) < 1 << 16 else None
-    a, b = starts, before[starts]
-    k = np.zeros(len(a), dtype=np.int64)
-    if wide is not None and n > 8:
-        words = np.lib.stride_tricks.as_strided(wide.view(np.uint8), (n - 3, 8), (2, 1))
-        words = np.ascontiguousarray(words).view("<u8").ravel()
-        live = np.arange(len(a))
-        step = 0
+    if n > 8 and int(s.max()) < 1 << 16:
+        wide = s.astype(np.uint64)
+        words = wide[:-3].copy()
+        for i in (1, 2, 3):
+            words |= wide[i : n - 3 + i] << np.uint64(16 * i)
+        del wide
+        live, x, y = np.arange(len(a), dtype=np.int64), a, b
         while len(live):
-            live = live[np.maximum(a[live], b[live]) + step < n - 3]
-            live = live[words[a[live] + step] == words[b[live] + step]]
-            step += 4
-            k[live] = step
-    live = np.arange(len(a))
+            fits = np.maximum(x, y) < n - 3
+            if not fits.all():
+                live, x, y = (z.compress(fits) for z in (live, x, y))
+            same = words[x] == words[y]
+            live, x, y = live.compress(same), x.compress(same) + 4, y.compress(same) + 4
+            k[live] += 4
+        del words
+    live = np.arange(len(a), dtype=np.int64)
     while len(live):
         live = live[np.maximum(a[live], b[live]) + k[live] < n]
         live = live[s[a[live] + k[live]] == s[b[live] + k[live]]]
         k[live] += 1
-    lcp[a] = k
-    last = np.maximum.accumulate(np.where(reducible, -1, at))
-    lcp = lcp[last] - (at - last)
+    # the last irreducible position at or before each, and what is left of its prefix
+    runs = np.diff(starts, append=n)
+    lcp = np.zeros(n, dtype=np.int64)
+    if len(starts):
+        at = np.arange(starts[0], n, dtype=np.int64)
+        lcp[starts[0] :] = np.repeat(k + starts, runs) - at
     lcp[sa[0]] = 0
-    return np.maximum(lcp, 0)
+    return np.maximum(lcp, 0, out=lcp)

@@ -37,7 +37,7 @@ from .suffix_array import permuted_lcp, suffix_array
 LENGTH = 200
 GRAM = 64
 HOT = 4096
-SHARD_BYTES = 1_000_000
+SHARD_BYTES = 1_500_000
 #: Bytes of text in which blocks are looked for at once: some ten 64-bit arrays of that length are alive.
 _PART = 500_000
 _NULL_DOC = -(2**63)
@@ -331,10 +331,9 @@ def repeated_windows(bodies: list[bytes], length: int) -> list[np.ndarray]:
     s[-1] = 0
     sa = suffix_array(s)
     lcp = permuted_lcp(s, sa)
-    change = np.zeros(len(s) + 1, dtype=np.int32)
-    np.add.at(change, starts, 1)
-    np.add.at(change, starts + np.maximum(sizes - length + 1, 0), -1)
-    window = np.cumsum(change[:-1]) > 0
+    windows = np.maximum(sizes - length + 1, 0)
+    window = np.repeat(np.tile([True, False], len(sizes)), np.stack([windows, sizes + 1 - windows], axis=1).ravel())
+    window = np.append(window, False)
     slots = np.flatnonzero(window[sa])
     found = np.zeros(len(s), dtype=bool)
     if len(slots) > 1:
