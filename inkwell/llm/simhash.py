@@ -279,11 +279,13 @@ def keep_one(docs: DataFrame) -> DataFrame:
     fps = written(rows.mapInArrow(_fingerprints, "doc long, tk long, fp long"), "fingerprints")
     # an id may stand for several groups; with the hash of its text it is in one
     kept = _grouped(fps, F.struct("doc", "tk")).groupBy("root").agg(F.min("rep").alias("rep"))
-    # the documents' columns may have any names but these two
-    own = ["__kept_doc", "__kept_tk"]
-    kept = written(kept.select(F.col("rep.doc").alias(own[0]), F.col("rep.tk").alias(own[1])), "simhash-kept")
-    out = docs.withColumns(dict(zip(own, (doc, tk), strict=True))).join(kept, own, "left_semi")
-    copies = fps.select(F.col("doc").alias(own[0]), F.col("tk").alias(own[1])).join(kept, own, "left_semi").groupBy(own).count()
+    own = ["doc", "tk"]
+    kept = written(kept.select("rep.doc", "rep.tk"), "simhash-kept")
+    # the documents' columns may have any names, so they travel in a struct
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    out = docs.select(row, doc.alias("doc"), tk.alias("tk")).join(kept, own, "left_semi")
+    copies = fps.select(own).join(kept, own, "left_semi").groupBy(own).count()
     if copies.where("count > 1").limit(1).count():
-        out = out.dropDuplicates(own)
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+        # rows of one id and text: always the same one
+        out = out.groupBy(own).agg(F.min_by("row", F.sha2(F.to_json("row"), 256)).alias("row"))
+    return out.select("row.*")

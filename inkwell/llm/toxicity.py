@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import ship, whole_text, written
 
@@ -319,6 +320,6 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sampl
     """The documents that score below the threshold, with the columns of `docs`."""
     model = train(docs, labels, sample_rows)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").alias("text"))
-    schema = f"row {rows.schema['row'].dataType.simpleString()}, score double"
+    schema = StructType([rows.schema["row"], StructField("score", DoubleType())])  # not as text: columns may have any names
     out = rows.mapInArrow(_score(model, "text", ("row",)), schema)
     return out.where(F.col("score") < threshold).select("row.*")
