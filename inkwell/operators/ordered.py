@@ -51,8 +51,9 @@ def with_previous(df: DataFrame, keys: list[str], column: str, name: str) -> Dat
 def _exits(size: str, limit: int):
     """For one range: how full the last chunk is at its end, by how full the open chunk is at its start.
 
-    Entries that close their first chunk at the same row leave alike, so this is a step function; rows are
-    (range, entry from which it holds, fill at the end, chunks closed).
+    Entries that close their first chunk at the same row leave alike, so this is a step function. A row per range: the
+    entries from which each step holds (descending), the fills at the end and the chunks closed, as packed 64-bit numbers
+    without steps that equal the one before, and the bytes of the range if an entry may close nothing.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,20 +66,23 @@ def _exits(size: str, limit: int):
             return
         total = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
         n = len(total) - 1
-        # chunk that starts after row i closes at row after[i]; from the last row back, where its chain leaves
+        # a chunk that starts after row i closes at row after[i]; rows that leave after one more chunk are a run before them
         after = np.searchsorted(total, total[:-1] + limit, side="left")
-        fill, closed = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
-        for i in range(n - 1, -1, -1):
-            j = after[i]
-            fill[i], closed[i] = (fill[j], closed[j] + 1) if j <= n else (total[n] - total[i], 0)
+        fill, closed = np.append(total[n] - total[:-1], 0), np.zeros(n + 1, np.int64)
+        high = int(np.searchsorted(after, n, side="right"))  # from here on nothing closes
+        while high > 0:
+            low = int(np.searchsorted(after, high, side="left"))
+            to = after[low:high]
+            fill[low:high], closed[low:high] = fill[to], closed[to] + 1
+            high = low
         # an entry of e closes its first chunk at the first row with total >= limit - e
         first = int(np.searchsorted(total, limit, side="left"))
-        steps = [(limit - int(total[j]), int(fill[j]), int(closed[j]) + 1) for j in range(min(first, n), 0, -1)]
-        rows = [(0, int(total[n]), 0)] if first > n else []  # an entry that closes nothing adds up
-        for e, f, c in steps:
-            rows.append((max(e, 0), f, c))
-        e, f, c = zip(*rows, strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array([number] * len(e), pa.int32()), pa.array(e, pa.int64()), pa.array(f, pa.int64()), pa.array(c, pa.int64()), pa.array([x == 0 for x in c])], names=["r", "entry", "fill", "closed", "open"])
+        rows = np.arange(1, min(first, n) + 1)
+        entry, leaves, count = np.maximum(limit - total[rows], 0), fill[rows], closed[rows] + 1
+        keep = np.append((leaves[:-1] != leaves[1:]) | (count[:-1] != count[1:]), True)  # the lowest entry of equal steps
+        packed = [[x[keep].astype("<i8").tobytes()] for x in (entry, leaves, count)]
+        rest = int(total[n]) if first > n else None
+        yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), *[pa.array(p, pa.binary()) for p in packed], pa.array([rest], pa.int64())], names=["r", "entries", "fills", "closed", "rest"])
 
     return run
 
@@ -112,25 +116,21 @@ def greedy_chunks(df: DataFrame, keys: list[str], size: str, limit: int) -> Data
     """`df` with a chunk number: in key order a chunk is closed by the row that brings it to `limit` or more.
 
     Where a chunk ends depends on all before it. Each range of keys tells how it would go on from every state in which
-    it can be entered; the driver follows these tables from range to range, and the ranges then cut their rows.
+    it can be entered; the driver holds the table of one range at a time and keeps a state per range, and the ranges then
+    cut their rows. A range's table has at most a step for each row of its first `limit` bytes, 24 bytes each.
     """
     dealt = in_ranges(df, keys).repartitionById(_parts(df), _RANGE).sortWithinPartitions(*keys)
-    tables = dealt.select(_RANGE, size).mapInArrow(_exits(size, limit), "r int, entry long, fill long, closed long, open boolean").orderBy("r", "entry").toLocalIterator()
+    tables = dealt.select(_RANGE, size).mapInArrow(_exits(size, limit), "r int, entries binary, fills binary, closed binary, rest long").orderBy("r").toLocalIterator()
     entries: dict[int, tuple[int, int]] = {}
     fill = number = 0
-    at, steps = None, []
-
-    def leave() -> tuple[int, int]:
-        held = max((s for s in steps if s[0] <= fill), key=lambda s: (s[0], s[2]))
-        return (fill + held[1] if held[3] else held[1]), number + held[2]
-
     for row in tables:
-        if row.r != at:
-            if at is not None:
-                fill, number = leave()
-            at, steps = row.r, []
-            entries[at] = (fill, number)
-        steps.append((row.entry, row.fill, row.closed, row.open))
+        entries[row.r] = (fill, number)
+        steps, leaves, closed = (np.frombuffer(x, "<i8") for x in (row.entries, row.fills, row.closed))
+        at = int(np.searchsorted(-steps, -fill, side="left"))  # the highest step at or below the entry
+        if at < len(steps):
+            fill, number = int(leaves[at]), number + int(closed[at])
+        else:
+            fill += row.rest
     names = df.columns
     schema = df.select(*names).withColumn("chunk", F.lit(0).cast("long")).schema
     return dealt.select(_RANGE, *names).mapInArrow(_cut(size, limit, entries, names), schema)

@@ -8,7 +8,7 @@ bits: map-side first, so a document moves at most once per task. Bits are a set,
 from __future__ import annotations
 
 from collections.abc import Iterable
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,12 +16,13 @@ from pyspark.sql import functions as F
 from ..functions.ids import id_aux, id_hex, id_seconds, shard_number
 from ..functions.text import has_phrase
 from ..plans.request import Check, Phrase, SearchRequest, Term
-from ..sources.store import last_writes
 
 #: Bits of a long that terms may take.
 _WIDTH = 62
 #: Term tables of many requests are broadcast up to this many rows.
 BROADCAST_TERMS = 100_000
+#: Up to this many words of many requests are a filter that reaches the Parquet reader.
+FILTER_WORDS = 2_000
 
 
 def _any(conditions: Iterable[Column]) -> Column:
@@ -111,19 +112,40 @@ def matching_many(postings: DataFrame, requests: dict[str, SearchRequest]) -> Da
     counts = spark.createDataFrame(needs, "query_id string, needed int")
     if len(rows) <= BROADCAST_TERMS:
         terms, counts = F.broadcast(terms), F.broadcast(counts)
+    words = sorted({r[3] for r in rows})
+    if len(words) <= FILTER_WORDS:
+        postings = postings.where(F.col("token").isin(words))
     hits = postings.join(terms, ["mbox", "attr", "token"]).where("indexed_id BETWEEN low AND high")
     per = hits.groupBy("query_id", "indexed_id").agg(F.collect_set(F.when(~F.col("negated"), F.col("k"))).alias("had"), F.max("negated").alias("bad"))
     return per.where("NOT bad").join(counts, "query_id").where("size(had) = needed").select("query_id", "indexed_id")
 
 
-def with_documents(ids: DataFrame, documents: DataFrame) -> DataFrame:
-    """The stored documents of ids; ids without a document are dropped.
+_KEY = ["shard", "indexed_id", "batch"]
+#: Documents are looked up by a broadcast of keys up to this many.
+BROADCAST_KEYS = 100_000
+#: With a phrase or a check, so many of the lowest ids are tried for a page before all are.
+SLICES = (512, 16_384)
+
 
-    `documents` holds all writes; only those of found ids are resolved to the last one. The day is a join key
-    beside the id, so that partitions without hits are pruned at run time; AQE broadcasts the ids where they are few.
+def stored_keys(ids: DataFrame, documents: DataFrame) -> DataFrame:
+    """shard, indexed_id, batch of the last write of each id; ids without a document are dropped. Reads no contents.
+
+    The day is a join key beside the id, so that partitions without hits are pruned at run time; AQE broadcasts the
+    ids where they are few.
     """
     keyed = ids.withColumn("shard", shard_number(F.col("indexed_id")))
-    return last_writes(documents.join(keyed, ["shard", "indexed_id"], "left_semi"))
+    found = documents.select(_KEY).join(keyed, ["shard", "indexed_id"], "left_semi")
+    return found.groupBy("shard", "indexed_id").agg(F.max("batch").alias("batch"))
+
+
+def with_documents(ids: DataFrame, documents: DataFrame) -> DataFrame:
+    """The stored documents of ids; `documents` holds all writes, of which only the last ones' contents are read."""
+    return documents.join(stored_keys(ids, documents), _KEY, "left_semi")
+
+
+def _of_keys(keys: DataFrame, documents: DataFrame, n: int) -> DataFrame:
+    """The documents of at most `n` keys."""
+    return documents.join(F.broadcast(keys) if n <= BROADCAST_KEYS else keys, _KEY, "left_semi")
 
 
 def phrase_filter(phrases: list[Phrase]) -> Column:
@@ -135,25 +157,51 @@ def phrase_filter(phrases: list[Phrase]) -> Column:
 
 
 def search(postings: DataFrame, documents: DataFrame, request: SearchRequest, check: Check | None = None) -> DataFrame:
-    """The documents that a request finds, ascending by id, at most its limit."""
-    found = with_documents(matching_ids(postings, request), documents)
+    """The documents that a request finds, ascending by id, at most its limit; with a check that says so, their relevance.
+
+    Under a limit contents are read for the page only. Without phrases and check the lowest ids that have a document
+    are the page. With them, the lowest ids are tried in slices that grow; only if these don't fill the page are all
+    tried. The slices run while the plan is built: what the driver gets is the keys of a page.
+    """
+    ids = matching_ids(postings, request)
+    if not request.limit:
+        return _checked(with_documents(ids, documents), request, check).orderBy("indexed_id")
+    keys = stored_keys(ids, documents).orderBy("indexed_id")
+    if not request.phrases and check is None:
+        return _of_keys(keys.limit(request.limit), documents, request.limit).orderBy("indexed_id")
+    local = partial(postings.sparkSession.createDataFrame, schema="shard long, indexed_id long, batch long")
+    for n in (*(s for s in SLICES if s > request.limit), None):
+        lowest = keys.limit(n).collect() if n else []
+        tried = _of_keys(local(lowest), documents, n) if n else documents.join(keys, _KEY, "left_semi")
+        page = _checked(tried, request, check).select(_KEY).orderBy("indexed_id").limit(request.limit).collect()
+        if len(page) == request.limit or (n and len(lowest) < n):
+            break
+    return _checked(_of_keys(local(page), documents, request.limit), request, check).orderBy("indexed_id")
+
+
+def _checked(found: DataFrame, request: SearchRequest, check: Check | None) -> DataFrame:
+    """Documents that hold the phrases and that the caller's check keeps."""
     if request.phrases:
         found = found.where(phrase_filter(request.phrases))
     if check is not None:
-        found = found.where(check(found))
-    found = found.orderBy("indexed_id")
-    return found.limit(request.limit) if request.limit else found
+        says = check(found)
+        keep, relevance = says if isinstance(says, tuple) else (says, None)
+        if relevance is not None:
+            found = found.withColumn("relevance", relevance.cast("float"))
+        found = found.where(keep)
+    return found
 
 
 def reply(documents: DataFrame) -> DataFrame:
-    """The columns that a client gets."""
+    """The columns that a client gets; without a check that sets it the relevance is 0."""
     i = F.col("indexed_id")
+    relevance = F.col("relevance") if "relevance" in documents.columns else F.lit(0.0).cast("float")
     return documents.select(
         "id",
         id_hex(i).alias("indexed_id"),
         "author",
         "content",
-        F.lit(0.0).cast("float").alias("relevance"),
+        relevance.alias("relevance"),
         F.struct(id_seconds(i).alias("tsec"), id_aux(i).alias("tnsec")).alias("timestamp"),
     )
 
@@ -171,9 +219,3 @@ def page_state(page: DataFrame, limit: int | None) -> DataFrame:
 def dangling(postings: DataFrame, documents: DataFrame) -> DataFrame:
     """Ids that are posted but not stored."""
     return postings.select("indexed_id").distinct().join(documents.select("indexed_id"), "indexed_id", "left_anti")
-
-
-def empty_reply(spark: SparkSession) -> DataFrame:
-    from ..sources.schemas import REPLY
-
-    return spark.createDataFrame([], REPLY)

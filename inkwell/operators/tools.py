@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ids import id_hex, id_time, index_base, index_key
-from ..sources.store import last_writes
 from .ordered import boundaries, greedy_chunks, with_previous, with_running
+from .search import with_documents
 
 #: Days above this are reported as implausible; days of this century are.
 LARGEST_SHARD = 10_000
@@ -89,15 +90,41 @@ def index_merged(postings: DataFrame, mbox: str, attr: str, token: str) -> DataF
 
 def index_dump(postings: DataFrame, documents: DataFrame, mbox: str, attr: str, token: str) -> DataFrame:
     """key, time, id, author, title of the documents of one token; `documents` holds all writes."""
-    ids = one_index(postings, mbox, attr, token).select("shard", "indexed_id").distinct()
-    found = last_writes(documents.join(ids, ["shard", "indexed_id"], "left_semi"))
+    found = with_documents(one_index(postings, mbox, attr, token).select("indexed_id").distinct(), documents)
     i = F.col("indexed_id")
     return found.select(id_hex(i).alias("key"), id_time(i).alias("time"), "id", "author", F.col("content.title").alias("title"))
 
 
-def save_index(postings: DataFrame, mbox: str, attr: str, token: str, folder: str) -> None:
-    """The ids of one token, a directory per shard."""
-    one_index(postings, mbox, attr, token).select("shard", "indexed_id").distinct().write.mode("overwrite").partitionBy("shard").parquet(folder)
+def save_index(postings: DataFrame, mbox: str, attr: str, token: str, folder: str, separator: str | None = None) -> None:
+    """One token's index: its shards with their counts, its ids by shard (a directory each), and the merged list in order.
+
+    Parquet, or with a separator text with the fields of a row joined by it.
+    """
+    ids = one_index(postings, mbox, attr, token).select("shard", "indexed_id").distinct()
+    parts = {"shards": index_shard_counts(postings, mbox, attr, token).orderBy("shard"), "merged": ids.orderBy("indexed_id")}
+    for name, rows in parts.items():
+        if separator is None:
+            rows.write.mode("overwrite").parquet(f"{folder}/{name}")
+        else:
+            rows.select(joined_fields(rows, separator).alias("value")).write.mode("overwrite").text(f"{folder}/{name}")
+    by_shard = ids.sortWithinPartitions("shard", "indexed_id")
+    if separator is None:
+        by_shard.write.mode("overwrite").partitionBy("shard").parquet(f"{folder}/ids")
+    else:
+        by_shard.select(F.col("indexed_id").cast("string").alias("value"), "shard").write.mode("overwrite").partitionBy("shard").text(f"{folder}/ids")
+
+
+def joined_fields(rows: DataFrame, separator: str, formats: dict[str, Callable[[Column], Column]] | None = None) -> Column:
+    """The fields of a row as one text: each by its formatter, or as text, null as nothing, with a separator between."""
+    formats = formats or {}
+    each = [formats[c](F.col(f"`{c}`")) if c in formats else F.col(f"`{c}`").cast("string") for c in rows.columns]
+    return F.array_join(F.array(*[F.coalesce(x.cast("string"), F.lit("")) for x in each]), separator)
+
+
+def rates(spark: SparkSession, steps: list[tuple[str, int, int, float]]) -> DataFrame:
+    """step, n_keys, bytes, seconds, and keys and megabytes a second, of steps with their seconds."""
+    out = [(s, n, b, t, n / t if t else 0.0, b / t / 1e6 if t else 0.0) for s, n, b, t in steps]
+    return spark.createDataFrame(out, "step string, n_keys long, bytes long, seconds double, keys_per_second double, mb_per_second double")
 
 
 def _numbered(tables: list[DataFrame]) -> DataFrame:

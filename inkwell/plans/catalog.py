@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 
 from ..functions import ids, props, text
 from ..operators import indexing, search, tools
-from ..sources import corpus
+from ..sources import corpus, ingest
 from ..sources.files import scratch_folder
 from ..sources.store import Store
+from .engine import Engine
 from .request import SearchRequest
 
 Query = Callable[[SparkSession, str], DataFrame]
-_STORES: dict[tuple[str, str], Store] = {}
+_STORES: dict[tuple[str, ...], Store] = {}
 
 #: 2024-01-05 and 2024-01-20.
 _START, _END = 19_727 * 86_400, 19_742 * 86_400
@@ -132,7 +133,7 @@ def common_shards(postings: DataFrame) -> DataFrame:
 
 
 def page_two(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The page that starts where the first one's next_document_id points."""
+    """The page that starts where the first one's next_document_id points; fetches the first one's state, a row, to plan."""
     s = store(spark, sf_dir)
     first = search.search(s.postings(), s.table("documents"), _request(paging={"max_number": _PAGE}))
     state = search.page_state(first, _PAGE).first()
@@ -150,6 +151,43 @@ def custom_check(found: DataFrame) -> F.Column:
     return (F.length("content.content") > 500) & (F.col("author") == "src7")
 
 
+def relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A check that keeps long documents and says how relevant they are: by their length in thousands."""
+
+    def check(found: DataFrame) -> tuple[F.Column, F.Column]:
+        n = F.length("content.content")
+        return n > 500, F.floor(n / 1000)
+
+    s = store(spark, sf_dir)
+    return search.reply(search.search(s.postings(), s.table("documents"), _request(), check)).select("id", "indexed_id", "relevance")
+
+
+def json_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as a request in JSON, read again; every third without a time, with members of other types beside."""
+    d = corpus.table(spark, sf_dir, "documents")
+    stamp = F.when(F.col("doc_id") % 3 > 0, F.struct(F.col("doc_id").alias("tsec")))
+    doc = F.struct(
+        F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("id"),
+        F.col("source").alias("author"),
+        stamp.alias("timestamp"),
+        F.struct(F.col("text").alias("content"), F.lit(7).alias("title"), F.array("lang", "source").alias("links")).alias("content"),
+        F.struct(F.col("text").alias("fulltext"), F.col("n_chars").alias("number")).alias("index"),
+    )
+    requests = d.select(F.to_json(F.struct(F.coalesce("lang", F.lit("")).alias("mailbox"), F.array(doc).alias("docs"))).alias("request"))
+    rows = ingest.from_json_text(requests, "request")
+    return rows.select("mbox", "id", "author", "tsec", F.col("content.content").alias("content"), F.col("content.title").alias("title"), F.array_join("content.links", ",").alias("links"), F.size("index").cast("long").alias("n_attrs"))
+
+
+def json_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strings and the whole numbers of an array in JSON that holds both: each page's links, its id and a fraction."""
+    links = F.transform(text.page_links(F.col("html")), lambda x: F.to_json(F.array(x)))
+    items = F.concat(F.transform(links, lambda x: F.substring(x, F.lit(2), F.length(x) - 2)), F.array(F.col("page_id").cast("string"), F.lit("0.5"), F.lit("null")))
+    json = F.concat(F.lit('{"items":['), F.array_join(items, ","), F.lit("]}"))
+    found = corpus.table(spark, sf_dir, "pages").select("page_id", json.alias("json"))
+    strings, numbers = props.get_strings(F.col("json"), "items"), props.get_numbers(F.col("json"), "items")
+    return found.select("page_id", F.array_join(strings, " ").alias("strings"), F.size(strings).cast("long").alias("n_strings"), F.array_join(numbers.cast("array<string>"), " ").alias("numbers"))
+
+
 # aggregations and tools
 
 
@@ -174,7 +212,34 @@ def merge_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return indexing.document_ids(store(spark, sf_dir).table("documents"))
+    """Where each id was written last, of three writes: an earlier one on a later day, the stored one, and for some a later one."""
+    own = store(spark, sf_dir).table("documents").select("id", "indexed_id", "author", "batch", "seq")
+
+    def again(batches: int, days: int) -> DataFrame:
+        return own.withColumns({"batch": F.col("batch") + batches, "indexed_id": F.col("indexed_id") + (days << 32)})
+
+    return indexing.document_ids(again(-1, 5).unionByName(own).unionByName(again(1, 1).where("author = 'src7'")))
+
+
+def rows_out_of_order(documents: DataFrame) -> DataFrame:
+    """How many documents are of an earlier day than the one before, in the order of their external ids."""
+    return tools.out_of_order(documents.select(F.col("id").alias("key"), "shard")).agg(F.count("*").alias("n_out_of_order"))
+
+
+def range_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store of its own with every document written twice, the second time by another author and with one more word, after
+    days of the middle were compacted: what it holds for each document."""
+    key = (spark.sparkContext.applicationId, sf_dir, "ranges")
+    if key not in _STORES:
+        e = Engine(spark, f"{scratch_folder(spark)}/store-{len(_STORES)}")
+        rows = corpus.document_rows(spark, sf_dir)
+        e.index(rows)
+        e.index(rows.withColumns({"author": F.lit("editor"), "index": F.create_map(F.lit("fulltext"), F.lit("again"))}))
+        e.compact_range(ids.to_hex(19_730 << 32), ids.to_hex((19_740 << 32) - 1))
+        _STORES[key] = e.store
+    s = _STORES[key]
+    terms = s.postings().distinct().groupBy("indexed_id").agg(F.count("*").alias("terms"))
+    return s.documents().select("indexed_id", "id", "author").join(terms, "indexed_id")
 
 
 def compact_chunks(documents: DataFrame) -> DataFrame:
@@ -232,8 +297,6 @@ def dump_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _DOCUMENT = ("en", "fulltext", "the")
-#: posting_lists, token_positions and index_key are of titles, as their SQL has it; those that end in _all are of every attribute.
-_TITLE = "attr = 'title'"
 
 QUERIES: dict[str, Query] = {
     "ingest_documents": ingest_documents,
@@ -253,6 +316,9 @@ QUERIES: dict[str, Query] = {
     "exact_phrase": _found(_request("of the", exact={"fulltext": "of the"})),
     "exact_title": _found(_request({"title": "the"}, exact={"title": "in the"})),
     "custom_check": _found(_request(), custom_check),
+    "limit_check": _found(_request(paging={"max_number": _PAGE}), custom_check),
+    "limit_phrase": _found(_request("of the", exact={"fulltext": "of the"}, paging={"max_number": 7})),
+    "relevance": relevance,
     "search_projection": search_projection,
     "dangling_postings": dangling_postings,
     "and_search": _ids(_request()),
@@ -261,10 +327,8 @@ QUERIES: dict[str, Query] = {
     "search_documents": _found(_request()),
     "multi_mailbox": multi_mailbox,
     "multi_attribute": _ids(_request({"fulltext": "and", "title": "the"})),
-    "posting_lists": _on_postings(lambda p: posting_lists(p.where(_TITLE))),
-    "posting_lists_all": _on_postings(posting_lists),
-    "token_positions": lambda spark, d: token_positions(spark, d).where(_TITLE).drop("attr"),
-    "token_positions_all": token_positions,
+    "posting_lists": _on_postings(posting_lists),
+    "token_positions": token_positions,
     "index_shard_counts": _on_postings(lambda p: tools.index_shard_counts(p, *_DOCUMENT)),
     "index_merged": _on_postings(lambda p: tools.index_merged(p, *_DOCUMENT)),
     "check_shard_docs": _on_documents(tools.shard_documents),
@@ -273,11 +337,12 @@ QUERIES: dict[str, Query] = {
     "merge_documents": merge_documents,
     "document_ids": document_ids,
     "compact_chunks": _on_documents(compact_chunks),
+    "range_compaction": range_compaction,
     "terms_per_document": lambda spark, d: indexing.terms_per_document(corpus.document_rows(spark, d)),
     "list_running": _on_documents(lambda d: tools.list_running(tools.document_keys(d))),
-    "check_monotonic": _on_documents(lambda d: tools.out_of_order(tools.document_keys(d)).agg(F.count("*").alias("n_out_of_order"))),
+    "check_monotonic": _on_documents(rows_out_of_order),
     "check_boundaries": _on_documents(lambda d: tools.shard_boundaries(tools.document_keys(d))),
-    "check_large_shard": _on_documents(lambda d: tools.large_shards(tools.document_keys(d))),
+    "check_large_shard": _on_documents(lambda d: tools.large_shards(tools.document_keys(d), 19_740)),
     "limit_search": _found(_request("the", paging={"max_number": 7})),
     "page_one": _found(_request(paging={"max_number": _PAGE})),
     "page_two": page_two,
@@ -288,13 +353,14 @@ QUERIES: dict[str, Query] = {
     "id_hex": _on_documents(lambda d: d.select("indexed_id", ids.id_hex(F.col("indexed_id")).alias("hex"))),
     "id_parse": id_parse,
     "shard_number": _on_documents(lambda d: d.select("indexed_id", ids.shard_number(F.col("indexed_id")).alias("shard_no"))),
-    "index_key": _on_postings(lambda p: index_key(p.where(_TITLE))),
-    "index_key_all": _on_postings(index_key),
+    "index_key": _on_postings(index_key),
     "tokenize": tokenize,
     "ngram_tokens": ngram_tokens,
     "html_text": lambda spark, d: corpus.table(spark, d, "pages").select("page_id", text.html_text(F.col("html")).alias("body")),
     "content_words": content_words,
     "json_props": json_props,
+    "json_ingest": json_ingest,
+    "json_strings": json_strings,
     "page_links": page_links,
     "id_timestamp": _on_documents(lambda d: d.select("indexed_id", ids.id_time(F.col("indexed_id")).alias("day"))),
     "dump_links": dump_links,

@@ -30,6 +30,13 @@ class ReadOnly(EngineError):
         super().__init__(message, code)
 
 
+class Conflict(EngineError):
+    """Another writer changed what this one builds on."""
+
+    def __init__(self, message: str, code: int = -errno.EAGAIN):
+        super().__init__(message, code)
+
+
 class BadStore(EngineError):
     """Stored data of another version."""
 

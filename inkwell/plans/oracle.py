@@ -92,6 +92,15 @@ ORACLE: dict[str, str] = {
     "exact_phrase": _found(_matching(_en("of the")), _phrase(_HTML.replace("html", "body"), "of the")),
     "exact_title": _found(_matching(_en("the", "title")), _phrase(_HTML.replace("html", "title"), "in the")),
     "custom_check": _found(_matching(_THREE), "length(body) > 500 AND author = 'src7'"),
+    "limit_check": _found(_matching(_THREE), "length(body) > 500 AND author = 'src7'", tail=_PAGE),
+    "limit_phrase": _found(_matching(_en("of the")), _phrase(_HTML.replace("html", "body"), "of the"), tail="ORDER BY indexed_id LIMIT 7"),
+    "relevance": _found(_matching(_THREE), "length(body) > 500", columns=f"id, {_HEX} AS indexed_id, (length(body) // 1000)::FLOAT AS relevance"),
+    "result_json": _found(
+        _matching(_THREE),
+        columns=f"to_json(struct_pack(id := id, indexed_id := {_HEX}, author := author, content := struct_pack(content := body, title := title, links := []::VARCHAR[], images := []::VARCHAR[]), "
+        "relevance := 0::FLOAT, timestamp := struct_pack(tsec := shard * 86400, tnsec := indexed_id & 4294967295)))::VARCHAR AS result",
+        tail=_PAGE,
+    ),
     "search_projection": _found(
         _matching(_THREE),
         columns=f"id, {_HEX} AS indexed_id, author, title, 0::INTEGER AS n_links, 0::FLOAT AS relevance, shard * 86400 AS tsec, indexed_id & 4294967295 AS tnsec",
@@ -111,13 +120,8 @@ ORACLE: dict[str, str] = {
         "(SELECT p.indexed_id FROM postings p JOIN docs USING (indexed_id) WHERE author = 'src7' AND attr = 'fulltext' AND token = 'and')",
     ),
     "multi_attribute": _with(_POSTINGS, _matching([*_en("and"), *_en("the", "title")])),
-    "posting_lists": _with(_POSTINGS, "SELECT mbox, attr, token, shard, count(*)::INTEGER AS n, string_agg(indexed_id::VARCHAR, ',' ORDER BY indexed_id) AS ids FROM postings WHERE attr = 'title' GROUP BY mbox, attr, token, shard"),
+    "posting_lists": _with(_POSTINGS, "SELECT mbox, attr, token, shard, count(*)::INTEGER AS n, string_agg(indexed_id::VARCHAR, ',' ORDER BY indexed_id) AS ids FROM postings GROUP BY mbox, attr, token, shard"),
     "token_positions": _with(
-        _DOCS + f", words AS (SELECT mbox, indexed_id, {_WORDS.format('title')} AS ws FROM docs), each AS (SELECT mbox, indexed_id, unnest(ws) AS token, unnest(range(0, len(ws))) AS pos FROM words)",
-        "SELECT mbox, token, indexed_id, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS positions FROM each GROUP BY mbox, token, indexed_id",
-    ),
-    "posting_lists_all": _with(_POSTINGS, "SELECT mbox, attr, token, shard, count(*)::INTEGER AS n, string_agg(indexed_id::VARCHAR, ',' ORDER BY indexed_id) AS ids FROM postings GROUP BY mbox, attr, token, shard"),
-    "token_positions_all": _with(
         _POSTINGS + f", words AS (SELECT mbox, attr, indexed_id, {_WORDS.format('x')} AS ws FROM texts), each AS (SELECT mbox, attr, indexed_id, unnest(ws) AS token, unnest(range(0, len(ws))) AS pos FROM words)",
         "SELECT mbox, attr, token, indexed_id, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS positions FROM each GROUP BY mbox, attr, token, indexed_id",
     ),
@@ -127,7 +131,8 @@ ORACLE: dict[str, str] = {
     "list_totals": _with(_DOCS, f"SELECT count(*)::BIGINT AS n_keys, coalesce(sum({_BYTES}), 0)::BIGINT AS total_bytes FROM docs"),
     "key_bounds": _with(_DOCS, f"SELECT min({_HEX}) AS first_key, max({_HEX}) AS last_key FROM docs"),
     "merge_documents": _with(_DOCS, "SELECT indexed_id, id, CASE WHEN indexed_id % 3 = 0 THEN 'editor' ELSE author END AS author FROM docs"),
-    "document_ids": _with(_DOCS, "SELECT id, max(indexed_id) AS indexed_id FROM docs GROUP BY id"),
+    "document_ids": _with(_DOCS, "SELECT id, indexed_id + CASE WHEN author = 'src7' THEN 4294967296 ELSE 0 END AS indexed_id FROM docs"),
+    "range_compaction": _with(_POSTINGS, "SELECT indexed_id, id, 'editor' AS author, (SELECT count(*) FROM postings p WHERE p.indexed_id = d.indexed_id AND NOT (attr = 'fulltext' AND token = 'again')) + 1 AS terms FROM docs d"),
     "compact_chunks": f"""
 WITH RECURSIVE {_DOCS}, keys AS (
   SELECT {_HEX} AS key, ({_BYTES})::BIGINT AS bytes, row_number() OVER (ORDER BY indexed_id) AS n FROM docs
@@ -141,9 +146,9 @@ WITH RECURSIVE {_DOCS}, keys AS (
 SELECT chunk, min(key) AS first_key, max(key) AS last_key, count(*)::BIGINT AS n_keys, sum(bytes)::BIGINT AS bytes FROM fold GROUP BY chunk""",
     "terms_per_document": _with(_POSTINGS, "SELECT indexed_id, count(*)::BIGINT AS terms FROM postings GROUP BY indexed_id"),
     "list_running": _with(_DOCS, f"SELECT key, bytes, row_number() OVER (ORDER BY key)::BIGINT AS number, sum(bytes) OVER (ORDER BY key)::BIGINT AS running_bytes FROM ({_KEYS})"),
-    "check_monotonic": _with(_DOCS, f"SELECT count(*)::BIGINT AS n_out_of_order FROM (SELECT shard, lag(shard) OVER (ORDER BY key) AS previous FROM ({_KEYS})) WHERE previous > shard"),
+    "check_monotonic": _with(_DOCS, "SELECT count(*)::BIGINT AS n_out_of_order FROM (SELECT shard, lag(shard) OVER (ORDER BY id) AS previous FROM docs) WHERE previous > shard"),
     "check_boundaries": _with(_DOCS, f"SELECT key, shard, previous FROM (SELECT key, shard, lag(shard) OVER (ORDER BY key) AS previous FROM ({_KEYS})) WHERE previous <> shard"),
-    "check_large_shard": _with(_DOCS, f"SELECT key, shard FROM ({_KEYS}) WHERE shard > 10000"),
+    "check_large_shard": _with(_DOCS, f"SELECT key, shard FROM ({_KEYS}) WHERE shard > 19740"),
     "limit_search": _found(_matching(_en("the")), tail="ORDER BY indexed_id LIMIT 7"),
     "page_one": _found(_matching(_THREE), tail=_PAGE),
     "page_two": _found(_matching(_THREE), tail="ORDER BY indexed_id LIMIT 20 OFFSET 20"),
@@ -157,8 +162,7 @@ SELECT chunk, min(key) AS first_key, max(key) AS last_key, count(*)::BIGINT AS n
     "id_hex": _with(_DOCS, f"SELECT indexed_id, {_HEX} AS hex FROM docs"),
     "id_parse": _with(_DOCS, "SELECT indexed_id, indexed_id AS parsed, shard AS leading FROM docs"),
     "shard_number": _with(_DOCS, "SELECT indexed_id, indexed_id >> 32 AS shard_no FROM docs"),
-    "index_key": _with(_POSTINGS, "SELECT DISTINCT mbox || '.' || attr || '.' || token AS base, printf('%016x', shard) || '.' || mbox || '.' || attr || '.' || token AS key FROM postings WHERE attr = 'title'"),
-    "index_key_all": _with(_POSTINGS, "SELECT DISTINCT mbox || '.' || attr || '.' || token AS base, printf('%016x', shard) || '.' || mbox || '.' || attr || '.' || token AS key FROM postings"),
+    "index_key": _with(_POSTINGS, "SELECT DISTINCT mbox || '.' || attr || '.' || token AS base, printf('%016x', shard) || '.' || mbox || '.' || attr || '.' || token AS key FROM postings"),
     "tokenize": f"SELECT doc_id, array_to_string({_WORDS.format('coalesce(text, $$$$)')}, ' ') AS words FROM documents",
     "ngram_tokens": rf"""
 WITH words AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents),
@@ -176,6 +180,11 @@ SELECT event_id,
        CASE WHEN json_type(props, '$.k') = 'VARCHAR' THEN props ->> '$.k' ELSE 'none' END AS k_text,
        CASE WHEN json_type(props, '$.n') = 'VARCHAR' THEN props ->> '$.n' ELSE 'none' END AS n_text
 FROM events""",
+    "json_ingest": """
+SELECT coalesce(lang, '') AS mbox, 'doc' || doc_id AS id, coalesce(source, '') AS author, CASE WHEN doc_id % 3 > 0 THEN doc_id END AS tsec, coalesce(text, '') AS content, '' AS title,
+       concat_ws(',', lang, source) AS links, CASE WHEN text IS NULL THEN 0 ELSE 1 END::BIGINT AS n_attrs
+FROM documents""",
+    "json_strings": f"SELECT page_id, array_to_string({_LINKS}, ' ') AS strings, len({_LINKS})::BIGINT AS n_strings, page_id::VARCHAR AS numbers FROM pages",
     "page_links": f"SELECT page_id, len({_LINKS})::BIGINT AS n_links, array_to_string({_LINKS}, ',') AS links FROM pages",
     "id_timestamp": _with(_DOCS, "SELECT indexed_id, strftime(to_timestamp(shard * 86400) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS day FROM docs"),
     "dump_links": f"SELECT 'page' || page_id AS id, array_to_string({_LINKS}, ' ') AS links FROM pages",

@@ -13,8 +13,8 @@ from ..functions.text import query_tokens, query_words
 from .errors import BadRequest, NotFound
 
 Term = tuple[str, str, str]
-#: A filter that the caller adds: given the found documents, a condition on their columns.
-Check = Callable[[DataFrame], Column]
+#: A filter that the caller adds: given the found documents, a condition on their columns, or that and their relevance.
+Check = Callable[[DataFrame], Column | tuple[Column, Column]]
 
 
 @dataclass(frozen=True)

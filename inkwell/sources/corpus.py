@@ -55,18 +55,3 @@ def page_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         _texts(fulltext=html_text(html), title=page_title(html)).alias("index"),
         F.col("page_id").cast("long").alias("seq"),
     )
-
-
-def conversation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """conversations: the role is the mailbox."""
-    c = table(spark, sf_dir, "conversations")
-    text, role = F.coalesce(F.col("text"), F.lit("")), F.coalesce(F.col("role"), F.lit(""))
-    return c.select(
-        role.alias("mbox"),
-        F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("id"),
-        role.alias("author"),
-        (F.lit(FIRST) + F.col("turn") * 86_400).cast("long").alias("tsec"),
-        _content(text, F.lit("")).alias("content"),
-        _texts(fulltext=text).alias("index"),
-        F.col("conv_id").cast("long").alias("seq"),
-    )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +23,13 @@ def list_names(spark: SparkSession, folder: str) -> list[str]:
     return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
 
 
+def list_ages(spark: SparkSession, folder: str) -> list[tuple[str, float]]:
+    """Names in a folder, with the seconds since each was changed."""
+    p, fs = _path(spark, folder)
+    found = fs.listStatus(p) if fs.exists(p) else []
+    return [(x.getPath().getName(), time.time() - x.getModificationTime() / 1000) for x in found]
+
+
 def read_text(spark: SparkSession, path: str) -> str:
     p, fs = _path(spark, path)
     stream = fs.open(p)
@@ -51,6 +59,8 @@ def scratch_folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if sc.applicationId not in _SCRATCH:
         base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not base and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = base or tempfile.mkdtemp(prefix="inkwell-scratch-")
         _SCRATCH[sc.applicationId] = folder = f"{base.rstrip('/')}/inkwell-scratch-{uuid.uuid4().hex}"
 

@@ -65,16 +65,8 @@ def to_rows(spark: SparkSession, rows: Iterable[tuple]) -> DataFrame:
     return spark.createDataFrame(list(rows), INPUT)
 
 
-def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Files with one request a line, as rows; bad lines and documents are left out.
-
-    Members are read one by one, so that one of another type than expected counts as missing, alone.
-    """
-    return from_json_text(spark.read.text(path), "value")
-
-
 def from_json_text(frame: DataFrame, column: str) -> DataFrame:
-    """Rows of a column of requests, which may be a stream."""
+    """Rows of a column of requests, which may be a stream; a missing time stays missing until the rows are indexed."""
     docs = F.try_variant_get(F.try_parse_json(F.col(column)), "$.docs", "array<variant>")
     each = frame.select(get_string(F.col(column), "mailbox", "\0").alias("mbox"), F.posexplode(docs).alias("pos", "doc"))
     each = each.where(F.col("mbox") != "\0").select("mbox", "pos", F.to_json("doc").alias("doc"))
@@ -101,4 +93,4 @@ def from_json_text(frame: DataFrame, column: str) -> DataFrame:
         F.col("pos").cast("long").alias("seq"),
     )
     rows = rows.where((F.col("id") != "\0") & F.col("index").isNotNull())
-    return rows.withColumn("tsec", F.when(F.col("tsec") >= 0, F.col("tsec")).otherwise(F.unix_timestamp()))
+    return rows.withColumn("tsec", F.when(F.col("tsec") >= 0, F.col("tsec")))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-#: Version of the metadata file, and of documents.
-META_VERSION, DOCUMENT_VERSION = 2, 7
+#: Version of the metadata file.
+META_VERSION = 3
 
 CONTENT = "struct<content:string,title:string,links:array<string>,images:array<string>>"
 
@@ -13,6 +13,9 @@ INPUT = f"mbox string, id string, author string, tsec long, content {CONTENT}, i
 #: batch and seq order the writes of a document; the last one counts.
 DOCUMENTS = f"indexed_id long, id string, author string, is_comment boolean, tsec long, content {CONTENT}, batch long, seq long, shard long"
 
+#: As they lie in files: the batch is that of the piece, which a commit numbers.
+STORED_DOCUMENTS = DOCUMENTS.replace("batch long, ", "")
+
 #: One row for each document that has the token; rows may repeat until they are compacted.
 POSTINGS = "mbox string, attr string, token string, shard long, indexed_id long"
 

@@ -1,8 +1,13 @@
-"""A store: documents and postings as Parquet batches, and a metadata file per commit.
+"""A store: documents and postings as Parquet pieces, and a metadata file per commit.
 
-A batch is visible once the commit file that lists it exists, so readers never see half a batch and a failed write
-leaves nothing behind but files that nobody reads. Commit files are created exclusively: of two writers that race
-for a sequence number one fails and tries the next.
+A piece is a folder of its own for each write, never written to again, so writers don't touch each other's files. It
+is visible once a commit file lists it, so readers never see half a piece and a failed write leaves nothing behind but
+files that nobody reads. Commit files are created exclusively: of two writers that race for a sequence number one
+fails, reads what the other committed, and tries the next number for the piece that it has written already.
+
+A commit lists pieces with their batch numbers, which order the writes of a document. A compacted piece has the largest
+number of those that it stands for; where it stands for a range of ids only, the others keep their other rows and
+that range of theirs is hidden.
 
 Postings are range-partitioned and sorted by (mbox, attr, token, indexed_id): a term is a few row groups of a few
 files, whatever the size of the index, and a frequent token is split over files by id. The token column has a Bloom
@@ -12,17 +17,24 @@ filter. Documents are partitioned by shard (day) and sorted by id, so lookups by
 from __future__ import annotations
 
 import json
+import time
+import uuid
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from ..plans.errors import BadStore, ReadOnly
+from ..plans.errors import BadStore, Conflict, ReadOnly
 from . import files
-from .schemas import DOCUMENTS, META_VERSION, POSTINGS
+from .schemas import DOCUMENTS, META_VERSION, POSTINGS, STORED_DOCUMENTS
 
 TABLES = {"documents": DOCUMENTS, "postings": POSTINGS}
+_STORED = {"documents": STORED_DOCUMENTS, "postings": POSTINGS}
+#: Ids are from 0 to this.
+LARGEST = 2**63 - 1
+#: How often a commit is tried again after others were faster.
+_TRIES = 100
 
 
 @dataclass(frozen=True)
@@ -30,24 +42,41 @@ class EngineConfig:
     """`read_only` refuses writes; `short` joins words of fewer characters to their neighbours when indexing."""
 
     read_only: bool = False
-    bulk: bool = True
     short: int = 0
     lowercase: bool = True
     codec: str = "zstd"
     row_group: int = 64 << 20
-    #: Postings and documents of a written file, about; None takes the session's shuffle partitions.
-    rows_per_file: int | None = None
+
+
+@dataclass(frozen=True)
+class Piece:
+    """A batch number and a folder; rows with ids of the hidden ranges (both ends included) don't count."""
+
+    number: int
+    name: str
+    hidden: tuple[tuple[int, int], ...] = ()
+
+    def hide(self, first: int, last: int) -> Piece | None:
+        """With one more hidden range; None if nothing is left."""
+        ranges: list[tuple[int, int]] = []
+        for a, b in sorted([*self.hidden, (first, last)]):
+            if ranges and a <= ranges[-1][1] + 1:
+                ranges[-1] = (ranges[-1][0], max(b, ranges[-1][1]))
+            else:
+                ranges.append((a, b))
+        return None if ranges == [(0, LARGEST)] else replace(self, hidden=tuple(ranges))
 
 
 @dataclass(frozen=True)
 class Meta:
-    """What a commit says: its number and the batches that count."""
+    """What a commit says: its number and the pieces that count."""
 
     sequence: int = 0
-    live: tuple[int, ...] = field(default_factory=tuple)
+    live: tuple[Piece, ...] = field(default_factory=tuple)
 
     def to_json(self) -> str:
-        return json.dumps({"version": META_VERSION, "sequence": self.sequence, "live": list(self.live)})
+        live = [{"number": p.number, "name": p.name, "hidden": p.hidden} for p in self.live]
+        return json.dumps({"version": META_VERSION, "sequence": self.sequence, "live": live})
 
     @classmethod
     def from_json(cls, text: str) -> Meta:
@@ -57,7 +86,7 @@ class Meta:
             raise BadStore(f"metadata can't be read: {e}") from e
         if not isinstance(x, dict) or x.get("version") != META_VERSION:
             raise BadStore(f"metadata of version {x.get('version') if isinstance(x, dict) else None}, not {META_VERSION}")
-        return cls(x["sequence"], tuple(x["live"]))
+        return cls(x["sequence"], tuple(Piece(p["number"], p["name"], tuple(map(tuple, p["hidden"]))) for p in x["live"]))
 
 
 class Store:
@@ -67,69 +96,107 @@ class Store:
     def meta(self) -> Meta:
         """The last commit."""
         names = [n for n in files.list_names(self.spark, f"{self.path}/meta") if n.endswith(".json")]
-        return Meta.from_json(files.read_text(self.spark, f"{self.path}/meta/{names[-1]}")) if names else Meta()
-
-    def _commit(self, meta: Meta) -> None:
-        files.write_new(self.spark, f"{self.path}/meta/{meta.sequence:012d}.json", meta.to_json())
+        if not names:
+            return Meta()
+        path = f"{self.path}/meta/{names[-1]}"
+        for _ in range(50):  # a commit file is created first and filled at once after that
+            if text := files.read_text(self.spark, path):
+                return Meta.from_json(text)
+            time.sleep(0.1)
+        raise BadStore(f"{path} is empty: its writer was lost; remove it to go on")
 
     def table(self, name: str, meta: Meta | None = None) -> DataFrame:
-        """Rows of all batches that count, as they were written."""
+        """Rows of all pieces that count, as they were written, in one scan."""
         live = (meta or self.meta()).live
         if not live:
             return self.spark.createDataFrame([], TABLES[name])
-        paths = [f"{self.path}/{name}/{b:012d}" for b in live]
-        if name == "postings":
-            return self.spark.read.schema(POSTINGS).parquet(*paths)
-        parts = [self.spark.read.schema(DOCUMENTS).parquet(p) for p in paths]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
+        paths = [f"{self.path}/{name}/piece={p.name}" for p in live]
+        rows = self.spark.read.option("basePath", f"{self.path}/{name}").schema(f"{_STORED[name]}, piece string").parquet(*paths)
+        for p in live:
+            for first, last in p.hidden:
+                rows = rows.where((F.col("piece") != p.name) | (F.col("indexed_id") < first) | (F.col("indexed_id") > last))
+        if name == "documents":
+            if len(live) == 1:
+                rows = rows.withColumn("batch", F.lit(live[0].number).cast("long"))
+            else:  # a row per piece that the commit file lists
+                numbers = self.spark.createDataFrame([(p.name, p.number) for p in live], "piece string, batch long")
+                rows = rows.join(F.broadcast(numbers), "piece")
+        return rows.select(*self.spark.createDataFrame([], TABLES[name]).columns)
 
     def postings(self) -> DataFrame:
         return self.table("postings")
 
-    def documents(self) -> DataFrame:
-        """The last write of each id."""
-        return last_writes(self.table("documents"))
+    def documents(self, meta: Meta | None = None) -> DataFrame:
+        """The last write of each id. A piece holds an id once, so the only piece needs no resolving."""
+        meta = meta or self.meta()
+        rows = self.table("documents", meta)
+        return rows if len(meta.live) <= 1 else last_writes(rows)
 
-    def write(self, documents: DataFrame, postings: DataFrame, replaces: Meta | None = None) -> Meta:
-        """Add a batch; with `replaces`, one that stands for all batches of that commit."""
+    def write(self, documents: DataFrame, postings: DataFrame) -> Meta:
+        """Add a batch."""
+        return self.commit(self.stage(documents, postings))
+
+    def stage(self, documents: DataFrame, postings: DataFrame) -> str:
+        """Write a piece that no commit lists yet."""
         if self.config.read_only:
             raise ReadOnly()
-        now = self.meta()
-        batch = now.sequence + 1
-        while True:
-            stamped = documents if replaces else documents.withColumn("batch", F.lit(batch).cast("long"))
-            self._write_documents(stamped, batch)
-            self._write_postings(postings, batch)
+        name = f"p{uuid.uuid4().hex}"
+        self._write_documents(documents, f"{self.path}/documents/piece={name}")
+        self._write_postings(postings, f"{self.path}/postings/piece={name}")
+        return name
+
+    def commit(self, name: str, replaces: tuple[Piece, ...] = (), first: int = 0, last: int = LARGEST) -> Meta:
+        """Make a staged piece count; with `replaces`, in the place of those pieces' rows with ids from first to last."""
+        for _ in range(_TRIES):
             now = self.meta()
-            gone = set(replaces.live) if replaces else set()
-            meta = replace(now, sequence=max(batch, now.sequence + 1), live=(*(b for b in now.live if b not in gone), batch))
+            if missing := [p.name for p in replaces if p not in now.live]:
+                raise Conflict(f"another compaction replaced {missing[0]} first")
+            kept = [q for p in now.live if (q := p.hide(first, last) if p in replaces else p)]
+            number = max((p.number for p in replaces), default=now.sequence + 1)
+            meta = Meta(now.sequence + 1, (*kept, Piece(number, name)))
             try:
-                self._commit(meta)
+                files.write_new(self.spark, f"{self.path}/meta/{meta.sequence:012d}.json", meta.to_json())
                 return meta
             except Py4JJavaError as e:
                 if "Exist" not in str(e.java_exception):
                     raise
-                if batch <= self.meta().sequence and batch in self.meta().live:
-                    batch = self.meta().sequence + 1
-
-    def _write_documents(self, documents: DataFrame, batch: int) -> None:
-        columns = self.spark.createDataFrame([], DOCUMENTS).columns
-        dealt = documents.select(*columns).repartitionByRange("indexed_id").sortWithinPartitions("shard", "indexed_id")
-        options = {"compression": self.config.codec, "parquet.block.size": str(self.config.row_group), "parquet.bloom.filter.enabled#id": "true"}
-        dealt.write.mode("overwrite").options(**options).partitionBy("shard").parquet(f"{self.path}/documents/{batch:012d}")
+        raise Conflict("other writers were always faster")
 
-    def _write_postings(self, postings: DataFrame, batch: int) -> None:
+    def vacuum(self, older_than: float = 86_400.0) -> list[str]:
+        """Remove pieces that the last commit doesn't list and that are older than so many seconds, so that neither
+        searches that run nor pieces that are being written lose files. Returns their names."""
+        if self.config.read_only:
+            raise ReadOnly()
+        live, gone = {p.name for p in self.meta().live}, set()
+        for table in TABLES:
+            for folder, age in files.list_ages(self.spark, f"{self.path}/{table}"):
+                name = folder.removeprefix("piece=")
+                if name != folder and name not in live and age >= older_than:
+                    files.remove(self.spark, f"{self.path}/{table}/{folder}")
+                    gone.add(name)
+        return sorted(gone)
+
+    def _options(self, bloom: str) -> dict[str, str]:
+        return {"compression": self.config.codec, "parquet.block.size": str(self.config.row_group), f"parquet.bloom.filter.enabled#{bloom}": "true"}
+
+    def _write_documents(self, documents: DataFrame, path: str) -> None:
+        """Each id once: its last write by seq. The ranges that the files need hold all writes of an id, too."""
+        columns = self.spark.createDataFrame([], _STORED["documents"]).columns
+        order = Window.partitionBy("indexed_id").orderBy(F.col("seq").desc(), F.xxhash64("id", "author", "tsec", "content"))
+        dealt = documents.select(*columns).repartitionByRange("indexed_id").withColumn("nth", F.row_number().over(order))
+        last = dealt.where("nth = 1").drop("nth").sortWithinPartitions("shard", "indexed_id")
+        last.write.options(**self._options("id")).partitionBy("shard").parquet(path)
+
+    def _write_postings(self, postings: DataFrame, path: str) -> None:
         keys = ["mbox", "attr", "token", "indexed_id"]
         dealt = postings.select("mbox", "attr", "token", "shard", "indexed_id").repartitionByRange(*keys).sortWithinPartitions(*keys)
-        options = {"compression": self.config.codec, "parquet.block.size": str(self.config.row_group), "parquet.bloom.filter.enabled#token": "true"}
-        dealt.write.mode("overwrite").options(**options).parquet(f"{self.path}/postings/{batch:012d}")
+        dealt.write.options(**self._options("token")).parquet(path)
 
 
 def last_writes(rows: DataFrame) -> DataFrame:
-    """Of the rows of each id the one written last."""
-    kept = [c for c in rows.columns if c != "indexed_id"]
-    last = rows.groupBy("indexed_id").agg(F.max_by(F.struct(*kept), F.struct("batch", "seq")).alias("row"))
-    return last.select("indexed_id", "row.*").select(*rows.columns)
+    """Of the rows of each id the one of the highest batch, which holds an id once.
+
+    Columns are resolved one by one, so that those that nobody asks for are not read.
+    """
+    last = [F.max_by(c, "batch").alias(c) for c in rows.columns if c != "indexed_id"]
+    return rows.groupBy("indexed_id").agg(*last).select(*rows.columns)

@@ -7,12 +7,13 @@ import json
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from inkwell.functions.ids import to_hex
 from inkwell.operators import indexing, search, tools
 from inkwell.operators.ordered import greedy_chunks, with_previous, with_running
 from inkwell.plans.engine import Engine
-from inkwell.plans.errors import BadRequest, EngineError, NotFound, ReadOnly
+from inkwell.plans.errors import BadRequest, Conflict, EngineError, NotFound, ReadOnly
 from inkwell.plans.request import SearchRequest
 from inkwell.sources.store import EngineConfig
 from inkwell.streaming.ingest import index_stream
@@ -127,8 +128,9 @@ def test_indexing_again(spark, tmp_path):
     found = [r.indexed_id for r in e.search(req("green")).rows.collect()]
     assert len(found) == 5 and found[-1].startswith("00000069")
     before = sorted(e.postings.distinct().collect())
-    e.compact()
-    assert e.store.meta().live == (9 + 1,) and sorted(e.postings.collect()) == before
+    e.compact(keep_seconds=0)
+    assert [p.number for p in e.store.meta().live] == [9] and sorted(e.postings.collect()) == before
+    assert len(list((tmp_path / "s" / "documents").iterdir())) == 1
     assert names(e.search(req("green"))) == ["a", "b", "d", "e", "b"]
     assert {r.id: r.indexed_id for r in indexing.document_ids(e.store.table("documents")).collect()}["b"] >> 32 == 105
 
@@ -156,7 +158,14 @@ def test_read_only_and_missing(spark, tmp_path, engine):
 def test_tools(spark, engine, tmp_path):
     assert [(r.shard, r.n_ids) for r in engine.describe("m1.fulltext.red")["shards"].orderBy("shard").collect()] == [(100, 2), (101, 1), (102, 1), (103, 1)]
     assert engine.describe("m1.fulltext.red", dump=True, save=str(tmp_path / "saved"))["documents"].count() == 5
-    assert spark.read.parquet(str(tmp_path / "saved")).count() == 5
+    saved = {n: spark.read.parquet(str(tmp_path / "saved" / n)) for n in ("shards", "ids", "merged")}
+    assert [tuple(r) for r in saved["shards"].orderBy("shard").collect()] == [(100, 2), (101, 1), (102, 1), (103, 1)]
+    ids = [r.indexed_id for r in saved["merged"].orderBy("indexed_id").collect()]
+    assert len(ids) == 5 and sorted(ids) == sorted(r.indexed_id for r in saved["ids"].collect()) and saved["ids"].where("shard = 100").count() == 2
+    tools.save_index(engine.postings, "m1", "fulltext", "red", str(tmp_path / "text"), separator=";")
+    assert {r.value for r in spark.read.text(str(tmp_path / "text" / "shards")).collect()} == {"100;2", "101;1", "102;1", "103;1"}
+    rates = engine.check(rates=True)["rates"].first()
+    assert (rates.step, rates.n_keys) == ("check", 6) and rates.keys_per_second > 0
     checked = engine.check()
     assert checked["out_of_order"].count() == 0 and checked["boundaries"].count() == 3 and checked["large"].count() == 0
     assert [r.number for r in engine.list("documents").orderBy("key").collect()] == list(range(1, 7))
@@ -164,6 +173,114 @@ def test_tools(spark, engine, tmp_path):
         engine.list("nothing")
 
 
+def state(e):
+    return sorted((r.id, r.indexed_id, r.content.content) for r in e.documents.collect()), sorted(map(tuple, e.postings.distinct().collect()))
+
+
+def stage(e, *rows):
+    from inkwell.sources import ingest
+
+    read = [r for id_, mbox, day, text in rows for r in ingest.read_request({"mailbox": mbox, "docs": [doc(id_, day, text)]})[0]]
+    df = ingest.to_rows(e.spark, read)
+    return e.store.stage(indexing.documents_of(df), indexing.postings_of(df))
+
+
+def test_racing_writers(spark, tmp_path):
+    a, b = Engine(spark, str(tmp_path / "s")), Engine(spark, str(tmp_path / "s"))
+    put(a, ("o", "m", 1, "old"))
+    # both write before either commits; a compaction starts before both and commits between them
+    olds = a.store.meta().live
+    compacted = a.store.stage(a.store.documents(), a.store.postings().distinct())
+    one, two = stage(a, ("x", "m", 1, "from a"), ("o", "m", 1, "newer")), stage(b, ("y", "m", 1, "from b"), ("x", "m", 1, "later"))
+    a.store.commit(one)
+    a.store.commit(compacted, olds)
+    meta = b.store.commit(two)
+    assert sorted(p.number for p in meta.live) == [1, 2, 4] and len({p.name for p in meta.live}) == 3
+    assert sorted((r.id, r.content.content) for r in b.documents.collect()) == [("o", "newer"), ("x", "later"), ("y", "from b")]
+    assert sorted(names(a.search(req("from", "m")))) == ["x", "y"]
+    # two compactions of the same pieces: the second is told, and nothing is lost
+    again = a.store.stage(a.store.documents(), a.store.postings().distinct())
+    b.compact()
+    with pytest.raises(Conflict):
+        a.store.commit(again, meta.live)
+    assert sorted(r.id for r in a.documents.collect()) == ["o", "x", "y"] and len(a.store.meta().live) == 1
+
+
+def test_writers_at_once(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    def work(k):
+        e = Engine(spark, str(tmp_path / "s"))
+        put(e, (f"d{k}", "m", k, f"text {k}"))
+        if k % 3 == 0:
+            e.compact(keep_seconds=None)
+
+    with ThreadPoolExecutor(6) as pool:
+        list(pool.map(work, range(6)))
+    e = Engine(spark, str(tmp_path / "s"))
+    assert sorted(r.id for r in e.documents.collect()) == [f"d{k}" for k in range(6)]
+    assert len(names(e.search(req("text", "m")))) == 6
+
+
+def test_range_compaction(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "s"))
+    put(e, *TEXTS, ("a", "m1", 100, "yellow"), ("d", "m1", 102, "red"))
+    before = state(e)
+    e.compact_range(to_hex(101 << 32), to_hex((102 << 32) + (1 << 32) - 1))
+    assert state(e) == before
+    inside = {p.name for p in e.store.meta().live if not p.hidden}
+    assert len(inside) == 1 and sum(1 for p in e.store.meta().live if p.hidden == ((101 << 32, (103 << 32) - 1),)) == 9
+    put(e, ("c", "m1", 101, "newest"))  # a later write is not hidden
+    assert names(e.search(req("newest"))) == ["c"]
+    before = state(e)
+    done = e.compact_chunks(max_bytes=12, keep_seconds=0)
+    steps = [(r.step, r.n_keys) for r in done.collect()]
+    assert state(e) == before and len(steps) > 3 and steps[-1] == ("all", 6)
+    assert not any(p.name in inside for p in e.store.meta().live)
+    e.compact(keep_seconds=0)
+    assert state(e) == before and len(e.store.meta().live) == 1
+    with pytest.raises(BadRequest):
+        e.compact_range("2", "1")
+
+
+def test_limited_search_reads_the_page_only(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "s"))
+    put(e, *TEXTS)
+    put(e, ("a", "m1", 100, "red again"))
+    found = e.search(req() | {"paging": {"max_number": 2}}).documents
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    scans = [s for s in found._jdf.queryExecution().executedPlan().toString().split("FileScan parquet")[1:] if "PartitionFilters" in s]
+    reads = [s.split("ReadSchema: ")[1].split(chr(10))[0] for s in scans]
+    assert sum("content" in r for r in reads) == 1 and "GlobalLimit 2" in plan
+    # contents are in no aggregate, also where an id was written twice
+    assert not any("content" in line for line in plan.split(chr(10)) if "Aggregate" in line)
+    assert [r.content.content for r in found.collect()] == ["red again", "green red"]
+    shards = tools.shard_documents(e.documents)._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in shards
+
+
+@pytest.mark.parametrize("slices", [(1, 2), (512, 16_384)])
+def test_limits_with_filters(engine, slices, monkeypatch):
+    monkeypatch.setattr(search, "SLICES", slices)
+    limited = {"paging": {"max_number": 2}}
+    assert names(engine.search(req("red green", exact={"fulltext": "red green"}) | limited)) == ["a", "d"]
+    assert names(engine.search(req("red blue", exact={"fulltext": "red blue"}) | limited)) == ["c"]
+    assert names(engine.search(req() | limited, check=lambda d: d.id > "c")) == ["d", "e"]
+
+
+def test_check_sets_relevance(engine):
+    rows = engine.search(req(), check=lambda d: (d.id != "b", F.length(d["content.content"]) / 2)).rows.collect()
+    assert [(r.id, r.relevance) for r in rows] == [("a", 7.0), ("c", 7.0), ("d", 4.5), ("e", 2.5)]
+    page = engine.search(req() | {"paging": {"max_number": 1}}, check=lambda d: (d.id != "a", F.lit(3)))
+    assert json.loads(page.to_json())["ids"][0]["relevance"] == 3.0 and page.rows.first().relevance == 3.0
+
+
+def test_one_time_for_a_request(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "s"))
+    e.index({"mailbox": "m", "docs": [{"id": "now", "index": {"fulltext": "red"}}]})
+    assert names(e.search(req("red", "m"))) == ["now"]
+
+
 def test_merge(spark, tmp_path):
     a, b, out = (Engine(spark, str(tmp_path / n)) for n in "abo")
     put(a, ("x", "m", 1, "one two"))
@@ -172,7 +289,8 @@ def test_merge(spark, tmp_path):
     assert names(out.search(req("two", "m"))) == ["x", "y"]
     assert names(out.search(req("one", "m", exact={"fulltext": "three"}))) == ["x"]
     once = sorted(out.postings.distinct().collect())
-    out.merge([b.store.path, a.store.path])
+    steps = out.merge([b.store.path, a.store.path], compact=True)
+    assert [(r.step, r.n_keys) for r in steps.collect()] == [("merge", 2), ("compact", 2)] and len(out.store.meta().live) == 1
     assert sorted(out.postings.distinct().collect()) == once
     with pytest.raises(NotFound):
         out.merge([])
@@ -219,7 +337,7 @@ def test_against_sets(spark, docs, want, deny):
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(st.lists(st.integers(0, 30), min_size=1, max_size=60), st.integers(1, 50))
+@given(st.lists(st.integers(0, 30), min_size=1, max_size=60), st.integers(1, 400))
 def test_ordered(spark, sizes, limit):
     df = spark.createDataFrame([(f"{i:04d}", n) for i, n in enumerate(sizes)], "key string, bytes long").repartition(4)
     expected, chunk, filled = [], 0, 0
