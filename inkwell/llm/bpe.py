@@ -41,8 +41,10 @@ from .common import ship, whole_text
 BLOCK_CHARS, BLOCK_PIECES = 16_000_000, 400_000
 #: Documents of a block are sent in rows of about so many words.
 _ROW_WORDS = 500_000
-#: Words whose ids a task remembers, at most; beyond, it starts again.
-_CACHE_WORDS = 1_000_000
+#: Words whose ids a task remembers, at most; beyond, it starts again. Longer words are not remembered.
+_CACHE_WORDS, _CACHE_BYTES = 1_000_000, 100
+#: Ids are packed as 16-bit numbers.
+_MOST_IDS = 1 << 16
 #: Sizes of the ranks of frequent words that get the smallest numbers of a block.
 _TIERS = (256, 65_536)
 #: Blocks of a task.
@@ -104,19 +106,22 @@ class Vocabulary:
         if self.library == "tiktoken":
             import tiktoken
 
-            enc = tiktoken.Encoding("ranks", pat_str=self.pattern, mergeable_ranks=read_ranks(self.file), special_tokens={})
+            if len(ranks := read_ranks(self.file)) > _MOST_IDS:
+                raise ValueError(f"{self.file} has {len(ranks)} tokens; ids are packed in 16 bits")
+            enc = tiktoken.Encoding("ranks", pat_str=self.pattern, mergeable_ranks=ranks, special_tokens={})
             return lambda words: [array("H", enc.encode_ordinary(w)).tobytes() for w in words]
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         # the file's model without its splitting, as the words are cut already
-        tok = Tokenizer(Tokenizer.from_file(self.file).model)
+        tok = Tokenizer.from_file(self.file)
+        tokenize = tok.model.tokenize
         added = {t: array("H", [i]).tobytes() for t, i in self.added().items()}
         letters = dict(enumerate(byte_letters()))
         space = letters[32]
         vocabulary = tok.get_vocab()
-        sizes = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
-        sizes[list(vocabulary.values())] = list(map(len, vocabulary))
+        if max([*vocabulary.values(), *self.added().values()]) >= _MOST_IDS:
+            raise ValueError(f"{self.file} has ids over {_MOST_IDS - 1}; ids are packed in 16 bits")
 
         def spelled(w: str) -> str:
             if w.isascii() and w.isprintable():
@@ -124,16 +129,11 @@ class Vocabulary:
             return w.encode().decode("latin-1").translate(letters)
 
         def encode(words: list[str]) -> list[bytes]:
-            out: list[bytes] = []
-            for i in range(0, len(words), 4000):
-                some = list(map(spelled, words[i : i + 4000]))
-                ids = np.array(tok.encode_batch_fast([some], is_pretokenized=True, add_special_tokens=False)[0].ids, dtype="<u2")
-                # tokens do not span words: a word ends with the token that makes up its length
-                ends = np.searchsorted(np.cumsum(sizes[ids]), np.cumsum(list(map(len, some)))) + 1
-                flat, cut = ids.tobytes(), (2 * ends).tolist()
-                out += [flat[a:b] for a, b in zip([0, *cut], cut, strict=False)]
+            out = [array("H", [t.id for t in tokenize(spelled(w))]).tobytes() for w in words]
             return [added.get(w, ids) for w, ids in zip(words, out, strict=True)] if added else out
 
+        # ASCII letters after a space
+        encode.plain = lambda words: [array("H", [t.id for t in tokenize(space + w)]).tobytes() for w in words]
         return encode
 
 
@@ -276,6 +276,9 @@ def _encode_words(vocabulary: Vocabulary):
                 new = [w for w in own if w not in known]
                 known.update(zip(new, encode([w.decode() for w in new]), strict=True))
                 ids = list(map(known.__getitem__, own))
+                for w in new:
+                    if len(w) > _CACHE_BYTES:
+                        known.pop(w, None)
                 lens_out.append(squeeze((np.fromiter(map(len, ids), dtype="<u4", count=len(ids)) // 2).tobytes()))
                 ids_out.append(squeeze(b"".join(ids)))
             n = len(ids_out)

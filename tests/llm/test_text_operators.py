@@ -307,7 +307,6 @@ def test_orc_tokens(spark, make_docs, edge_rows):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     got = sorted((tuple(r) for r in orc_tokens.orc_report(make_docs(edge_rows), queries.tokenizer_json()).collect()), key=lambda r: r[1])
     start = 0
     for r, (doc, text) in zip(got, sorted(edge_rows, key=lambda x: -1 if x[0] is None else x[0]), strict=True):
@@ -333,6 +332,41 @@ def test_orc_added_tokens(make_docs):
     assert tok.encode(texts[0], add_special_tokens=False).ids == [64, 50256, 65]
 
 
+def test_orc_remembers(monkeypatch):
+    """What a worker remembers is bounded by bytes, long pieces are let go, and a broken task leaves nothing half done."""
+    import gc
+
+    import pyarrow as pa
+    import zstandard
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    voc = queries.tokenizer_json()
+    monkeypatch.setattr(orc_tokens, "_SLICE_CHARS", 50)
+    texts = ["one two. three, two", "two. one's  <|endoftext|> " + "x" * 5000, " leading", "", "three 12ab Ärger. Ärger", *(f"w{i} " * 3 for i in range(50))]
+    batch = pa.RecordBatch.from_pydict({"doc": list(range(len(texts))), "tk": [0] * len(texts), "text": texts})
+    for room in (10_000, 0, 10**9):
+        monkeypatch.setattr(orc_tokens, "_CACHE_BYTES", room)
+        for _ in range(2):
+            rows = [z for b in orc_tokens._encode(voc, np.zeros(0, np.int64))(iter([batch])) for z in b["codes"].to_pylist()]
+            got = [np.frombuffer(zstandard.ZstdDecompressor().decompress(z), "<u2").tolist() for z in rows]
+            assert got == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+        pieces, loose = orc_tokens._KNOWN[voc.file]
+        assert pieces.size + loose.size <= max(room, 0) and max(map(len, [*pieces, *loose, ""])) <= orc_tokens._CACHE_CHARS
+        part = orc_tokens._encode(voc, np.zeros(0, np.int64))(iter([batch]))
+        next(part)
+        part.close()
+        assert gc.isenabled() and not pieces.fresh and not loose.fresh
+    orc_tokens._KNOWN.clear()
+
+
+def test_large_vocabularies_are_refused(tmp_path):
+    path = tmp_path / "ranks"
+    path.write_bytes(b"\n".join(base64.b64encode(i.to_bytes(3, "big")) + b" %d" % i for i in range(65_537)))
+    with pytest.raises(ValueError, match="16 bits"):
+        bpe.Vocabulary("tiktoken", str(path), public_tokenizers.PATTERN).encoder()
+
+
 def test_orc_shards():
     cuts = np.array([3, 5, 5, 5, 9])
     doc, tk = np.array([1, 3, 4, 5, 5, 5, 6, 10]), np.array([0, 0, 0, -(2**63), 0, 2**63 - 1, 0, 0])
