@@ -16,7 +16,7 @@ from __future__ import annotations
 import gc
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +32,11 @@ SCHEMA = "doc_id long, shard int, shard_start long, n_tokens int, ids array<int>
 ORC_OPTIONS = {"orc.bloom.filter.columns": "doc_id", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.compress": "ZSTD"}
 _NULL_DOC = -(2**63)
 #: Bytes that a Python worker may spend on what it remembers from one task to the next, about; and what an entry takes beside its text and ids.
-_CACHE_BYTES, _ENTRY_BYTES = 260_000_000, 180
+_CACHE_BYTES, _ENTRY_BYTES = 200_000_000, 180
 #: Longer pieces and words are forgotten after their slice.
 _CACHE_CHARS = 100
 _SLICE_CHARS = 8_000_000
-_KNOWN: dict[str, tuple[Remembered, Remembered]] = {}
+_KNOWN: dict[str, Known] = {}
 _ENCODED = "shard int, doc long, tk long, codes binary"
 
 
@@ -47,90 +47,52 @@ def shard_of(doc: np.ndarray, tk: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     return low + np.minimum((share * (high - low + 1)).astype(np.int64), high - low)
 
 
-class Remembered(dict):
-    """Numbers of pieces of text, each cut into words once, and the ids of each number. A piece that is looked up for the
-    first time gets the next number; `settle` then encodes all new ones at once."""
-
-    def __init__(self, cut: Callable[[str], list[str]]):
-        super().__init__()
-        self.cut, self.ids, self.fresh, self.size = cut, [], [], 0
-
-    def __missing__(self, piece: str) -> int:
-        self.fresh.append(piece)
-        n = self[piece] = len(self.ids) + len(self.fresh) - 1
-        return n
-
-    def settle(self, encode: Callable[[list[str]], list[bytes]], plain: Callable[[list[str]], list[bytes]] | None = None) -> None:
-        """Encode the new pieces; with `plain`, pieces of ASCII letters, which are one word after a space, by that."""
-        done, ids = len(self.ids), self.ids
-        ids += [b""] * len(self.fresh)
-        simple, rest = [], self.fresh
-        if plain:
-            rest = []
-            for p in self.fresh:
-                (simple if p.isascii() and p.isalpha() else rest).append(p)
-            for p, code in zip(simple, plain(simple), strict=True):
-                ids[self[p]] = code
-        words = list(map(self.cut, rest))
-        codes: dict[str, bytes | None] = {}
-        for own in words:
-            for w in own:
-                if w not in codes:
-                    # a word after a space may have been a piece of its own
-                    codes[w] = ids[n] if simple and len(own) > 1 and w[0] == " " and (n := self.get(w[1:], -1)) >= 0 and ids[n] and w[1:].isalpha() else None
-        todo = [w for w, c in codes.items() if c is None]
-        codes.update(zip(todo, encode(todo), strict=True))
-        for p, own in zip(rest, words, strict=True):
-            ids[self[p]] = codes[own[0]] if len(own) == 1 else b"".join([codes[w] for w in own])
-        self.size += sum(map(len, self.fresh)) + sum(map(len, ids[done:])) + _ENTRY_BYTES * len(self.fresh)
-
-    def close(self, room: int) -> None:
-        """Forget long pieces of the slice, and all if they take more than `room` bytes."""
-        for p in self.fresh:
-            if len(p) > _CACHE_CHARS:
-                n = self.pop(p)
-                self.size -= len(p) + len(self.ids[n])
-                self.ids[n] = b""
-        self.fresh = []
-        if self.size > room:
-            self.forget()
-
-    def forget(self) -> None:
-        self.clear()
-        self.ids, self.fresh, self.size = [], [], 0
+class Known(dict):
+    """The ids of pieces, packed, that a Python worker remembers, and the bytes that they take."""
+
+    size = 0
+
+    def learn(self, ids: dict[str, bytes], room: int) -> None:
+        """Take them in, all afresh if they take more than `room` bytes together with what is there."""
+        more = sum(map(len, ids)) + sum(map(len, ids.values())) + _ENTRY_BYTES * len(ids)
+        if self.size + more > room:
+            self.clear()
+            self.size = 0
+        if more <= room:
+            self.update(ids)
+            self.size += more
 
 
 def _encode(vocabulary: Vocabulary, cuts: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter, encode = Cutter(vocabulary.pattern, vocabulary.added()), None
         squeeze = zstandard.ZstdCompressor(level=3).compress
-        if vocabulary.file not in _KNOWN:
-            pieces = Remembered(cutter.words)
-            _KNOWN[vocabulary.file] = pieces, Remembered(lambda w: [w])
-        pieces, loose = _KNOWN[vocabulary.file]
+        known = _KNOWN.setdefault(vocabulary.file, Known())
         gc.disable()  # there are no cycles, but millions of strings to look through for them
         try:
             for b in batches:
                 for part in slices({c: b[c].to_pylist() for c in b.schema.names}, "text", _SLICE_CHARS):
                     encode = encode or vocabulary.encoder()
-                    numbered = []
-                    for text in part["text"]:
-                        head, rest = cutter.cut(text)
-                        numbered.append((list(map(loose.__getitem__, head)), list(map(pieces.__getitem__, rest))))
-                    loose.settle(encode)
-                    pieces.settle(encode, encode.plain if cutter.plain else None)
-                    of_word, of_piece = loose.ids.__getitem__, pieces.ids.__getitem__
-                    out = [squeeze(b"".join([*map(of_word, head), *map(of_piece, rest)])) for head, rest in numbered]
-                    del numbered
-                    loose.close(_CACHE_BYTES // 8)
-                    pieces.close(_CACHE_BYTES - _CACHE_BYTES // 8)
+                    cuts_of = list(map(cutter.cut, part["text"]))
+                    pieces: set[str] = set()
+                    heads: set[str] = set()
+                    for head, rest in cuts_of:
+                        heads.update(head)
+                        pieces.update(rest)
+                    new = {p: cutter.words(p) for p in pieces.difference(known)}
+                    words = list(heads.union(*new.values()))
+                    ids = dict(zip(words, encode(words), strict=True))
+                    fresh = {p: ids[ws[0]] if len(ws) == 1 else b"".join([ids[w] for w in ws]) for p, ws in new.items()}
+                    known.update(fresh)
+                    out = [squeeze(b"".join([*map(ids.__getitem__, head), *map(known.__getitem__, rest)])) for head, rest in cuts_of]
+                    for p in fresh:
+                        if len(p) > _CACHE_CHARS:
+                            del known[p]
+                    known.learn({p: c for p, c in fresh.items() if len(p) <= _CACHE_CHARS}, _CACHE_BYTES)
                     doc, tk = (np.array(part[c], dtype=np.int64) for c in ("doc", "tk"))
                     yield pa.RecordBatch.from_arrays([pa.array(shard_of(doc, tk, cuts).astype(np.int32)), pa.array(doc), pa.array(tk), pa.array(out, pa.binary())], names=["shard", "doc", "tk", "codes"])
         finally:
             gc.enable()
-            if pieces.fresh or loose.fresh:  # a task that breaks off leaves numbers without ids
-                pieces.forget()
-                loose.forget()
 
     return run
 
