@@ -45,6 +45,40 @@ def test_embedding_dedup(spark, homes, monkeypatch):
     assert embed_dedup.embedding_report(df.limit(0)).collect() == []
 
 
+def test_embedding_grid_prunes(spark, monkeypatch):
+    """Vectors whose spread lies in few axes: the grid that is taken for many of them lets few pairs meet, the one for few
+    saves rows instead; the links are all found either way."""
+    rng = np.random.default_rng(8)
+    axes = np.linalg.qr(rng.standard_normal((32, 32)))[0][:, :6]
+    v = rng.standard_normal((4000, 6)) @ axes.T + 0.01 * rng.standard_normal((4000, 32))
+    u = embed_dedup.unit(v)
+    df = spark.createDataFrame([(i, 1, x) for i, x in enumerate(v.tolist())], "rep long, copies long, v array<double>")
+    compared = []
+    for total in (4000, 10**7):
+        grid = embed_dedup.Grid.fitted(u[:1000], total, 0.9)
+        monkeypatch.setattr(embed_dedup, "fitted_grids", lambda named, cosine, grid=grid: {32: grid})
+        found = embed_dedup.near_vectors(df)
+        compared.append(found.where("u IS NULL").agg(F.sum("n")).first()[0] / (4000**2 / 2))
+        assert found.where("u IS NOT NULL AND v IS NULL").agg(F.sum("n")).first()[0] == int((u @ u.T >= 0.9).sum()) - 4000
+    assert compared[1] < 0.6 and compared[1] < 0.5 * compared[0]
+
+
+def test_grids_hold_all_near_pairs():
+    """Whatever the sample: near pairs are within the radius of some block, and their cells meet."""
+    rng = np.random.default_rng(3)
+    for dim in (2, 3, 5, 33, 64):
+        u = embed_dedup.unit(rng.standard_normal((200, dim)))
+        for grid in (embed_dedup.Grid.plain(dim, 0.9), embed_dedup.Grid.fitted(u[:100], 200, 0.9), embed_dedup.Grid.fitted(u[:100] * ([1.0] + [0.01] * (dim - 1)), 10**9, 0.9)):
+            assert sum(p.stop - p.start for p in grid.parts) == dim and grid.parts[0].start == 0
+            turn = grid.turn / embed_dedup._FIXED
+            assert np.abs(turn @ turn.T - np.eye(dim)).max() < 1e-5
+            v = embed_dedup.unit(u + rng.standard_normal(u.shape) * 0.45 / np.sqrt(dim))
+            near = (u * v).sum(1) >= 0.9
+            x, y = embed_dedup.rotated(u[near], grid.turn), embed_dedup.rotated(v[near], grid.turn)
+            hit = [((x[:, p] - y[:, p]) ** 2).sum(1) <= r * r for p, r in zip(grid.parts, grid.radii, strict=True)]
+            assert near.any() and np.any(hit, axis=0).all()
+
+
 def test_small_table(spark):
     v = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
     rows = v.select("vec_id", "embedding").collect()
