@@ -12,8 +12,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: White space of the contracts: space and U+0009 to U+000D.
-SPACE_CLASS = r"[\x20\x09-\x0D]"
+#: A word of the contracts: all but space and U+0009 to U+000D.
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
 
 _SHIPPED: set[str] = set()
@@ -43,6 +42,8 @@ def shared_folder(spark: SparkSession) -> str:
     if sc.applicationId not in _FOLDERS:
         base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
         if not base:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             base = tempfile.mkdtemp(prefix="inkwell-checkpoint-")
             sc.setCheckpointDir(base)
         _FOLDERS[sc.applicationId] = folder = f"{base.rstrip('/')}/inkwell-{uuid.uuid4().hex}"

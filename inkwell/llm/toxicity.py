@@ -3,8 +3,9 @@
 Features: densities of a lexicon (seed words, and words and stems that labelled toxic documents favour), how close its words
 stand to second-person words, capitals, punctuation and obfuscation rates. Only the text is an input of a score.
 
-Training takes at most `SAMPLE_ROWS` labelled documents, drawn by a hash of doc_id, none of them held out; their
-texts stay on the executors, the driver sees their features and the counts of at most `WORD_ROWS` words. The model
+Training takes at most `SAMPLE_ROWS` labelled documents, drawn by a hash of doc_id, none of them held out, and one text
+of each (the one of the smallest hash, where an id has several); their texts stay on the executors, which count and rank
+words by evidence; the driver sees the documents' features and the best words until the lexicon is full. The model
 (lexicon, trees, calibration) has a bounded size. Scoring reads every whole text once.
 
 Cases: a null or empty text is scored like any other (all features 0); labels that are null or name no document
@@ -17,7 +18,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -30,9 +31,8 @@ from .common import ship, whole_text, written
 
 #: Labelled documents that train the model, at most.
 SAMPLE_ROWS = 12_000
-#: Words and stems with the strongest evidence that become the learned lexicon, and those that are fetched to choose from.
+#: Words and stems with the strongest evidence that become the learned lexicon.
 LEXICON_WORDS = 200
-WORD_ROWS = 40_000
 #: A learned entry stands in this share of the toxic documents; its log odds and its likelihood ratio are at least these.
 LEXICON_SHARE, LEXICON_ODDS, LEXICON_RATIO = 0.015, 1.5, 30.0
 #: Lengths in bytes of the stems: entries that end with a star stand for all words that begin so.
@@ -207,27 +207,32 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _sample_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many toxic and how many other texts each word and stem stands."""
     for b in batches:
         counts: dict[int, Counter] = {0: Counter(), 1: Counter()}
         for text, toxic in zip(b["text"].to_pylist(), b["toxic"].to_pylist(), strict=True):
-            if toxic:
-                found = {w for w in text.encode("utf-8", "surrogatepass").translate(_PLAIN).split() if 3 <= len(w) <= 24}
-                counts[toxic].update({t for w in found for t in word_and_stems(w)})
-        words = list(counts[1])  # words of no toxic document can't be chosen
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([counts[1][w] for w in words], pa.int64())], names=["word", "bad"])
+            found = {w for w in text.encode("utf-8", "surrogatepass").translate(_PLAIN).split() if 3 <= len(w) <= 24}
+            counts[toxic].update({t for w in found for t in word_and_stems(w)})
+        words = list(counts[0] | counts[1])
+        yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), *(pa.array([counts[k][w] for w in words], pa.int64()) for k in (1, 0))], names=["word", "bad", "good"])
 
 
-def _sample_counts(wanted: frozenset[bytes]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c: Counter = Counter()
-        for b in batches:
-            for text, toxic in zip(b["text"].to_pylist(), b["toxic"].to_pylist(), strict=True):
-                if not toxic:
-                    found = {w for w in text.encode("utf-8", "surrogatepass").translate(_PLAIN).split() if 3 <= len(w) <= 24}
-                    c.update(wanted.intersection([t for w in found for t in word_and_stems(w)]))
-        yield pa.RecordBatch.from_arrays([pa.array(c.keys(), pa.binary()), pa.array(c.values(), pa.int64())], names=["word", "good"])
+def ranked_words(sample: DataFrame, n_bad: int, n_good: int) -> DataFrame:
+    """word, odds of the words and stems with enough evidence, the strongest first.
 
-    return run
+    odds: log of how much more often the word stands in toxic documents. Evidence: how much likelier the counts are with a
+    share of documents for each class than with one for both, as 2 log.
+    """
+    counts = sample.select("text", "toxic").mapInArrow(_sample_words, "word binary, bad long, good long")
+    bad, good = F.col("bad"), F.col("good")
+    counts = counts.groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).where(bad >= max(3, int(LEXICON_SHARE * n_bad)))
+    share = (bad + good) / (n_bad + n_good)
+    ratio = F.lit(0.0)
+    for k, n in ((bad, n_bad), (good, n_good)):
+        ratio += F.when(k > 0, k * F.log(k / (n * share))).otherwise(0.0) + F.when(k < n, (n - k) * F.log((n - k) / (n * (1 - share)))).otherwise(0.0)
+    odds = F.log((bad + 0.5) / (n_bad + 1)) - F.log((good + 0.5) / (n_good + 1))
+    rows = counts.select("word", odds.alias("odds"), (2 * ratio).alias("ratio"))
+    return rows.where((F.col("odds") >= LEXICON_ODDS) & (F.col("ratio") >= LEXICON_RATIO)).orderBy(F.round("ratio", 9).desc(), "word").select("word", "odds")
 
 
 def _feature_rows(lexicon: dict[bytes, float], seeds: frozenset[bytes], keep: tuple[str, ...]):
@@ -250,18 +255,14 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     chosen = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = chosen.groupBy("doc_id").agg(F.max((F.col("toxic") != 0).cast("int")).alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    rows = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(chosen), "doc_id")  # at most sample_rows
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     sample = written(rows, "toxic-sample")
     n_bad, n_all = sample.agg(F.sum("toxic"), F.count("*")).first()
     if not n_bad or n_bad == n_all:
         return base
-    bad = sample.select("text", "toxic").mapInArrow(_sample_words, "word binary, bad long").groupBy("word").agg(F.sum("bad").alias("bad"))
-    top = bad.where(F.col("bad") >= max(3, int(LEXICON_SHARE * n_bad))).orderBy(F.col("bad").desc(), "word").limit(WORD_ROWS).collect()
-    bads = {bytes(r.word): r.bad for r in top}
-    goods = {bytes(r.word): r.good for r in sample.select("text", "toxic").mapInArrow(_sample_counts(frozenset(bads)), "word binary, good long").groupBy("word").agg(F.sum("good").alias("good")).collect()}
-    odds = {w: float(np.log((b + 0.5) / (n_bad + 1)) - np.log((goods.get(w, 0) + 0.5) / (n_all - n_bad + 1))) for w, b in bads.items()}
-    ratio = {w: likelihood_ratio(b, goods.get(w, 0), n_bad, n_all - n_bad) for w, b in bads.items() if odds[w] >= LEXICON_ODDS}
-    lexicon = base.lexicon | {w: odds[w] for w in independent(sorted((w for w in ratio if ratio[w] >= LEXICON_RATIO), key=lambda w: (-ratio[w], w)))}
+    ranked = ranked_words(sample, n_bad, n_all - n_bad).toLocalIterator()
+    lexicon = base.lexicon | dict(independent((bytes(r.word), r.odds) for r in ranked))
     keep = ("doc_id", "toxic")
     table = sample.mapInArrow(_feature_rows(lexicon, _SEEDS, keep), "doc_id long, toxic int, x array<double>").withColumn("fold", F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS).orderBy("doc_id", "x").toArrow()
     x = np.array(table["x"].to_pylist())
@@ -278,23 +279,15 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     return model
 
 
-def likelihood_ratio(bad: int, good: int, n_bad: int, n_good: int) -> float:
-    """How much likelier the counts are with a share of documents for each class than with one for both, as 2 log."""
-    share = (bad + good) / (n_bad + n_good)
-    out = 0.0
-    for k, n in ((bad, n_bad), (good, n_good)):
-        out += k * np.log(k / (n * share)) if k else 0.0
-        out += (n - k) * np.log((n - k) / (n * (1 - share))) if n > k else 0.0
-    return 2 * float(out)
-
-
-def independent(terms: list[bytes], most: int = LEXICON_WORDS) -> list[bytes]:
+def independent(terms: Iterable[tuple[bytes, float]], most: int = LEXICON_WORDS) -> list[tuple[bytes, float]]:
     """The first `most` terms, best first, without those that begin like a better one or that a better one begins like."""
-    chosen: list[bytes] = []
-    for t in terms:
+    chosen: list[tuple[bytes, float]] = []
+    for t, odds in terms:
         stem = t.rstrip(b"*")
-        if len(chosen) < most and not any((c.endswith(b"*") and stem.startswith(c[:-1])) or (t.endswith(b"*") and c.rstrip(b"*").startswith(stem)) for c in chosen):
-            chosen.append(t)
+        if not any((c.endswith(b"*") and stem.startswith(c[:-1])) or (t.endswith(b"*") and c.rstrip(b"*").startswith(stem)) for c, _ in chosen):
+            chosen.append((t, odds))
+            if len(chosen) == most:
+                break
     return chosen
 
 

@@ -154,8 +154,73 @@ def test_toxicity_edges(spark, make_docs, edge_rows):
 def test_lexicon():
     terms = toxicity.Terms({b"word": 1.0, b"stem*": 2.0, b"stemmed*": 3.0})
     assert [terms[w] for w in (b"word", b"words", b"stem", b"stems", b"stemmedx", b"other")] == [1.0, 0.0, 0.0, 2.0, 3.0, 0.0]
-    assert toxicity.independent([b"stem*", b"stemm*", b"ste", b"stems", b"rest*", b"res*", b"res"]) == [b"stem*", b"ste", b"rest*", b"res"]
-    assert toxicity.likelihood_ratio(5, 5, 10, 10) == pytest.approx(0) and toxicity.likelihood_ratio(10, 0, 10, 10) > 20
+    ranked = [(w, 1.0) for w in (b"stem*", b"stemm*", b"ste", b"stems", b"rest*", b"res*", b"res")]
+    assert [w for w, _ in toxicity.independent(ranked)] == [b"stem*", b"ste", b"rest*", b"res"]
+    assert len(toxicity.independent(((b"%d" % i, 1.0) for i in range(10**9)), 5)) == 5
+
+
+def test_ranked_words(spark):
+    """Counts and evidence by hand: a word of toxic documents, its stems, a common word, a word of the others."""
+    rows = [(f"vile{i % 3} thing common", 1) for i in range(40)] + [("common other", 0)] * 90 + [("vile0 common", 0)] * 10
+    sample = spark.createDataFrame(rows, "text string, toxic int")
+    got = {bytes(r.word): r.odds for r in toxicity.ranked_words(sample, 40, 100).collect()}
+    assert set(got) == {b"thing", b"thin*", b"vile*", b"vile1", b"vile2"}
+    assert got[b"thing"] == pytest.approx(np.log(40.5 / 41) - np.log(0.5 / 101)) and got[b"vile*"] == pytest.approx(np.log(40.5 / 41) - np.log(10.5 / 101))
+
+
+def test_features_by_hand():
+    lexicon = {b"idiot": 1.0, b"scum*": 2.5}
+    text = "You IDIOT!! scummy SCUM1 1d10t and yoooou, the i d i o t; nice day"
+    x = toxicity.text_features(text.encode(), toxicity.Terms(lexicon), frozenset([b"idiot"]))
+    words = "you idiot scummy scum1 1d10t and yoooou the i d i o t nice day".split()
+    n, hits = len(words), ["idiot", "scummy", "scum1"]
+    near = 3  # all three stand within four words of "you"
+    letters, caps = sum(c.isalpha() for c in text), sum(c.isupper() for c in text)
+    punctuation = sum(c in ".,;!?" for c in text)
+    expected = [3 / n, 1 / n, 3, len(hits), 6.0 / n, 6.0, 2.5, near / n, near, caps / letters, 1 / n, 2 / len(text), punctuation / len(text), 2 / n, 2, 1 / n]
+    assert x == pytest.approx(expected)
+    assert toxicity.text_features(b"", toxicity.Terms(lexicon), frozenset()) == [0.0] * toxicity.FEATURES
+
+
+def test_trees_against_brute_force():
+    """The first tree's root is the best of all splits, its leaves are the Newton steps, and a margin adds up leaves."""
+    rng = np.random.default_rng(9)
+    x = rng.integers(0, 6, (400, 3)).astype(float)
+    y = ((x[:, 1] > 2) ^ (rng.random(400) < 0.1)).astype(float)
+    start, trees = toxicity.fit_trees(x, y)
+    p = y.mean()
+    assert start == pytest.approx(np.log(p / (1 - p))) and len(trees) == toxicity.TREES
+    g, h = y - p, p * (1 - p) + 1e-6
+
+    def gain(j, c):
+        left = x[:, j] <= c
+        if min(left.sum(), (~left).sum()) < toxicity.LEAF:
+            return -1
+        return g[left].sum() ** 2 / (h * left.sum() + 1) + g[~left].sum() ** 2 / (h * (~left).sum() + 1)
+
+    feature, cut, leaf = trees[0]
+    assert gain(feature[0], cut[0]) == pytest.approx(max(gain(j, c) for j in range(3) for c in range(6)))
+    assert feature[0] == 1 and 2 <= cut[0] < 3
+
+    def leaf_of(row, tree):
+        node = 0
+        for _ in range(toxicity.DEPTH):
+            node = 2 * node + 1 + int(row[tree[0][node]] > tree[1][node])
+        return node - (2**toxicity.DEPTH - 1)
+
+    places = np.array([leaf_of(r, trees[0]) for r in x])
+    for k in set(places.tolist()):
+        assert leaf[k] == pytest.approx(toxicity.RATE * g[places == k].sum() / (h * (places == k).sum() + 1))
+    model = toxicity.Model(start=start, trees=trees)
+    assert model.margin(x).tolist() == pytest.approx([start + sum(t[2][leaf_of(r, t)] for t in trees) for r in x])
+
+
+def test_one_text_of_a_labelled_id(spark, make_docs):
+    docs = make_docs([(i, f"vile words {i}" if i % 2 else f"nice words {i}") for i in range(60)] + [(1, f"more {k}") for k in range(500)])
+    labels = spark.createDataFrame([(i, 0, i % 2) for i in range(60)], "doc_id long, quality int, toxic int")
+    again = toxicity.train(docs.repartition(5), labels)
+    model = toxicity.train(docs, labels)
+    assert model.lexicon == again.lexicon and model.start == again.start
 
 
 def test_isotonic():
@@ -351,12 +416,12 @@ def test_orc_remembers(monkeypatch):
             rows = [z for b in orc_tokens._encode(voc, np.zeros(0, np.int64))(iter([batch])) for z in b["codes"].to_pylist()]
             got = [np.frombuffer(zstandard.ZstdDecompressor().decompress(z), "<u2").tolist() for z in rows]
             assert got == [tok.encode(t, add_special_tokens=False).ids for t in texts]
-        pieces, loose = orc_tokens._KNOWN[voc.file]
-        assert pieces.size + loose.size <= max(room, 0) and max(map(len, [*pieces, *loose, ""])) <= orc_tokens._CACHE_CHARS
+        known = orc_tokens._KNOWN[voc.file]
+        assert known.size <= room and len(known) * orc_tokens._ENTRY_BYTES <= known.size and max(map(len, [*known, ""])) <= orc_tokens._CACHE_CHARS
         part = orc_tokens._encode(voc, np.zeros(0, np.int64))(iter([batch]))
         next(part)
         part.close()
-        assert gc.isenabled() and not pieces.fresh and not loose.fresh
+        assert gc.isenabled()
     orc_tokens._KNOWN.clear()
 
 
@@ -531,6 +596,35 @@ def test_ogg(make_docs, edge_rows):
     assert ogg_media.media_report(make_docs([])).collect() == []
 
 
+def test_ogg_by_hand():
+    """A file put together byte by byte: a packet over three pages, one of them without a packet's end, and a second stream."""
+    payload = bytes(range(256)) * 400  # 102,400 samples
+
+    def page(flags, granule, serial, number, lacing, body):
+        head = struct.pack("<4sBBqIIIB", b"OggS", 0, flags, granule, serial, number, 0, len(lacing)) + bytes(lacing)
+        return head[:22] + struct.pack("<I", ogg_media.page_crc(head + body)) + head[26:] + body
+
+    head = b"\x80samples\0" + struct.pack("<IBB", 8000, 1, 8)
+    part = 255 * 255
+    last = payload[part:]
+    pages = [page(2, 0, 2, 0, [len(head)], head), page(2, 0, 1, 0, [5], b"notes"), page(0, -1, 2, 1, [255] * 255, payload[:part])]
+    pages += [page(1, len(payload), 2, 2, [255] * (len(last) // 255) + [len(last) % 255], last), page(4, 1, 1, 1, [0, 3], b"end"), page(4, len(payload), 2, 3, [0], b"")]
+    streams = ogg_media.read_ogg(b"".join(pages))
+    assert streams[1].packets == [b"notes", b"", b"end"] and streams[2].packets == [head, payload, b""]
+    samples, feature = ogg_media.read_samples(b"".join(pages))
+    assert samples == payload and feature == {"streams": 2, "pages": 6, "packets": 3, "ms": 12_800, "mid_ms": 12_800}
+
+
+def test_ogg_features(make_docs):
+    (row,) = ogg_media.media_report(make_docs([(1, "x" * 100_000)])).collect()
+    # 100,032 samples at 8,000 Hz in packets of 4,000: a header and 26 packets; a page holds 15 or 16 of them
+    got = dict(p.split("=") for p in row.feature.split(";"))
+    assert row.payload_bytes == 100_032 and (got["streams"], got["packets"], got["ms"]) == ("2", "27", "12504")
+    ends = [g for _, g in ogg_media.read_ogg(ogg_media.write_ogg(("x" * 100_000).encode().ljust(100_032, b"\0")))[2].granules]
+    assert got["pages"] == str(len(ends) + 1) and got["mid_ms"] == str(ends[len(ends) // 2] * 1000 // 8000)
+    assert all(g % 4000 == 0 or g == 100_032 for g in ends) and ends == sorted(ends)
+
+
 def test_ogg_damage():
     media = ogg_media.write_ogg(bytes(range(256)) * 300)
     for i in (0, 30, 200, len(media) // 2, len(media) - 1):
