@@ -7,9 +7,10 @@ empty result; columns beside doc_id, text and source are ignored (`mix_report`)
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ordered import with_running
 from .common import WORD_CLASS, written
 
 #: Sources get these weights in turn, by code point order.
@@ -35,26 +36,21 @@ def source_rates(sizes: DataFrame) -> DataFrame:
     """source, source_size, target, rate from rows (source, size).
 
     Targets share the total by weight; those above MAX_REPEATS times their source's size stop there and the rest
-    is shared again. In order of cap / weight the stopped sources are a prefix, so running sums find the level.
-    The windows run over one row per source, after aggregation.
+    is shared again. In order of cap / weight the stopped sources are a prefix, so running sums find the level. These are
+    taken in ranges of sources, so that no task holds them all; the driver gets two rows of totals.
     """
-    per = sizes.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    per = per.withColumn("weight", ((F.row_number().over(order) - 1) % WEIGHTS + 1).cast("long"))
-    per = per.withColumn("cap", F.col("source_size") * MAX_REPEATS)
-    everything = Window.partitionBy()
-    before = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    zero = F.lit(0).cast("long")
-    per = (
-        per.withColumn("total", F.sum("source_size").over(everything))
-        .withColumn("weights", F.sum("weight").over(everything))
-        .withColumn("cap_before", F.coalesce(F.sum("cap").over(before), zero))
-        .withColumn("weight_before", F.coalesce(F.sum("weight").over(before), zero))
-        .withColumn("level", (F.col("total") - F.col("cap_before")).cast("double") / (F.col("weights") - F.col("weight_before")).cast("double"))
-        .withColumn("stopped", F.col("level") * F.col("weight") > F.col("cap"))
-        .withColumn("last_level", F.max(F.when(~F.col("stopped"), F.struct(-F.col("weight_before"), F.col("level").alias("level")))).over(everything)["level"])
-    )
-    target = F.when(F.col("stopped"), F.col("cap").cast("double")).otherwise(F.least(F.col("last_level") * F.col("weight"), F.col("cap").cast("double")))
+    per = sizes.groupBy("source").agg(F.sum("size").cast("long").alias("source_size")).withColumn("unnamed", F.col("source").isNull())
+    per = with_running(per, ["unnamed", "source"], "number", {})
+    per = per.withColumn("weight", ((F.col("number") - 1) % WEIGHTS + 1).cast("long")).withColumn("cap", F.col("source_size") * MAX_REPEATS)
+    per = with_running(per.withColumn("fill", F.col("cap") / F.col("weight")), ["fill", "unnamed", "source"], "place", {"caps": "cap", "weights": "weight"})
+    per = written(per, "mix-sources")
+    total, weights = (x or 0 for x in per.agg(F.sum("source_size"), F.sum("weight")).first())
+    before = F.col("weights") - F.col("weight")
+    level = (F.lit(total) - (F.col("caps") - F.col("cap"))).cast("double") / (F.lit(weights) - before).cast("double")
+    stopped = level * F.col("weight") > F.col("cap")
+    last = per.where(~stopped).agg(F.min_by(level, before)).first()[0]
+    cap = F.col("cap").cast("double")
+    target = F.when(stopped, cap).otherwise(F.least(F.lit(last).cast("double") * F.col("weight"), cap))
     return per.select("source", "source_size", target.alias("target")).withColumn(
         "rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     )
