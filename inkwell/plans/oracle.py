@@ -105,7 +105,7 @@ ORACLE: dict[str, str] = {
         _matching(_THREE),
         columns=f"id, {_HEX} AS indexed_id, author, title, 0::INTEGER AS n_links, 0::FLOAT AS relevance, shard * 86400 AS tsec, indexed_id & 4294967295 AS tnsec",
     ),
-    "dangling_postings": _found(_matching(_THREE), "shard % 2 = 0", "indexed_id, id"),
+    "dangling_postings": _found(_matching(_THREE), "author <> 'src7'", "indexed_id, id"),
     "and_search": _with(_POSTINGS, _matching(_THREE)),
     "common_shards": _with(_POSTINGS, " INTERSECT ".join(f"SELECT shard FROM postings WHERE mbox = 'en' AND attr = 'fulltext' AND token = '{t}'" for t in ("the", "and", "from"))),
     "negation_anti_join": _with(
@@ -130,7 +130,8 @@ ORACLE: dict[str, str] = {
     "check_shard_docs": _with(_DOCS, "SELECT shard, count(*)::BIGINT AS n_docs FROM docs GROUP BY shard"),
     "list_totals": _with(_DOCS, f"SELECT count(*)::BIGINT AS n_keys, coalesce(sum({_BYTES}), 0)::BIGINT AS total_bytes FROM docs"),
     "key_bounds": _with(_DOCS, f"SELECT min({_HEX}) AS first_key, max({_HEX}) AS last_key FROM docs"),
-    "merge_documents": _with(_DOCS, "SELECT indexed_id, id, CASE WHEN indexed_id % 3 = 0 THEN 'editor' ELSE author END AS author FROM docs"),
+    "merge_documents": _with(_DOCS, "SELECT indexed_id, id, CASE WHEN author = 'src7' THEN 'editor' ELSE author END AS author FROM docs "
+        "UNION ALL SELECT ((19723 + page_id % 30) << 32) | ('0x' || substr(md5('page' || page_id), 1, 8))::BIGINT, 'page' || page_id, '' FROM pages"),
     "document_ids": _with(_DOCS, "SELECT id, indexed_id + CASE WHEN author = 'src7' THEN 4294967296 ELSE 0 END AS indexed_id FROM docs"),
     "range_compaction": _with(_POSTINGS, "SELECT indexed_id, id, 'editor' AS author, (SELECT count(*) FROM postings p WHERE p.indexed_id = d.indexed_id AND NOT (attr = 'fulltext' AND token = 'again')) + 1 AS terms FROM docs d"),
     "compact_chunks": f"""

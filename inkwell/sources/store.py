@@ -19,13 +19,13 @@ from __future__ import annotations
 import json
 import time
 import uuid
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field, fields, replace
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..plans.errors import BadStore, Conflict, ReadOnly
+from ..plans.errors import BadRequest, BadStore, Conflict, ReadOnly
 from . import files
 from .schemas import DOCUMENTS, META_VERSION, POSTINGS, STORED_DOCUMENTS
 
@@ -47,6 +47,18 @@ class EngineConfig:
     codec: str = "zstd"
     row_group: int = 64 << 20
 
+    @classmethod
+    def from_json(cls, text: str) -> EngineConfig:
+        """Read an object with some of the fields; others keep their defaults."""
+        try:
+            given = json.loads(text)
+        except ValueError as e:
+            raise BadRequest(f"not JSON: {e}") from e
+        kinds = {f.name: type(f.default) for f in fields(cls)}
+        if not isinstance(given, dict) or (wrong := {k for k, v in given.items() if type(v) is not kinds.get(k)}):
+            raise BadRequest(f"not a configuration: {sorted(wrong) if isinstance(given, dict) else given!r}")
+        return cls(**given)
+
 
 @dataclass(frozen=True)
 class Piece:

@@ -155,6 +155,14 @@ def test_read_only_and_missing(spark, tmp_path, engine):
     assert engine.get("000000640cc175b9").id == "a" and engine.ping()
 
 
+def test_config():
+    c = EngineConfig.from_json('{"read_only": true, "short": 3}')
+    assert (c.read_only, c.short, c.codec) == (True, 3, EngineConfig().codec)
+    for bad in ("{", "[]", '{"short": "3"}', '{"nothing": 1}', '{"short": true}'):
+        with pytest.raises(BadRequest):
+            EngineConfig.from_json(bad)
+
+
 def test_tools(spark, engine, tmp_path):
     assert [(r.shard, r.n_ids) for r in engine.describe("m1.fulltext.red")["shards"].orderBy("shard").collect()] == [(100, 2), (101, 1), (102, 1), (103, 1)]
     assert engine.describe("m1.fulltext.red", dump=True, save=str(tmp_path / "saved"))["documents"].count() == 5
