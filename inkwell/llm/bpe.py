@@ -28,6 +28,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 import zstandard
@@ -53,6 +54,13 @@ _TASK_BLOCKS = 1 << 20
 _SPACES = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: A space that does not start a word: only texts without any can be cut at every space.
 _ODD = re.compile(f" (?:[{_SPACES}]|\\Z)")
+#: The same for Arrow's expressions, and a space that does start a word.
+_SPACES_ARROW = _SPACES.encode().decode("unicode_escape")
+ODD_ARROW, START_ARROW = f" (?:[{_SPACES_ARROW}]|\\z)", f" ([^{_SPACES_ARROW}])"
+#: What the tokenizers library's ByteLevel cuts by.
+_BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Pieces that the library gets as one text.
+_JOINED = 2000
 
 
 def pretokenizer(pattern: str) -> Callable[[str], list[str]]:
@@ -110,19 +118,15 @@ class Vocabulary:
                 raise ValueError(f"{self.file} has {len(ranks)} tokens; ids are packed in 16 bits")
             enc = tiktoken.Encoding("ranks", pat_str=self.pattern, mergeable_ranks=ranks, special_tokens={})
             return lambda words: [array("H", enc.encode_ordinary(w)).tobytes() for w in words]
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
         # the file's model without its splitting, as the words are cut already
-        tok = Tokenizer(Tokenizer.from_file(self.file).model)
+        tok = self._model()
         added = {t: array("H", [i]).tobytes() for t, i in self.added().items()}
         letters = dict(enumerate(byte_letters()))
         space = letters[32]
         vocabulary = tok.get_vocab()
         if max([*vocabulary.values(), *self.added().values()]) >= _MOST_IDS:
             raise ValueError(f"{self.file} has ids over {_MOST_IDS - 1}; ids are packed in 16 bits")
-        sizes = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
-        sizes[list(vocabulary.values())] = list(map(len, vocabulary))
+        sizes = _token_bytes(vocabulary)
 
         def spelled(w: str) -> str:
             if w.isascii() and w.isprintable():
@@ -142,6 +146,50 @@ class Vocabulary:
 
         return encode
 
+    def piece_encoder(self) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]] | None:
+        """Encodes pieces, which are what stands between spaces that start words, without added tokens: the number of ids of
+        each, and all ids. The library cuts them too, many at a time: no token spans two. None if the file does not cut
+        by the pattern."""
+        if self.library != "tokenizers" or self.pattern != _BYTE_LEVEL:
+            return None
+        with open(self.file, encoding="utf-8") as f:
+            cut = json.load(f)["pre_tokenizer"] or {}
+        if (cut.get("type"), cut.get("add_prefix_space"), cut.get("use_regex", True)) != ("ByteLevel", False, True):
+            return None
+        from tokenizers import pre_tokenizers
+
+        tok = self._model()
+        tok.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
+        sizes = _token_bytes(tok.get_vocab())
+
+        def encode(pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+            if not len(pieces):
+                return np.zeros(0, np.int64), np.zeros(0, "<u2")
+            cuts = np.append(np.arange(0, len(pieces), _JOINED), len(pieces)).astype(np.int32)
+            texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts), pieces), " ").to_pylist()
+            ids = np.concatenate([np.array(tok.encode_batch_fast([" " + t], add_special_tokens=False)[0].ids, dtype="<u2") for t in texts])
+            at, ends = np.cumsum(sizes[ids]), np.cumsum(pc.binary_length(pieces).to_numpy().astype(np.int64) + 1)
+            last = np.searchsorted(at, ends)
+            if last[-1] != len(ids) - 1 or (at[last] != ends).any():
+                raise RuntimeError("a token spans two pieces")
+            return np.diff(last, prepend=-1), ids
+
+        return encode
+
+    def _model(self):
+        """A tokenizer with the file's model alone."""
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        return Tokenizer(Tokenizer.from_file(self.file).model)
+
+
+def _token_bytes(vocabulary: dict[str, int]) -> np.ndarray:
+    """The number of bytes of each id's token, which has a letter for each byte."""
+    sizes = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
+    sizes[list(vocabulary.values())] = list(map(len, vocabulary))
+    return sizes
+
 
 class Cutter:
     """Cuts texts into words. Most texts are cut at spaces first, and each distinct piece between spaces once."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import random
 import re
 import struct
 import time
@@ -425,6 +426,61 @@ def test_orc_remembers(monkeypatch):
     orc_tokens._KNOWN.clear()
 
 
+def orc_ids(texts, vocabulary=None, again=False):
+    """Ids of texts by the function that tasks run, as it is or as a worker gets it."""
+    import pyarrow as pa
+    import zstandard
+    from pyspark import cloudpickle
+
+    run = orc_tokens._encode(vocabulary or queries.tokenizer_json(), np.zeros(0, np.int64))
+    run = cloudpickle.loads(cloudpickle.dumps(run)) if again else run
+    batch = pa.RecordBatch.from_pydict({"doc": list(range(len(texts))), "tk": [0] * len(texts), "text": texts})
+    rows = [z for b in run(iter([batch])) for z in b["codes"].to_pylist()]
+    return [np.frombuffer(zstandard.ZstdDecompressor().decompress(z), "<u2").tolist() for z in rows]
+
+
+def test_orc_memory_outlives_a_task(monkeypatch):
+    """A worker gets the task's function anew for each task; pieces that an earlier task met are not encoded again."""
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    orc_tokens._KNOWN.clear()
+    voc = queries.tokenizer_json()
+    texts = ["one two. three", "four one two."]
+    want = [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert orc_ids(texts, again=True) == want
+    known = orc_tokens._KNOWN[voc.file]
+    assert sorted(known) == ["one", "three", "two."]
+    asked = []
+    monkeypatch.setattr(known, "encode_pieces", lambda pieces, real=known.encode_pieces: asked.extend(pieces.to_pylist()) or real(pieces))
+    assert orc_ids([*texts, "x five one"], again=True)[:2] == want
+    assert asked == ["five"]
+    # the same file by another pattern is another memory
+    assert orc_ids(["x one"], bpe.Vocabulary(voc.library, voc.file, voc.pattern.replace("'s|", ""), voc.end_id)) == [tok.encode("x one").ids]
+    assert orc_tokens._KNOWN[voc.file] is not known and known.encode_pieces is not None and orc_tokens._KNOWN[voc.file].encode_pieces is None
+    orc_tokens._KNOWN.clear()
+
+
+@pytest.mark.parametrize("room", [0, 2_000, 10**7])
+@pytest.mark.parametrize("joined", [1, 3, 2000])
+def test_orc_pieces_against_the_library(monkeypatch, room, joined):
+    """Texts of any characters, whatever is remembered and however pieces are joined, sliced and put together."""
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert queries.tokenizer_json().piece_encoder()
+    for name, value in (("_CACHE_BYTES", room), ("_SLICE_CHARS", 200 * joined), ("_GATHERED", 7 * joined), ("_CACHE_CHARS", 8)):
+        monkeypatch.setattr(orc_tokens, name, value)
+    monkeypatch.setattr(bpe, "_JOINED", joined)
+    rng = random.Random(joined)
+    parts = [" "] * 8 + ["a", "the", "Z", "é", "1", "\u0663", ".", ",", "'s", "'ll", "\n", "\t", "\r\n", "\x85", "\xa0", "\u2003", "\u3000", "\u200b", "\x1c", "\0", "漢字", "\U0001f600", "\u0301", "<|", "_"]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(60))) for _ in range(100)]
+    texts += [" ".join("".join(rng.choices(parts[8:], k=rng.randrange(1, 6))) for _ in range(rng.randrange(40))) for _ in range(100)]
+    texts += [*texts[:20], *(f"ab {chr(c)}cd e{chr(c)} {chr(c)}" for c in range(0x180)), "", " ", "x<|endoftext|> y", "y" * 3000, "a.  b.   c \n d ", "  \0 a b"]
+    assert orc_ids(texts) == [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+    orc_tokens._KNOWN.clear()
+
+
 def test_large_vocabularies_are_refused(tmp_path):
     path = tmp_path / "ranks"
     path.write_bytes(b"\n".join(base64.b64encode(i.to_bytes(3, "big")) + b" %d" % i for i in range(65_537)))
