@@ -1,13 +1,13 @@
 """Suffix arrays by induced sorting, and permuted longest common prefixes.
 
-Suffixes are classified as smaller (S) or larger (L) than their successor. Leftmost S suffixes are sorted by one
-induction from their unsorted buckets, named, and, while names repeat, sorted by recursion on the string of names. A
-last induction places all suffixes.
+Suffixes are classified as smaller (S) or larger (L) than their successor. The substrings from each leftmost S position to
+the next one are sorted by digits of 64 bits and named. While names repeat, the leftmost S suffixes are sorted by
+recursion on the string of names. One induction a level then places all suffixes.
 
 An induction reads the array once in each direction. It takes as one array operation the longest run of slots that
 are filled by then: whatever they induce lands behind the run, so the order is that of a slot-by-slot scan and the
-work is linear. Bytes give runs of whole buckets, long alphabets of names runs of about the root of the slots read.
-Where runs stay short, as in one symbol repeated, slots are taken singly.
+work of the induction is linear. Bytes give runs of whole buckets, long alphabets of names runs of about the root of the
+slots read. Where runs stay short, as in one symbol repeated, slots are taken singly.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ import numpy as np
 
 #: Runs of slots shorter than this are read slot by slot.
 _SHORT = 24
+#: Symbols are placed bucket by bucket where these hold more than so many on average.
+_WIDE = 32
 
 
 def _types(s: np.ndarray) -> np.ndarray:
@@ -29,28 +31,51 @@ def _types(s: np.ndarray) -> np.ndarray:
 
 def _place(sa: np.ndarray, filled: np.ndarray, at: np.ndarray, pos: np.ndarray, sym: np.ndarray, step: int) -> None:
     """Put positions, in order, at the free ends of their symbols' buckets; `at` are the next free slots."""
-    order = np.argsort(sym, kind="stable")
-    sym, pos = sym[order], pos[order]
-    new = np.ones(len(sym), dtype=bool)
+    m = len(sym)
+    if sym.dtype.itemsize <= 2:
+        order = np.argsort(sym, kind="stable")  # by digits
+        sym = sym[order]
+    else:
+        # each with its place in one integer: these sort faster than places by their symbols
+        order = sym << 32
+        order |= np.arange(m)
+        order.sort()
+        sym = order >> 32
+        order &= 0xFFFFFFFF
+    pos = pos[order]
+    new = np.empty(m, dtype=bool)
+    new[0] = True
     np.not_equal(sym[1:], sym[:-1], out=new[1:])
-    starts = np.flatnonzero(new)
+    buckets = int(np.count_nonzero(new))
+    if m > _WIDE * buckets:
+        # few buckets: each gets a slice
+        starts = np.flatnonzero(new).tolist()
+        for i, j in zip(starts, [*starts[1:], m], strict=True):
+            c = sym[i]
+            k = int(at[c])
+            low, part = (k, pos[i:j]) if step > 0 else (k - (j - i) + 1, pos[i:j][::-1])
+            sa[low : low + j - i] = part
+            filled[low : low + j - i] = True
+            at[c] = k + step * (j - i)
+        return
     slots = at[sym]
-    if len(starts) == len(sym):
-        at[sym] += step
-    else:
-        counts = np.append(starts[1:], len(sym)) - starts
-        slots += step * (np.arange(len(sym)) - np.repeat(starts, counts))
-        at[sym[starts]] += step * counts
+    if buckets < m:
+        rank = np.arange(m)
+        rank -= np.maximum.accumulate(rank * new)
+        slots += step * rank
     sa[slots] = pos
     filled[slots] = True
+    at[sym] = slots + step  # of a bucket's slots the last one counts
 
 
 def _scan(s: np.ndarray, small: np.ndarray, sa: np.ndarray, filled: np.ndarray, at: np.ndarray, kind: bool) -> None:
     """Read the slots in order, from the right for S, and place each one's predecessor if it is of the kind."""
     n, step = len(sa), -1 if kind else 1
     ahead, typed = filled[::step], sa[::step]
-    wanted = np.zeros(n + 1, dtype=bool)  # by position; the last entry is for slots of the other kind, which hold -1
-    wanted[1:n] = small[:-1] == kind
+    # by position the symbol before it, or 0, which precedes nothing, if that is of the other kind; the last entry is for
+    # slots that hold -1
+    before = np.zeros(n + 1, dtype=np.uint8 if len(at) <= 1 << 8 else np.uint16 if len(at) <= 1 << 16 else np.int64)
+    np.copyto(before[1:n], s[:-1], where=small[:-1] == kind, casting="unsafe")
     low, width = 0, 64
     while low < n:
         run = ahead[low : low + width]
@@ -59,16 +84,18 @@ def _scan(s: np.ndarray, small: np.ndarray, sa: np.ndarray, filled: np.ndarray,
         if high - low < _SHORT and high < n:
             high = min(low + 4 * _SHORT, n)
             for i in range(low, high):
-                if wanted[typed[i]]:
-                    p = typed[i] - 1
-                    c = s[p]
+                c = before[typed[i]]
+                if c:
                     k = at[c]
-                    sa[k], filled[k], at[c] = p, True, k + step
+                    sa[k], filled[k], at[c] = typed[i] - 1, True, k + step
         else:
-            prev = typed[low:high]
-            prev = prev.compress(wanted[prev]) - 1
-            if len(prev):
-                _place(sa, filled, at, prev, s[prev], step)
+            pos = typed[low:high]
+            sym = before[pos]
+            found = sym != 0
+            pos, sym = pos.compress(found), sym.compress(found)
+            if len(pos):
+                pos -= 1
+                _place(sa, filled, at, pos, sym, step)
         width = max(64, 4 * (high - low))
         low = high
 
@@ -82,7 +109,9 @@ def _induce(s: np.ndarray, small: np.ndarray, sizes: np.ndarray, seeds: np.ndarr
     large = np.repeat(np.tile([True, False], len(sizes)), np.stack([larges, sizes - larges], axis=1).ravel())
     sa = np.full(n, -1, dtype=np.int64)
     filled = ~large
-    _place(sa, filled, ends - 1, seeds[::-1], s[seeds[::-1]], -1)
+    sym = s[seeds]  # in order, as the seeds are
+    slots = (ends - np.cumsum(np.bincount(sym, minlength=len(sizes))))[sym] + np.arange(len(seeds))
+    sa[slots], filled[slots] = seeds, True
     _scan(s, small, sa, filled, heads.copy(), False)
     sa[~large] = -1
     # the last suffix is the smallest and precedes no other: its slot is known
@@ -92,38 +121,68 @@ def _induce(s: np.ndarray, small: np.ndarray, sizes: np.ndarray, seeds: np.ndarr
     return sa
 
 
+def _sorted_pieces(s: np.ndarray, lms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the substrings from each leftmost S position to the next one, and which of them differ from the one
+    before in that order.
+
+    They are sorted by digits of as many symbols as 64 bits hold, ties by the next digit. One that ends is filled up with
+    ones: of two that agree until one ends, the other has an L there and is smaller.
+    """
+    width = (int(s.max()) + 1).bit_length()
+    per = 64 // width
+    full = np.uint64(2 ** (per * width) - 1)
+    ones = full >> (np.arange(per + 1, dtype=np.uint64) * np.uint64(width))  # by symbols left in a digit
+    lens = np.diff(lms, append=len(s) - 1) + 1
+    padded = np.concatenate([s, np.zeros(per, s.dtype)])
+
+    def digit(items: np.ndarray | slice, done: int) -> np.ndarray:
+        left = np.clip(lens[items] - done, 0, per)
+        start = lms[items] + np.where(left > 0, done, 0)
+        key = padded[start].astype(np.uint64)
+        for i in range(1, per):
+            key <<= np.uint64(width)
+            key |= padded[start + i].astype(np.uint64)
+        key |= ones[left]
+        return key
+
+    key = digit(slice(None), 0)
+    order = np.argsort(key)
+    key = key[order]
+    new = np.ones(len(lms), dtype=bool)
+    np.not_equal(key[1:], key[:-1], out=new[1:])
+    slots, done = np.arange(len(lms)), per
+    while True:
+        # groups of equal ones with a symbol left
+        own = new[slots]
+        tied = ~own
+        tied[:-1] |= ~own[1:]
+        slots = slots.compress(tied)
+        items = order[slots]
+        group = np.cumsum(own.compress(tied))
+        left = np.zeros(len(slots) + 1, dtype=bool)
+        left[group[lens[items] > done]] = True
+        left = left[group]
+        slots, items, group = slots.compress(left), items.compress(left), group.compress(left)
+        if not len(slots):
+            return order, new
+        key = digit(items, done)
+        by = np.lexsort((key, group))
+        order[slots], key = items[by], key[by]
+        new[slots[1:]] |= key[1:] != key[:-1]
+        done += per
+
+
 def suffix_array(s: np.ndarray) -> np.ndarray:
     """Starts of the suffixes of `s` in order. `s` holds non-negative integers and ends with a unique smallest one."""
     n = len(s)
     small, sizes = _types(s), np.bincount(s)
-    if len(sizes) <= 1 << 16:
-        s = s.astype(np.uint16, copy=False)  # sorted by digits
     lms = (np.flatnonzero(small[1:] & ~small[:-1]) + 1)
     if not len(lms):
         return np.arange(n, dtype=np.int64)[::-1].copy()
-    sa = _induce(s, small, sizes, lms)
-    # name the substrings from each leftmost S position to the next one
-    is_lms = np.zeros(n, dtype=bool)
-    is_lms[lms] = True
-    ordered = sa.compress(is_lms[sa])
-    index = (np.cumsum(is_lms, dtype=np.int64) - 1)[ordered]
-    lens = np.diff(lms, append=n - 1)[index]
-    a, b = ordered[:-1], ordered[1:]
-    differs = (lens[:-1] != lens[1:]) | (s[a] != s[b])
-    live = np.flatnonzero(~differs)
-    a, b, left = a[live], b[live], lens[live]
-    while len(live):
-        a, b, left = a + 1, b + 1, left - 1
-        same = s[a] == s[b]
-        differs[live[~same]] = True
-        same &= left > 0
-        live, a, b, left = (x.compress(same) for x in (live, a, b, left))
-    names = np.empty(len(lms), dtype=np.int64)
-    names[index] = np.concatenate([[0], np.cumsum(differs)])
-    if int(names.max()) + 1 == len(lms):
-        order = np.empty(len(lms), dtype=np.int64)
-        order[names] = np.arange(len(lms))
-    else:
+    order, new = _sorted_pieces(s, lms)
+    if not new.all():
+        names = np.empty(len(lms), dtype=np.int64)
+        names[order] = np.cumsum(new) - 1
         order = suffix_array(names)
     return _induce(s, small, sizes, lms[order])
 
@@ -144,33 +203,23 @@ def permuted_lcp(s: np.ndarray, sa: np.ndarray) -> np.ndarray:
     a = np.flatnonzero(~reducible & (before >= 0))
     b = before[a]
     del before
-    starts, k = a, np.zeros(len(a), dtype=np.int64)
-    # four symbols at a time, the last ones singly: symbols are spread to 16 bits where they fit
-    if n > 8 and int(s.max()) < 1 << 16:
-        wide = s.astype(np.uint64)
-        words = wide[:-3].copy()
-        for i in (1, 2, 3):
-            words |= wide[i : n - 3 + i] << np.uint64(16 * i)
-        del wide
-        live, x, y = np.arange(len(a), dtype=np.int64), a, b
-        while len(live):
-            fits = np.maximum(x, y) < n - 3
-            if not fits.all():
-                live, x, y = (z.compress(fits) for z in (live, x, y))
-            same = words[x] == words[y]
-            live, x, y = live.compress(same), x.compress(same) + 4, y.compress(same) + 4
-            k[live] += 4
-        del words
-    live = np.arange(len(a), dtype=np.int64)
+    k = np.zeros(len(a), dtype=np.int64)
+    # 64 bits at a time: two suffixes differ where the shorter one ends at the latest
+    top = int(s.max()).bit_length()
+    size = next(i for i in (1, 2, 4, 8) if top <= 8 * i)
+    narrow = np.concatenate([s, np.zeros(8, s.dtype)]).astype(f"<u{size}")
+    words = np.ndarray((n,), "<u8", narrow, strides=(size,)).astype(np.uint64)
+    live, x, y = np.arange(len(a), dtype=np.int64), a, b
     while len(live):
-        live = live[np.maximum(a[live], b[live]) + k[live] < n]
-        live = live[s[a[live] + k[live]] == s[b[live] + k[live]]]
-        k[live] += 1
+        other = words[x]
+        other ^= words[y]
+        same = other == 0
+        k[live] += np.bitwise_count((other - np.uint64(1)) & ~other) >> 2 + size.bit_length()
+        live, x, y = live.compress(same), x.compress(same) + 8 // size, y.compress(same) + 8 // size
+    del words
     # the last irreducible position at or before each, and what is left of its prefix
-    runs = np.diff(starts, append=n)
     lcp = np.zeros(n, dtype=np.int64)
-    if len(starts):
-        at = np.arange(starts[0], n, dtype=np.int64)
-        lcp[starts[0] :] = np.repeat(k + starts, runs) - at
+    if len(a):
+        lcp[a[0] :] = np.repeat(k + a, np.diff(a, append=n)) - np.arange(a[0], n, dtype=np.int64)
     lcp[sa[0]] = 0
     return np.maximum(lcp, 0, out=lcp)

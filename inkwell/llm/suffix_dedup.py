@@ -321,10 +321,13 @@ def _bodies(length: int):
     return run
 
 
-def repeated_windows(bodies: list[bytes], length: int) -> list[np.ndarray]:
-    """For each block of a shard, which of its windows start elsewhere in the shard too."""
-    sizes = np.array([len(b) for b in bodies])
-    s = np.frombuffer(b"\0".join(bodies) + b"\0\0", np.uint8).astype(np.uint16) + np.uint16(2)
+def _found(bodies: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which positions of the joined blocks of a shard are windows that start elsewhere in it too, and the blocks' starts."""
+    sizes = np.fromiter(map(len, bodies), np.int64, len(bodies))
+    s = np.frombuffer(b"\0".join(bodies) + b"\0\0", np.uint8)
+    if int(s.max()) > 253:
+        s = s.astype(np.uint16)
+    s = s + s.dtype.type(2)
     ends = np.cumsum(sizes + 1) - 1
     starts = ends - sizes
     s[ends] = 1
@@ -334,52 +337,76 @@ def repeated_windows(bodies: list[bytes], length: int) -> list[np.ndarray]:
     windows = np.maximum(sizes - length + 1, 0)
     window = np.repeat(np.tile([True, False], len(sizes)), np.stack([windows, sizes + 1 - windows], axis=1).ravel())
     window = np.append(window, False)
+    # two windows are equal if no slot after the first up to the second has a shorter prefix
     slots = np.flatnonzero(window[sa])
+    shorter = np.cumsum((lcp < length)[sa])[slots]
+    hit = np.flatnonzero(shorter[1:] == shorter[:-1])
     found = np.zeros(len(s), dtype=bool)
-    if len(slots) > 1:
-        # between two windows: the least prefix from the slot after the first up to the second
-        shared = np.minimum.reduceat(lcp[sa[: slots[-1] + 1]], slots[:-1] + 1)
-        hit = shared >= length
-        found[sa[slots[:-1][hit]]] = True
-        found[sa[slots[1:][hit]]] = True
-    return [found[i : i + max(n - length + 1, 0)] for i, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
+    found[sa[slots[hit]]] = True
+    found[sa[slots[hit + 1]]] = True
+    return found, starts
+
+
+def repeated_windows(bodies: list[bytes], length: int) -> list[np.ndarray]:
+    """For each block of a shard, which of its windows start elsewhere in the shard too."""
+    found, starts = _found(bodies, length)
+    return [found[i : i + max(len(b) - length + 1, 0)] for i, b in zip(starts.tolist(), bodies, strict=True)]
 
 
 _SPANS = "doc long, tk long, start int, end int"
 
 
-def _spans(rows: list[tuple[int, int, int, np.ndarray]], length: int) -> pa.RecordBatch:
-    out: list[tuple[np.ndarray, ...]] = []
-    for doc, tk, lo, hit in rows:
-        edge = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
-        first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        out.append((np.full(len(first), doc), np.full(len(first), tk), first + lo, last - 1 + lo + length))
-    cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 4
-    return pa.RecordBatch.from_arrays([pa.array(cols[0].astype(np.int64)), pa.array(cols[1].astype(np.int64)), pa.array(cols[2].astype(np.int32)), pa.array(cols[3].astype(np.int32))], names=["doc", "tk", "start", "end"])
+def _shard_spans(kind: np.ndarray, doc: np.ndarray, tk: np.ndarray, lo: np.ndarray, bodies: list[bytes], length: int) -> pa.RecordBatch:
+    """Spans of the windows of a shard's rows that repeat."""
+    # a row that stands for several is in the shard twice; its second body has no place of its own
+    row = np.repeat(np.arange(len(kind)), kind)
+    own = np.concatenate([[True], row[1:] != row[:-1]])
+    found, starts = _found([bodies[i] for i in row.tolist()], length)
+    # each body ends in positions that are no windows
+    edge = np.diff(found.astype(np.int8), prepend=0)
+    first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
+    of = np.searchsorted(starts, first, side="right") - 1
+    first, last, of = (x.compress(own[of]) for x in (first, last, of))
+    r = row[of]
+    shift = lo[r] - starts[of]
+    return pa.RecordBatch.from_arrays([pa.array(doc[r]), pa.array(tk[r]), pa.array((first + shift).astype(np.int32)), pa.array((last + shift + length).astype(np.int32))], names=["doc", "tk", "start", "end"])
 
 
 def _shards(length: int, shard_bytes: int):
     """Blocks sorted by anchor; whole groups are gathered into shards. Spans of the windows that repeat."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
+        held: list[tuple[list[np.ndarray], list[bytes]]] = []
         size, last = 0, None
 
         def done():
-            # a row that stands for several is in the shard twice; its second body has no place of its own
-            twice = [r for r in rows if r[0] == _TWICE]
-            hits = repeated_windows([r[4] for r in [*rows, *twice]], length)
-            return _spans([(r[1], r[2], r[3], h) for r, h in zip(rows, hits, strict=False) if h.any()], length)
+            columns = [np.concatenate(c) for c in zip(*(c for c, _ in held), strict=True)]
+            return _shard_spans(*columns, [body for _, bodies in held for body in bodies], length)
 
         for b in batches:
-            for kind, g, doc, tk, lo, body in zip(*(b[c].to_pylist() for c in ("kind", "g", "doc", "tk", "lo", "body")), strict=True):
-                if g != last and size >= shard_bytes:
-                    yield done()
-                    rows, size = [], 0
-                rows.append((kind, doc, tk, lo, body))
-                size += len(body) * kind
-                last = g
-        if rows:
+            if not b.num_rows:
+                continue
+            g, *columns = (b[c].to_numpy(zero_copy_only=False) for c in ("g", "kind", "doc", "tk", "lo"))
+            bodies = b["body"].to_pylist()
+            weights = np.cumsum(np.fromiter(map(len, bodies), np.int64, len(bodies)) * columns[0])
+            cuts = np.flatnonzero(g[1:] != g[:-1]) + 1
+            if g[0] != last:
+                cuts = np.concatenate([[0], cuts])
+            full = np.concatenate([[0], weights])[cuts]  # bytes of this batch before each cut
+            start, before = 0, 0
+            while True:
+                # the first bound of groups at which the shard is full
+                k = int(np.searchsorted(full, max(shard_bytes, 1) - size + before))
+                end = int(cuts[k]) if k < len(cuts) else len(g)
+                if end > start:
+                    held.append(([c[start:end] for c in columns], bodies[start:end]))
+                if k == len(cuts):
+                    break
+                yield done()
+                held, size, start, before = [], 0, end, int(full[k])
+            size += int(weights[-1]) - before
+            last = g[-1]
+        if held:
             yield done()
 
     return run

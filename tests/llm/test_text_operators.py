@@ -127,6 +127,20 @@ def test_suffix_array(alphabet, size):
         assert lcp[i] == n
 
 
+@pytest.mark.parametrize("alphabet", [3, 200, 70_000])
+def test_suffix_array_induces_once(alphabet, monkeypatch):
+    rng = np.random.default_rng(alphabet)
+    # copies, and pieces between leftmost smaller positions that are longer than one digit: runs, slopes, one the prefix of another
+    slope = np.arange(1, alphabet + 1)[:40]
+    parts = [rng.integers(1, alphabet + 1, 1500), np.repeat(alphabet, 90), np.ones(70, int), slope, slope[::-1], np.repeat(slope, 9), np.repeat(slope, 9)[::-1], np.ones(33, int)]
+    s = np.concatenate([*(parts[i] for i in rng.integers(0, len(parts), 30)), *parts, *parts, [0]])
+    induced, induce = [], suffix_array._induce
+    monkeypatch.setattr(suffix_array, "_induce", lambda s, *rest: induced.append(len(s)) or induce(s, *rest))
+    assert suffix_array.suffix_array(s).tolist() == doubled(s)
+    assert len(induced) > 1
+    assert sum(induced) < 2 * len(s)  # each level is at most half as long as the one above
+
+
 # 2
 
 
