@@ -120,7 +120,7 @@ def matching_many(postings: DataFrame, requests: dict[str, SearchRequest]) -> Da
     return per.where("NOT bad").join(counts, "query_id").where("size(had) = needed").select("query_id", "indexed_id")
 
 
-_KEY = ["shard", "indexed_id", "batch"]
+_KEY = ["shard", "indexed_id", "id", "batch"]
 #: Documents are looked up by a broadcast of keys up to this many.
 BROADCAST_KEYS = 100_000
 #: With a phrase or a check, so many of the lowest ids are tried for a page before all are.
@@ -128,14 +128,15 @@ SLICES = (512, 16_384)
 
 
 def stored_keys(ids: DataFrame, documents: DataFrame) -> DataFrame:
-    """shard, indexed_id, batch of the last write of each id; ids without a document are dropped. Reads no contents.
+    """shard, indexed_id, id, batch of the last write of each document of the ids; ids without one are dropped. Reads no
+    contents.
 
     The day is a join key beside the id, so that partitions without hits are pruned at run time; AQE broadcasts the
     ids where they are few.
     """
     keyed = ids.withColumn("shard", shard_number(F.col("indexed_id")))
     found = documents.select(_KEY).join(keyed, ["shard", "indexed_id"], "left_semi")
-    return found.groupBy("shard", "indexed_id").agg(F.max("batch").alias("batch"))
+    return found.groupBy("shard", "indexed_id", "id").agg(F.max("batch").alias("batch"))
 
 
 def with_documents(ids: DataFrame, documents: DataFrame) -> DataFrame:
@@ -165,18 +166,18 @@ def search(postings: DataFrame, documents: DataFrame, request: SearchRequest, ch
     """
     ids = matching_ids(postings, request)
     if not request.limit:
-        return _checked(with_documents(ids, documents), request, check).orderBy("indexed_id")
-    keys = stored_keys(ids, documents).orderBy("indexed_id")
+        return _checked(with_documents(ids, documents), request, check).orderBy("indexed_id", "id")
+    keys = stored_keys(ids, documents).orderBy("indexed_id", "id")
     if not request.phrases and check is None:
-        return _of_keys(keys.limit(request.limit), documents, request.limit).orderBy("indexed_id")
-    local = partial(postings.sparkSession.createDataFrame, schema="shard long, indexed_id long, batch long")
+        return _of_keys(keys.limit(request.limit), documents, request.limit).orderBy("indexed_id", "id")
+    local = partial(postings.sparkSession.createDataFrame, schema="shard long, indexed_id long, id string, batch long")
     for n in (*(s for s in SLICES if s > request.limit), None):
         lowest = keys.limit(n).collect() if n else []
         tried = _of_keys(local(lowest), documents, n) if n else documents.join(keys, _KEY, "left_semi")
-        page = _checked(tried, request, check).select(_KEY).orderBy("indexed_id").limit(request.limit).collect()
+        page = _checked(tried, request, check).select(_KEY).orderBy("indexed_id", "id").limit(request.limit).collect()
         if len(page) == request.limit or (n and len(lowest) < n):
             break
-    return _checked(_of_keys(local(page), documents, request.limit), request, check).orderBy("indexed_id")
+    return _checked(_of_keys(local(page), documents, request.limit), request, check).orderBy("indexed_id", "id")
 
 
 def _checked(found: DataFrame, request: SearchRequest, check: Check | None) -> DataFrame:

@@ -33,6 +33,8 @@ TABLES = {"documents": DOCUMENTS, "postings": POSTINGS}
 _STORED = {"documents": STORED_DOCUMENTS, "postings": POSTINGS}
 #: Ids are from 0 to this.
 LARGEST = 2**63 - 1
+#: What tells documents apart: two external ids of one day may have the same hash, and with it the same indexed_id.
+IDENTITY = ("indexed_id", "id")
 #: How often a commit is tried again after others were faster.
 _TRIES = 100
 
@@ -139,7 +141,7 @@ class Store:
         return self.table("postings")
 
     def documents(self, meta: Meta | None = None) -> DataFrame:
-        """The last write of each id. A piece holds an id once, so the only piece needs no resolving."""
+        """The last write of each document. A piece holds a document once, so the only piece needs no resolving."""
         meta = meta or self.meta()
         rows = self.table("documents", meta)
         return rows if len(meta.live) <= 1 else last_writes(rows)
@@ -192,11 +194,12 @@ class Store:
         return {"compression": self.config.codec, "parquet.block.size": str(self.config.row_group), f"parquet.bloom.filter.enabled#{bloom}": "true"}
 
     def _write_documents(self, documents: DataFrame, path: str) -> None:
-        """Each id once: its last write by seq. The ranges that the files need hold all writes of an id, too."""
+        """Each document once: its last write by seq. Two external ids may share an indexed_id, as it holds 32 bits of a
+        hash; they are two documents. The ranges that the files need hold all writes of an id, too."""
         columns = self.spark.createDataFrame([], _STORED["documents"]).columns
-        order = Window.partitionBy("indexed_id").orderBy(F.col("seq").desc(), F.xxhash64("id", "author", "tsec", "content"))
+        order = Window.partitionBy("indexed_id", "id").orderBy(F.col("seq").desc(), F.xxhash64("author", "tsec", "content"))
         dealt = documents.select(*columns).repartitionByRange("indexed_id").withColumn("nth", F.row_number().over(order))
-        last = dealt.where("nth = 1").drop("nth").sortWithinPartitions("shard", "indexed_id")
+        last = dealt.where("nth = 1").drop("nth").sortWithinPartitions("shard", "indexed_id", "id")
         last.write.options(**self._options("id")).partitionBy("shard").parquet(path)
 
     def _write_postings(self, postings: DataFrame, path: str) -> None:
@@ -206,9 +209,9 @@ class Store:
 
 
 def last_writes(rows: DataFrame) -> DataFrame:
-    """Of the rows of each id the one of the highest batch, which holds an id once.
+    """Of the rows of each document the one of the highest batch, which holds a document once.
 
     Columns are resolved one by one, so that those that nobody asks for are not read.
     """
-    last = [F.max_by(c, "batch").alias(c) for c in rows.columns if c != "indexed_id"]
-    return rows.groupBy("indexed_id").agg(*last).select(*rows.columns)
+    last = [F.max_by(c, "batch").alias(c) for c in rows.columns if c not in IDENTITY]
+    return rows.groupBy(*IDENTITY).agg(*last).select(*rows.columns)
