@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ids import id_hex, id_time, index_base, index_key
+from ..sources.store import IDENTITY
 from .ordered import boundaries, greedy_chunks, with_previous, with_running
 from .search import with_documents
 
@@ -138,16 +139,16 @@ def merge_postings(tables: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), tables).distinct()
 
 
-def merge_documents(tables: list[DataFrame], key: str = "indexed_id") -> DataFrame:
+def merge_documents(tables: list[DataFrame], key: tuple[str, ...] = IDENTITY) -> DataFrame:
     """Rows by key; where several inputs have a key, the last input's."""
     if not tables:
         raise ValueError("nothing to merge")
     every = _numbered(tables)
-    kept = [c for c in tables[0].columns if c != key]
+    kept = [c for c in tables[0].columns if c not in key]
     # within one input the last write counts, where it says which that is
     order = F.struct("__input", *[c for c in ("batch", "seq") if c in kept])
-    last = every.groupBy(key).agg(F.max_by(F.struct(*kept), order).alias("row"))
-    return last.select(key, "row.*").select(*tables[0].columns)
+    last = every.groupBy(*key).agg(F.max_by(F.struct(*kept), order).alias("row"))
+    return last.select(*key, "row.*").select(*tables[0].columns)
 
 
 def compact_chunks(keys: DataFrame, limit: int) -> DataFrame:
