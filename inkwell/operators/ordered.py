@@ -6,7 +6,7 @@ is processed alone, and what one range passes on to the next is a row per range.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -24,15 +24,19 @@ def in_ranges(df: DataFrame, keys: list[str]) -> DataFrame:
     return materialized(dealt, "ranges")
 
 
-def with_running(df: DataFrame, keys: list[str], number: str, sums: dict[str, str]) -> DataFrame:
-    """`df` with the row number by keys (from 1) and running totals: sums maps a new column to the one it adds up."""
+def with_running(df: DataFrame, keys: list[str], number: str, sums: dict[str, str], ties: Sequence[str] = ()) -> DataFrame:
+    """`df` with the row number by keys (from 1) and running totals: sums maps a new column to the one it adds up.
+
+    Rows of equal keys are numbered by `ties` and all have the total that includes them, as SQL's running sums do.
+    """
     dealt = in_ranges(df, keys)
     totals = dealt.groupBy(_RANGE).agg(F.count("*").alias(number), *[F.sum(c).alias(s) for s, c in sums.items()])
     before = Window.orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast("long")
     bases = totals.select(_RANGE, *[F.coalesce(F.sum(c).over(before), zero).alias(f"__{c}") for c in (number, *sums)])
-    here = Window.partitionBy(_RANGE).orderBy(*keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    own = dealt.withColumns({number: F.count(F.lit(1)).over(here), **{s: F.sum(c).over(here) for s, c in sums.items()}})
+    ordered = Window.partitionBy(_RANGE).orderBy(*keys, *ties)
+    here = Window.partitionBy(_RANGE).orderBy(*keys).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    own = dealt.withColumn(number, F.row_number().over(ordered)).withColumns({s: F.sum(c).over(here) for s, c in sums.items()})
     out = own.join(F.broadcast(bases), _RANGE)  # one row per range
     return out.select(*df.columns, *[(F.col(c) + F.col(f"__{c}")).cast("long").alias(c) for c in (number, *sums)])
 

@@ -26,8 +26,12 @@ def document_bytes() -> Column:
 
 
 def document_keys(documents: DataFrame) -> DataFrame:
-    """key, shard, bytes of each stored document."""
-    return documents.select(id_hex(F.col("indexed_id")).alias("key"), "shard", document_bytes().alias("bytes"))
+    """key, shard, bytes of each stored document, and seq and id, which order documents that share a key."""
+    return documents.select(id_hex(F.col("indexed_id")).alias("key"), "shard", document_bytes().alias("bytes"), "seq", "id")
+
+
+def _order(keys: DataFrame) -> list[str]:
+    return [c for c in ("key", "seq", "id") if c in keys.columns]
 
 
 def posting_keys(postings: DataFrame) -> DataFrame:
@@ -37,8 +41,10 @@ def posting_keys(postings: DataFrame) -> DataFrame:
 
 
 def list_running(keys: DataFrame) -> DataFrame:
-    """key, bytes, number, running_bytes in key order."""
-    return with_running(keys.select("key", "bytes"), ["key"], "number", {"running_bytes": "bytes"})
+    """key, bytes, number, running_bytes in key order. Documents that share a key are numbered as they were written and
+    have the running bytes of all of them."""
+    rows = with_running(keys.select(*_order(keys), "bytes"), ["key"], "number", {"running_bytes": "bytes"}, _order(keys)[1:])
+    return rows.select("key", "bytes", "number", "running_bytes")
 
 
 def list_totals(keys: DataFrame) -> DataFrame:
@@ -153,5 +159,5 @@ def merge_documents(tables: list[DataFrame], key: tuple[str, ...] = IDENTITY) ->
 
 def compact_chunks(keys: DataFrame, limit: int) -> DataFrame:
     """chunk, first_key, last_key, n_keys, bytes: ranges of keys of about `limit` bytes that can be rewritten one by one."""
-    rows = greedy_chunks(keys.select("key", "bytes"), ["key"], "bytes", limit)
+    rows = greedy_chunks(keys.select(*_order(keys), "bytes"), _order(keys), "bytes", limit)
     return rows.groupBy("chunk").agg(F.min("key").alias("first_key"), F.max("key").alias("last_key"), F.count("*").alias("n_keys"), F.sum("bytes").alias("bytes"))
