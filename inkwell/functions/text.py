@@ -15,7 +15,7 @@ _DROPPED = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<[^
 def words(text: Column, lowercase: bool = True) -> Column:
     """The words of a text in order; null has none."""
     folded = F.lower(text) if lowercase else text
-    return F.filter(F.split(F.coalesce(folded, F.lit("")), SEPARATORS), lambda t: t != "")
+    return F.array_remove(F.split(F.coalesce(folded, F.lit("")), SEPARATORS), "")
 
 
 def query_words(text: str, lowercase: bool = True) -> list[str]:

@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import document_id, shard_number
-from ..functions.text import tokens
+from ..functions.text import tokens, words
+from ..sources.files import dealt
 from ..sources.schemas import CONTENT
 
+#: Bytes of input for a task that gets arrays of tokens.
+ARRAY_BYTES = 16 << 20
 #: The document columns besides batch.
 _FIELDS = ("indexed_id", "id", "author", "is_comment", "tsec", "content", "seq", "shard")
 
@@ -42,12 +45,16 @@ def token_positions(rows: DataFrame, short: int = 0, lowercase: bool = True) ->
 
 
 def postings_of(rows: DataFrame, short: int = 0, lowercase: bool = True) -> DataFrame:
-    """mbox, attr, token, shard, indexed_id: each token once per row and attribute, without a shuffle.
+    """mbox, attr, token, shard, indexed_id: each token once per row and attribute.
 
     Rows of one document that were indexed twice repeat postings; readers take them as sets and compaction drops them.
+    The tokens of a row are shuffled as one array and become rows after that: dealing rows out in ranges reads its input
+    twice, and so reads arrays twice instead of cutting the texts twice.
     """
-    each = F.array_distinct(F.transform(tokens(F.col("text"), short, lowercase), lambda t: t["token"]))
-    out = attribute_texts(rows).select("mbox", "attr", "indexed_id", F.explode(each).alias("token"))
+    text = F.col("text")
+    each = F.transform(tokens(text, short, lowercase), lambda t: t["token"]) if short > 0 else words(text, lowercase)
+    arrays = attribute_texts(rows).select("mbox", "attr", "indexed_id", F.array_distinct(each).alias("tokens"))
+    out = dealt(arrays, ARRAY_BYTES, "indexed_id").select("mbox", "attr", "indexed_id", F.explode("tokens").alias("token"))
     return out.select("mbox", "attr", "token", shard_number(F.col("indexed_id")).alias("shard"), "indexed_id")
 
 

@@ -10,6 +10,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _SCRATCH: dict[str, str] = {}
+#: Spark's size of a plan that has none is above this.
+_UNKNOWN = 1 << 60
+#: All cores work on an input of at least this many bytes a core.
+_SMALL = 256 << 10
+#: The most tasks that rows are dealt to.
+_MOST = 20_000
 
 
 def _path(spark: SparkSession, path: str):
@@ -72,6 +78,24 @@ def scratch_folder(spark: SparkSession) -> str:
     return _SCRATCH[sc.applicationId]
 
 
+def input_bytes(df: DataFrame) -> int | None:
+    """Bytes of what a plan reads, by Spark's statistics; None where a source doesn't tell."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return size if size < _UNKNOWN else None
+
+
+def dealt(df: DataFrame, each: int, *keys: str, ranged: bool = False) -> DataFrame:
+    """Rows dealt out by keys (ranged: by ranges of them) to tasks whose number grows with the input, one for `each` bytes of
+    it, so that what a task holds does not; to Spark's own number where the input's size is not known."""
+    deal = df.repartitionByRange if ranged else df.repartition
+    size = input_bytes(df)
+    if size is None:
+        return deal(*keys)
+    few = min(df.sparkSession.sparkContext.defaultParallelism, -(-size // _SMALL))
+    return deal(min(max(-(-size // each), few, 1), _MOST), *keys)
+
+
 def materialized(df: DataFrame, name: str) -> DataFrame:
     """`df` written as a scratch table and read back: it has one content, whatever executors are lost later."""
     spark = df.sparkSession

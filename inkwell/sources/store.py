@@ -9,8 +9,9 @@ A commit lists pieces with their batch numbers, which order the writes of a docu
 number of those that it stands for; where it stands for a range of ids only, the others keep their other rows and
 that range of theirs is hidden.
 
-Postings are range-partitioned and sorted by (mbox, attr, token, indexed_id): a term is a few row groups of a few
-files, whatever the size of the index, and a frequent token is split over files by id. The token column has a Bloom
+Postings are range-partitioned by (mbox, attr, token, indexed_id) and sorted by (token, mbox, attr, indexed_id) in each
+file: a term is a few row groups of a few files, whatever the size of the index, and a frequent token is split over files
+by id. The token column has a Bloom
 filter. Documents are partitioned by shard (day) and sorted by id, so lookups by id prune days and row groups.
 """
 
@@ -35,6 +36,8 @@ _STORED = {"documents": STORED_DOCUMENTS, "postings": POSTINGS}
 LARGEST = 2**63 - 1
 #: What tells documents apart: two external ids of one day may have the same hash, and with it the same indexed_id.
 IDENTITY = ("indexed_id", "id")
+#: Bytes of input for a task that sorts and writes rows.
+INPUT_BYTES = 6 << 20
 #: How often a commit is tried again after others were faster.
 _TRIES = 100
 
@@ -64,11 +67,13 @@ class EngineConfig:
 
 @dataclass(frozen=True)
 class Piece:
-    """A batch number and a folder; rows with ids of the hidden ranges (both ends included) don't count."""
+    """A batch number and a folder, and the tables that were written; rows with ids of the hidden ranges (both ends
+    included) don't count."""
 
     number: int
     name: str
     hidden: tuple[tuple[int, int], ...] = ()
+    tables: tuple[str, ...] = tuple(TABLES)
 
     def hide(self, first: int, last: int) -> Piece | None:
         """With one more hidden range; None if nothing is left."""
@@ -89,7 +94,7 @@ class Meta:
     live: tuple[Piece, ...] = field(default_factory=tuple)
 
     def to_json(self) -> str:
-        live = [{"number": p.number, "name": p.name, "hidden": p.hidden} for p in self.live]
+        live = [{"number": p.number, "name": p.name, "hidden": p.hidden, "tables": p.tables} for p in self.live]
         return json.dumps({"version": META_VERSION, "sequence": self.sequence, "live": live})
 
     @classmethod
@@ -100,7 +105,13 @@ class Meta:
             raise BadStore(f"metadata can't be read: {e}") from e
         if not isinstance(x, dict) or x.get("version") != META_VERSION:
             raise BadStore(f"metadata of version {x.get('version') if isinstance(x, dict) else None}, not {META_VERSION}")
-        return cls(x["sequence"], tuple(Piece(p["number"], p["name"], tuple(map(tuple, p["hidden"]))) for p in x["live"]))
+        live = (Piece(p["number"], p["name"], tuple(map(tuple, p["hidden"])), tuple(p.get("tables", TABLES))) for p in x["live"])
+        return cls(x["sequence"], tuple(live))
+
+    def having(self, table: str) -> tuple[Piece, ...]:
+        """The pieces that have rows of a table."""
+        return tuple(p for p in self.live if table in p.tables)
+
 
 
 class Store:
@@ -121,7 +132,7 @@ class Store:
 
     def table(self, name: str, meta: Meta | None = None) -> DataFrame:
         """Rows of all pieces that count, as they were written, in one scan."""
-        live = (meta or self.meta()).live
+        live = (meta or self.meta()).having(name)
         if not live:
             return self.spark.createDataFrame([], TABLES[name])
         paths = [f"{self.path}/{name}/piece={p.name}" for p in live]
@@ -144,22 +155,25 @@ class Store:
         """The last write of each document. A piece holds a document once, so the only piece needs no resolving."""
         meta = meta or self.meta()
         rows = self.table("documents", meta)
-        return rows if len(meta.live) <= 1 else last_writes(rows)
+        return rows if len(meta.having("documents")) <= 1 else last_writes(rows)
 
-    def write(self, documents: DataFrame, postings: DataFrame) -> Meta:
-        """Add a batch."""
-        return self.commit(self.stage(documents, postings))
+    def write(self, documents: DataFrame | None, postings: DataFrame | None) -> Meta:
+        """Add a batch, or one table of it."""
+        given = {"documents": documents, "postings": postings}
+        return self.commit(self.stage(documents, postings), tables=tuple(t for t, rows in given.items() if rows is not None))
 
-    def stage(self, documents: DataFrame, postings: DataFrame) -> str:
+    def stage(self, documents: DataFrame | None, postings: DataFrame | None) -> str:
         """Write a piece that no commit lists yet."""
         if self.config.read_only:
             raise ReadOnly()
         name = f"p{uuid.uuid4().hex}"
-        self._write_documents(documents, f"{self.path}/documents/piece={name}")
-        self._write_postings(postings, f"{self.path}/postings/piece={name}")
+        if documents is not None:
+            self._write_documents(documents, f"{self.path}/documents/piece={name}")
+        if postings is not None:
+            self._write_postings(postings, f"{self.path}/postings/piece={name}")
         return name
 
-    def commit(self, name: str, replaces: tuple[Piece, ...] = (), first: int = 0, last: int = LARGEST) -> Meta:
+    def commit(self, name: str, replaces: tuple[Piece, ...] = (), first: int = 0, last: int = LARGEST, tables: tuple[str, ...] = tuple(TABLES)) -> Meta:
         """Make a staged piece count; with `replaces`, in the place of those pieces' rows with ids from first to last."""
         for _ in range(_TRIES):
             now = self.meta()
@@ -167,7 +181,7 @@ class Store:
                 raise Conflict(f"another compaction replaced {missing[0]} first")
             kept = [q for p in now.live if (q := p.hide(first, last) if p in replaces else p)]
             number = max((p.number for p in replaces), default=now.sequence + 1)
-            meta = Meta(now.sequence + 1, (*kept, Piece(number, name)))
+            meta = Meta(now.sequence + 1, (*kept, Piece(number, name, tables=tables)))
             try:
                 files.write_new(self.spark, f"{self.path}/meta/{meta.sequence:012d}.json", meta.to_json())
                 return meta
@@ -198,13 +212,15 @@ class Store:
         hash; they are two documents. The ranges that the files need hold all writes of an id, too."""
         columns = self.spark.createDataFrame([], _STORED["documents"]).columns
         order = Window.partitionBy("indexed_id", "id").orderBy(F.col("seq").desc(), F.xxhash64("author", "tsec", "content"))
-        dealt = documents.select(*columns).repartitionByRange("indexed_id").withColumn("nth", F.row_number().over(order))
+        dealt = files.dealt(documents.select(*columns), INPUT_BYTES, "indexed_id", ranged=True).withColumn("nth", F.row_number().over(order))
         last = dealt.where("nth = 1").drop("nth").sortWithinPartitions("shard", "indexed_id", "id")
         last.write.options(**self._options("id")).partitionBy("shard").parquet(path)
 
     def _write_postings(self, postings: DataFrame, path: str) -> None:
         keys = ["mbox", "attr", "token", "indexed_id"]
-        dealt = postings.select("mbox", "attr", "token", "shard", "indexed_id").repartitionByRange(*keys).sortWithinPartitions(*keys)
+        rows = postings.select("mbox", "attr", "token", "shard", "indexed_id")
+        # by token first: the sort compares 8 bytes of its first column, which a mailbox and an attribute share with most rows
+        dealt = files.dealt(rows, INPUT_BYTES, *keys, ranged=True).sortWithinPartitions("token", "mbox", "attr", "indexed_id")
         dealt.write.options(**self._options("token")).parquet(path)
 
 

@@ -373,3 +373,39 @@ def test_two_documents_of_one_hash(spark, tmp_path):
         assert sorted((r.id, r.content.content) for r in e.documents.collect()) == wanted
         assert sorted((r.id, r.content.content) for r in e.search(req(mbox="m")).rows.collect()) == wanted
         e.compact(None)
+
+
+def test_tables_are_written_one_by_one(spark, tmp_path):
+    """What reads documents alone does not wait for postings, and the other way round; together they are a store."""
+    from inkwell.plans import catalog
+    from inkwell.sources import files
+
+    folder = str(tmp_path / "in")
+    spark.createDataFrame([(1, "the and from", "en", "src7"), (2, "the", "en", "src1")], "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(f"{folder}/documents.parquet")
+    s = catalog.store(spark, folder, "documents")
+    assert catalog.QUERIES["list_totals"](spark, folder).first().n_keys == 2
+    assert files.list_names(spark, f"{s.path}/postings") == []
+    assert catalog.QUERIES["and_search"](spark, folder).count() == 1
+    assert catalog.QUERIES["search_documents"](spark, folder).count() == 1
+    assert [p.tables for p in s.meta().live] == [("documents",), ("postings",)] and s.documents().count() == 2
+
+
+def test_tasks_grow_with_the_input(spark, tmp_path):
+    from inkwell.sources.files import dealt, input_bytes
+
+    spark.range(100_000).selectExpr("id", "uuid() AS x").coalesce(1).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    size = input_bytes(df)
+    assert size > 1_000_000 and input_bytes(df.unionByName(df)) == 2 * size
+    one, two = (dealt(x, 100_000, "id").rdd.getNumPartitions() for x in (df, df.unionByName(df)))
+    assert one == -(-size // 100_000) and two == -(-2 * size // 100_000)
+    assert sorted(dealt(df.limit(50), 100_000, "id", ranged=True).collect()) == sorted(df.limit(50).collect())
+    assert input_bytes(spark.createDataFrame(spark.sparkContext.parallelize([(1,)]), "x int")) is None
+
+
+def test_texts_are_cut_before_a_shuffle(spark, smoke_dir):
+    """Dealing postings out in ranges runs what is below the last shuffle twice: arrays become rows, no texts are cut."""
+    from inkwell.sources import corpus
+
+    plan = indexing.postings_of(corpus.document_rows(spark, smoke_dir))._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate explode(tokens") < plan.index("Exchange hashpartitioning(indexed_id") < plan.index("split(")
