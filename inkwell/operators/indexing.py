@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import document_id, shard_number
@@ -12,6 +12,8 @@ from ..sources.schemas import CONTENT
 
 #: Bytes of input for a task that gets arrays of tokens.
 ARRAY_BYTES = 16 << 20
+#: Bytes of stored postings for a task that gets postings: a million takes about 3 MB.
+POSTING_BYTES = 4 << 20
 #: The document columns besides batch.
 _FIELDS = ("indexed_id", "id", "author", "is_comment", "tsec", "content", "seq", "shard")
 
@@ -66,6 +68,14 @@ def posting_lists(postings: DataFrame) -> DataFrame:
     return postings.groupBy("mbox", "attr", "token", "shard").agg(F.array_sort(F.collect_set("indexed_id")).alias("ids"))
 
 
+def sorted_postings(postings: DataFrame, *order: str) -> DataFrame:
+    """Postings once each, in the order of their columns. Rows go to their ranges at once; copies are dropped as neighbours
+    after the sort, so no task holds a table of the rows that it has seen."""
+    each = Window.partitionBy(*order).orderBy(*order)
+    rows = dealt(postings.select(*order), POSTING_BYTES, *order, ranged=True)
+    return rows.withColumn("nth", F.row_number().over(each)).where("nth = 1").select(*order)
+
+
 def token_shards(postings: DataFrame) -> DataFrame:
     """mbox, attr, token, shards: the sorted days that have the token."""
     days = postings.select("mbox", "attr", "token", "shard").distinct()
