@@ -76,9 +76,15 @@ def sorted_postings(postings: DataFrame, *order: str) -> DataFrame:
     return rows.withColumn("nth", F.row_number().over(each)).where("nth = 1").select(*order)
 
 
+def token_days(postings: DataFrame) -> DataFrame:
+    """mbox, attr, token, shard, each once."""
+    key = ("mbox", "attr", "token", "shard")
+    return dealt(postings.select(*key), POSTING_BYTES, *key).distinct()
+
+
 def token_shards(postings: DataFrame) -> DataFrame:
     """mbox, attr, token, shards: the sorted days that have the token."""
-    days = postings.select("mbox", "attr", "token", "shard").distinct()
+    days = token_days(postings)
     return days.groupBy("mbox", "attr", "token").agg(F.array_sort(F.collect_set("shard")).alias("shards"))
 
 
