@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ids import id_hex, id_time, index_base, index_key
+from ..sources.files import dealt
 from ..sources.store import IDENTITY
+from .indexing import POSTING_BYTES
 from .ordered import boundaries, greedy_chunks, with_previous, with_running
 from .search import with_documents
 
@@ -139,10 +141,15 @@ def _numbered(tables: list[DataFrame]) -> DataFrame:
 
 
 def merge_postings(tables: list[DataFrame]) -> DataFrame:
-    """The union of posting tables as sets."""
+    """The union of posting tables as sets.
+
+    Rows are dealt out by token and day, of which they hold neighbours, so that they shuffle small, and are compared there
+    only: before the shuffle few rows are copies of each other.
+    """
     if not tables:
         raise ValueError("nothing to merge")
-    return reduce(lambda a, b: a.unionByName(b), tables).distinct()
+    every = reduce(lambda a, b: a.unionByName(b), tables)
+    return dealt(every, POSTING_BYTES, "mbox", "attr", "token", "shard").distinct()
 
 
 def merge_documents(tables: list[DataFrame], key: tuple[str, ...] = IDENTITY) -> DataFrame:

@@ -409,3 +409,20 @@ def test_texts_are_cut_before_a_shuffle(spark, smoke_dir):
 
     plan = indexing.postings_of(corpus.document_rows(spark, smoke_dir))._jdf.queryExecution().executedPlan().toString()
     assert plan.index("Generate explode(tokens") < plan.index("Exchange hashpartitioning(indexed_id") < plan.index("split(")
+
+
+def test_sets_of_postings(spark):
+    """Copies are dropped, wherever they lie; of all plans none keeps a table of rows before its shuffle."""
+    from inkwell.plans import catalog
+
+    rows = [("m", "t", f"w{i % 7}", i % 3, (i % 3) << 32 | i % 11) for i in range(300)]
+    postings = spark.createDataFrame(rows * 2, "mbox string, attr string, token string, shard long, indexed_id long").repartition(5)
+    order = sorted({(s, m, a, t, i) for m, a, t, s, i in rows})
+    assert list(map(tuple, catalog.scan_postings(postings).collect())) == order
+    assert sorted(map(tuple, tools.merge_postings([postings, postings]).collect())) == sorted(set(rows))
+    days = sorted({r[:4] for r in rows})
+    assert sorted(map(tuple, indexing.token_days(postings).collect())) == days
+    assert sorted(r.key for r in catalog.index_key(postings).collect()) == sorted(f"{s:016x}.{m}.{a}.{t}" for m, a, t, s in days)
+    for df in (catalog.scan_postings(postings), tools.merge_postings([postings, postings]), catalog.index_key(postings)):
+        below = df._jdf.queryExecution().executedPlan().toString().split("+- Exchange", 1)[1]
+        assert "Aggregate" not in below
