@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import document_id, shard_number
@@ -41,9 +41,33 @@ def attribute_texts(rows: DataFrame) -> DataFrame:
 
 
 def token_positions(rows: DataFrame, short: int = 0, lowercase: bool = True) -> DataFrame:
-    """mbox, attr, token, indexed_id, positions (ascending); grouped by document and token, so no group is hot."""
-    each = attribute_texts(rows).select("mbox", "attr", "indexed_id", F.inline(tokens(F.col("text"), short, lowercase)))
-    return each.groupBy("mbox", "attr", "token", "indexed_id").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+    """mbox, attr, token, indexed_id, positions (ascending).
+
+    All of a group comes from rows of one document, so these are brought together by their texts, and occurrences are
+    grouped within an array: they are neither rows nor shuffled.
+    """
+    texts = dealt(attribute_texts(rows), ARRAY_BYTES, "indexed_id").groupBy("mbox", "attr", "indexed_id").agg(F.collect_list("text").alias("texts"))
+    each = F.flatten(F.transform("texts", lambda x: tokens(x, short, lowercase)))
+    return texts.select("mbox", "attr", "indexed_id", F.inline(_grouped(each))).select("mbox", "attr", "token", "indexed_id", "positions")
+
+
+def _grouped(each: Column) -> Column:
+    """(token, positions) of an array of (token, pos): it is sorted, and each run of a token is a slice."""
+
+    def runs(s: Column) -> Column:
+        firsts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i)["token"] != F.get(s, i - 1)["token"]))
+        bound = F.array(F.struct(s["token"].alias("token"), s["pos"].alias("pos"), firsts.alias("firsts")))
+        return F.transform(bound, cut)[0]
+
+    def cut(b: Column) -> Column:
+        def one(first: Column, k: Column) -> Column:
+            end = F.coalesce(F.get(b["firsts"], k + 1), F.size(b["pos"]))
+            return F.struct(F.get(b["token"], first).alias("token"), F.slice(b["pos"], first + 1, end - first).alias("positions"))
+
+        return F.transform(b["firsts"], one)
+
+    # bound to a variable first: a lambda would sort the array anew for each token; an empty one has no runs
+    return F.flatten(F.transform(F.filter(F.array(F.sort_array(each)), lambda s: F.size(s) > 0), runs))
 
 
 def postings_of(rows: DataFrame, short: int = 0, lowercase: bool = True) -> DataFrame:

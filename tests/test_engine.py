@@ -426,3 +426,22 @@ def test_sets_of_postings(spark):
     for df in (catalog.scan_postings(postings), tools.merge_postings([postings, postings]), catalog.index_key(postings)):
         below = df._jdf.queryExecution().executedPlan().toString().split("+- Exchange", 1)[1]
         assert "Aggregate" not in below
+
+
+@pytest.mark.parametrize("short", [0, 3])
+def test_positions(spark, short):
+    """Positions of texts by hand: of one document that comes twice all, ascending; and no row for an occurrence is shuffled."""
+    texts = [("a", "red a of Red; red"), ("a", "of red"), ("b", ""), ("c", "Ünï ünï x"), ("d", " ".join(f"w{i % 50}" for i in range(3_000)))]
+    rows = spark.createDataFrame([("m", i, "", 100 * DAY, {"t": t, "none": None}, 0) for i, t in texts], "mbox string, id string, author string, tsec long, index map<string,string>, seq long")
+    expected = {}
+    for i, t in texts:
+        ws = t.lower().replace(";", "").split()
+        for k, w in enumerate(ws):
+            joined = [a + b for a, b in ((ws[k - 1] if k else "", w), (w, ws[k + 1] if k + 1 < len(ws) else "")) if a and b]
+            for token in [w] if len(w) >= short else joined:
+                expected.setdefault((i, token), []).append(k)
+    df = indexing.token_positions(rows, short)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate inline") < plan.index("Exchange") and plan.count("Exchange") == 1
+    names_ = {r.indexed_id: r.id for r in indexing.with_ids(rows).collect()}
+    assert {(names_[r.indexed_id], r.token): r.positions for r in df.collect()} == {k: sorted(v) for k, v in expected.items()}
